@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality_rules, url_filter
+from . import chat, decontaminate, packing, quality_rules, sharding, url_filter
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -65,8 +75,19 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "__m.n_words", "__m.word_chars", "__m.n_symbols", "__m.n_dup_lines", "__m.n_repeat_words", F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"), 16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark")
+    out = decontaminate.with_hits(docs, items)
+    return out.select("doc_id", "__c.n_words", "__c.n_hit", F.size("__c.items").cast("long").alias("n_items"), F.sha2(F.array_join("__c.items", ","), 256).alias("items_sha256"), (F.col("__c.n_hit") > 0).alias("contaminated"), F.col("__c.longest").alias("longest_match"), F.col("__c.longest_at").alias("longest_at"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_chat_format, op7_url_filter, op8_quality_rules)}
+    return {f.__name__: f for f in (op4_packing, op5_chat_format, op7_url_filter, op8_quality_rules, op9_sharding, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
