@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, quality_rules, sharding, url_filter
+from . import chat, decontaminate, packing, quality_rules, sharding, substring_dedup, url_filter
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.col("__kept_sha256").alias("kept_sha256"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -87,7 +92,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_packing, op5_chat_format, op7_url_filter, op8_quality_rules, op9_sharding, op10_decontaminate)}
+    return {f.__name__: f for f in (op2_substring_dedup, op4_packing, op5_chat_format, op7_url_filter, op8_quality_rules, op9_sharding, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
