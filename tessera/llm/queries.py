@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, quality_rules, sharding, substring_dedup, url_filter
+from . import chat, decontaminate, near_dedup, packing, quality_rules, sharding, substring_dedup, url_filter
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,6 +54,26 @@ FROM c GROUP BY conv_id
 """
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) END) AS ss FROM w),
+e AS (SELECT doc_id, len(ss) AS n, unnest(ss) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS k
+      FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p WHERE 100 * k >= 85 * (nx + ny - k)),
+r(doc, reach) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc, l.y FROM r JOIN l ON r.reach = l.x)
+SELECT s.doc_id, CAST(len(ss) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM s JOIN (SELECT doc, min(reach) AS component_id FROM r GROUP BY doc) c ON c.doc = s.doc_id
+"""
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.match_rules(read(spark, sf_dir, "pages").select("page_id", "url"), rules)
@@ -92,8 +112,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op4_packing, op5_chat_format, op7_url_filter, op8_quality_rules, op9_sharding, op10_decontaminate)}
+    return {f.__name__: f for f in (op2_substring_dedup, op4_packing, op5_chat_format, op6_near_dedup, op7_url_filter, op8_quality_rules, op9_sharding, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": OP5_SQL, "op7_url_filter": OP7_SQL}
+    return {"op5_chat_format": OP5_SQL, "op6_near_dedup": OP6_SQL, "op7_url_filter": OP7_SQL}
