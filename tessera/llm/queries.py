@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, near_dedup, packing, quality_rules, sharding, substring_dedup, url_filter
+from . import chat, decontaminate, lm_score, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, url_filter
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,11 +18,46 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality_classifier.scored(docs, read(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.col("__kept_sha256").alias("kept_sha256"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_score.scores(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    per_word = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(F.lit(0.0))
+    return out.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round(per_word, 6).alias("log_score_per_word"))
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT doc_id, len(ws) AS n, i, ws[i] AS w1,
+        CASE WHEN i >= 2 THEN ws[i-1] END AS p1, CASE WHEN i >= 3 THEN ws[i-2] END AS p2
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+o AS (SELECT *,
+  count(*) OVER (PARTITION BY w1) - count(*) OVER (PARTITION BY doc_id, w1) AS c1,
+  count(*) OVER (PARTITION BY p1, w1) - count(*) OVER (PARTITION BY doc_id, p1, w1) AS c2,
+  count(*) OVER (PARTITION BY p2, p1, w1) - count(*) OVER (PARTITION BY doc_id, p2, p1, w1) AS c3,
+  count(*) OVER () - n AS others FROM w),
+x AS (SELECT *, lag(c1) OVER (PARTITION BY doc_id ORDER BY i) AS v1, lag(c2) OVER (PARTITION BY doc_id ORDER BY i) AS v2 FROM o),
+l AS (SELECT doc_id, CASE
+    WHEN i >= 3 AND c3 > 0 THEN ln(c3 / v2)
+    WHEN i >= 2 AND c2 > 0 THEN ln(c2 / v1) + CASE WHEN i >= 3 THEN ln(0.4) ELSE 0 END
+    WHEN c1 > 0 THEN ln(c1 / others) + least(i - 1, 2) * ln(0.4)
+    ELSE ln(1 / (others + 1)) + least(i - 1, 2) * ln(0.4) END AS s FROM x)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(sum(s), 0), 4) AS log_score,
+  round(CASE WHEN len(ws) > 0 THEN coalesce(sum(s), 0) / len(ws) ELSE 0 END, 6) AS log_score_per_word
+FROM d LEFT JOIN l USING (doc_id) GROUP BY d.doc_id, ws
+"""
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -112,8 +147,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op4_packing, op5_chat_format, op6_near_dedup, op7_url_filter, op8_quality_rules, op9_sharding, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_substring_dedup, op3_lm_score, op4_packing, op5_chat_format, op6_near_dedup, op7_url_filter, op8_quality_rules, op9_sharding, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": OP5_SQL, "op6_near_dedup": OP6_SQL, "op7_url_filter": OP7_SQL}
+    return {"op3_lm_score": OP3_SQL, "op5_chat_format": OP5_SQL, "op6_near_dedup": OP6_SQL, "op7_url_filter": OP7_SQL}
