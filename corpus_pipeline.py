@@ -1,4 +1,72 @@
-STAGES = []
+"""The corpus pipeline: five stages from raw documents to packed sequences.
+
+Each stage reads what the one before it kept. All but the last return the columns
+of ``documents``; the last returns the pieces and where they are packed. Stages
+take whole tables and whole texts. Empty input gives empty output; the operators'
+docstrings say what happens to nulls, ties and repeated rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, near_dedup, packing, quality_rules, substring_dedup
+from tessera.llm.common import materialize
+from tessera.llm.queries import read, tokenizer_path
+from tessera.session import ship
+
+
+def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality rules: documents that the base rule or their stratum's cutoff rejects go."""
+    ship(spark)
+    judged = quality_rules.judge(docs, read(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return judged.filter("__kept").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: one document of each group stays."""
+    ship(spark)
+    return near_dedup.deduplicate(docs).select(docs.columns)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Substring dedup: words in repeated windows go; ``n_chars`` follows where the text has changed."""
+    ship(spark)
+    out = substring_dedup.remove_repeats(docs)
+    if "n_chars" in docs.columns:
+        n_chars = F.when(F.col("__n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold a benchmark window go."""
+    ship(spark)
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark")).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing of the tokenized documents into sequences of 2048 tokens."""
+    ship(spark)
+    return packing.pack(docs.select("doc_id", "text"), tokenizer_path())
+
+
+STAGES = [
+    ("quality rules", reject_low_quality),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("substring dedup", cut_repeated_passages),
+    ("benchmark decontamination", drop_contaminated),
+    ("best-fit packing", pack_sequences),
+]
+
+#: Risk-controlled cutoffs, set similarity and tokens are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written as Parquet and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
