@@ -29,8 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.components import connected_components
+
 from .common import WordHashes, hash_words, materialize, mix, window_hashes
-from .components import connected_components
 
 SHINGLE = 5
 PERCENT = 85
