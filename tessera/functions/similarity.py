@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import text
 
@@ -74,11 +75,11 @@ def token_ratio(a: str, b: str) -> float:
     return max(in_order, indel_ratio(p, q), *([indel_ratio(core, p), indel_ratio(core, q)] if both else []))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fuzzy_name_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio((x or "").lower(), (y or "").lower()) for x, y in zip(a, b, strict=True)])

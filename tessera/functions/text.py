@@ -144,11 +144,11 @@ def paragraph_of_line(text: Column, line: Column) -> Column:
 
 
 def confidence_colour(c: Column) -> Column:
-    """Red at 0 over yellow at 0.5 to green at 1, as a hexadecimal colour."""
+    """From red at 0 to green at 1, as a hexadecimal colour."""
+    # The two ends.
+    low, high = (231, 76, 60), (39, 174, 96)
     at = F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-    red = F.when(at < 0.5, F.lit(255)).otherwise(F.floor(255 * (1 - at) * 2)).cast("int")
-    green = F.when(at < 0.5, F.floor(255 * at * 2)).otherwise(F.lit(255)).cast("int")
-    return F.format_string("#%02x%02x00", red, green)
+    return F.format_string("#%02x%02x%02x", *[F.floor(x + (y - x) * at).cast("int") for x, y in zip(low, high, strict=True)])
 
 
 def phrase_candidates(question: Column) -> Column:

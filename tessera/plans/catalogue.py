@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import claims
+from . import claims, documents
 
-MODULES = (claims,)
+MODULES = (claims, documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

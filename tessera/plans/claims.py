@@ -7,7 +7,7 @@ customer's nation, its date the ship date. Money is counted in whole units of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import claims as C
@@ -33,9 +33,13 @@ def encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("status", C.claim_status(F.col("billed"), F.col("covered")))
 
 
-#: What tells claims of one patient and date apart, in order; and the order of the newest first.
+#: What tells claims of one patient and date apart, in order; and the order of the newest first, then by these.
 TIES = ["order_id", "line", "billed_u", "covered_u", "part"]
-NEWEST = [F.col("date").desc(), *[F.col(c) for c in TIES]]
+
+
+def newest() -> list[Column]:
+    return [F.col("date").desc(), *[F.col(c) for c in TIES]]
+
 
 ENCOUNTERS = """
 e0 AS (
@@ -112,7 +116,7 @@ def bill_explanation(spark, sf_dir):
 
 def pre_procedure_prep(spark, sf_dir):
     parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_name").alias("description"), F.col("p_type").alias("reason"))
-    last = C.latest(encounters(spark, sf_dir), "patient", NEWEST)
+    last = C.latest(encounters(spark, sf_dir), "patient", newest())
     kinds = F.when(F.col("kind") == "R", "emergency").otherwise("wellness")
     rows = last.join(parts, "part").join(people(spark, sf_dir), "patient").withColumn("encounter_type", kinds)
     return rows.select("patient", C.prep_answer().alias("answer"))
@@ -123,11 +127,11 @@ def coverage_pct(spark, sf_dir):
 
 
 def encounter_latest(spark, sf_dir):
-    return C.latest(encounters(spark, sf_dir), "patient", NEWEST).select("patient", "date", "order_id", "line")
+    return C.latest(encounters(spark, sf_dir), "patient", newest()).select("patient", "date", "order_id", "line")
 
 
 def encounter_top20(spark, sf_dir):
-    return C.latest(encounters(spark, sf_dir), "patient", NEWEST, C.NEWEST_ENCOUNTERS).select("patient", "rank", "order_id", "line")
+    return C.latest(encounters(spark, sf_dir), "patient", newest(), C.NEWEST_ENCOUNTERS).select("patient", "rank", "order_id", "line")
 
 
 def transitions(spark, sf_dir) -> DataFrame:
