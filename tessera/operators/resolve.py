@@ -65,25 +65,24 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "id", block:
 
     tile = F.pmod(F.xxhash64(key), F.lit(blocks_of)).cast("int")
     rows = vectors.select(F.col(block).alias("block"), F.col(key).alias("id"), F.col("embedding"), tile.alias("tile"))
-    left = rows.withColumn("other", F.explode(F.sequence(F.col("tile"), F.lit(blocks_of - 1)))).select("block", F.col("tile").alias("t"), F.col("other").alias("u"), "id", "embedding")
-    right = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tile")))).select("block", F.col("other").alias("t"), F.col("tile").alias("u"), "id", "embedding")
+    left = rows.withColumn("other", F.explode(F.sequence(F.col("tile"), F.lit(blocks_of - 1)))).select("block", F.col("tile").alias("t"), F.col("other").alias("u"), F.lit(0).alias("side"), "id", "embedding")
+    right = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tile")))).select("block", F.col("other").alias("t"), F.col("tile").alias("u"), F.lit(1).alias("side"), "id", "embedding")
 
-    def multiply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         if not len(a) or not len(b):
             return pd.DataFrame({"a": [], "b": [], "cosine": []})
         x, y = (np.stack(d["embedding"].to_numpy()).astype(np.float64) for d in (a, b))
         with np.errstate(invalid="ignore", divide="ignore"):
             x, y = (np.nan_to_num(m / np.linalg.norm(m, axis=1, keepdims=True)) for m in (x, y))
         found = x @ y.T
-        i, j = np.nonzero(found >= threshold - 1e-9)
+        i, j = np.nonzero(found >= threshold)
         p, q, c = a["id"].to_numpy()[i], b["id"].to_numpy()[j], found[i, j]
-        same = (a["t"].iloc[0] == a["u"].iloc[0])
-        keep = (p < q) if same else (p != q)
+        keep = (p < q) if a["t"].iloc[0] == a["u"].iloc[0] else (p != q)
         return pd.DataFrame({"a": np.minimum(p, q)[keep], "b": np.maximum(p, q)[keep], "cosine": c[keep]})
 
     kind = vectors.schema[key].dataType.simpleString()
-    near = left.groupBy("block", "t", "u").cogroup(right.groupBy("block", "t", "u")).applyInPandas(multiply, f"a {kind}, b {kind}, cosine double")
-    return near.filter(F.col("cosine") >= threshold)
+    return left.unionByName(right).groupBy("block", "t", "u").applyInPandas(multiply, f"a {kind}, b {kind}, cosine double")
 
 
 def long_attributes(entities: DataFrame, key: str, attributes: list[str], source: str) -> DataFrame:

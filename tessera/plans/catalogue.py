@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import claims, documents
+from . import calls, claims, documents, entities
 
-MODULES = (claims, documents)
+MODULES = (claims, documents, entities, calls)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
