@@ -65,7 +65,7 @@ def event_windows(events: DataFrame, time: str, width: str, keys: list[str]) ->
 def sessions(events: DataFrame, time: str, key: str, gap_seconds: int) -> DataFrame:
     """An extension: runs of a key's events with no gap longer than the given one."""
     w = Window.partitionBy(key).orderBy(time)
-    seconds = F.unix_micros(time)
+    seconds = F.unix_micros(F.col(time).cast("timestamp"))
     fresh = F.when(seconds - F.lag(seconds).over(w) <= gap_seconds * 1_000_000, 0).otherwise(1)
     numbered = events.withColumn("__new", fresh).withColumn("session", F.sum("__new").over(w))
     return numbered.groupBy(key, "session").agg(F.min(time).alias("first"), F.max(time).alias("last"), F.count(F.lit(1)).alias("n"))

@@ -21,9 +21,11 @@ def intent_classify(spark, sf_dir):
     return _turns(spark, sf_dir).select("call_id", "turn", rules.intent(text).alias("intent"), rules.is_goodbye(text).alias("goodbye"), rules.is_open_ended(text).alias("open_ended"))
 
 
-def _replies(spark, sf_dir):
-    """Every caller is known by the name that they say first."""
-    return V.replay(_turns(spark, sf_dir).withColumns({"match_type": F.lit("answer"), "person": F.lower("text")}))
+def _replies(spark, sf_dir, asks_about=""):
+    """Every caller is known by the name that they say first; some calls ask about a claim later."""
+    later = F.when((F.col("call_id") % 3 == 0) & (F.col("turn") >= 2), asks_about).otherwise("")
+    turns = _turns(spark, sf_dir).withColumn("text", F.concat("text", later))
+    return V.replay(turns.withColumns({"match_type": F.lit("answer"), "person": F.lower("text")}))
 
 
 def call_state_machine(spark, sf_dir):
@@ -31,7 +33,7 @@ def call_state_machine(spark, sf_dir):
 
 
 def call_phases(spark, sf_dir):
-    return V.phase_events(_replies(spark, sf_dir)).select("call_id", "second", "event", "intent")
+    return V.phase_events(_replies(spark, sf_dir, " Why was my claim denied?")).select("call_id", "second", "event", "intent")
 
 
 def call_routing(spark, sf_dir):
@@ -64,6 +66,7 @@ def event_sessions(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (intent_classify, call_state_machine, call_phases, call_routing, menu_responses, answer_status, event_windows, event_sessions)}
 
 TURNS = "t AS (SELECT conv_id AS call_id, turn, text FROM conversations WHERE role = 'user')"
+CLAIMS = "t AS (SELECT conv_id AS call_id, turn, text || CASE WHEN conv_id % 3 = 0 AND turn >= 2 THEN ' Why was my claim denied?' ELSE '' END AS text FROM conversations WHERE role = 'user')"
 _GOODBYE = "(" + " OR ".join(f"contains(lower(text), '{k.replace(chr(39), chr(39) * 2)}')" for k in rules.GOODBYE_KEYWORDS) + ")"
 _INTENT = _case(rules.INTENT_KEYWORDS, "lower(text)", "'general'")
 FOLD = f"""i AS (SELECT *, {_GOODBYE} AS bye, {_INTENT} AS intent, len(list_filter(string_split_regex(lower(text), '[ \\n\\t\\r]+'), lambda w: length(w) > 1)) >= 2 AS full_name FROM t),
@@ -74,7 +77,7 @@ _EVENT = "CASE WHEN turn > e THEN 'ignored' WHEN bye THEN 'call_ended' WHEN turn
 ORACLES = {
     "intent_classify": f"WITH {TURNS} SELECT call_id, turn, {_INTENT} AS intent, {_GOODBYE} AS goodbye, regexp_matches(lower(text), '\\b(" + "|".join(rules.OPEN_ENDED_KEYWORDS) + ")\\b') AS open_ended FROM t",
     "call_state_machine": f"WITH {TURNS}, {FOLD} SELECT call_id, turn, CASE WHEN turn >= e THEN 'end_call' WHEN turn >= v THEN 'answering' ELSE 'verify_identity' END AS state, coalesce(turn >= e, false) AS end_call, {_EVENT} AS event FROM m",
-    "call_phases": f"WITH {TURNS}, {FOLD}, p AS (SELECT unnest(range(0, 6)) AS second) SELECT call_id, CAST(second AS INT) AS second, 'phase_' || (second // 2 + 1) || CASE WHEN second % 2 = 0 THEN '_start' ELSE '_done' END AS event, intent FROM m, p WHERE turn = e AND NOT bye",
+    "call_phases": f"WITH {CLAIMS}, {FOLD}, p AS (SELECT unnest(range(0, 6)) AS second) SELECT call_id, CAST(second AS INT) AS second, 'phase_' || (second // 2 + 1) || CASE WHEN second % 2 = 0 THEN '_start' ELSE '_done' END AS event, intent FROM m, p WHERE turn = e AND NOT bye",
     "call_routing": f"WITH {TURNS}, x AS (SELECT *, {_INTENT} AS intent FROM t) SELECT call_id, turn, intent, CASE WHEN intent = 'pre_procedure' AND call_id % 10 < 5 THEN 'report ' || (call_id % 10) WHEN intent = 'pre_procedure' THEN 'I couldn''t find preparation instructions.' WHEN intent = 'bill_explain' THEN 'I couldn''t retrieve your billing details.' ELSE 'I don''t have that information.' END AS answer FROM x",
     "menu_responses": f"WITH {TURNS} SELECT call_id, turn, CASE turn % 5 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in rules.MENU.items()) + f" ELSE '{rules.MENU_DEFAULT}' END AS response FROM t",
     "answer_status": f"WITH {TURNS} SELECT call_id, turn, CASE turn % 3 WHEN 0 THEN 'PENDING_P2P' WHEN 1 THEN 'PAID' ELSE 'default' END AS status, CASE WHEN turn % 2 = 0 THEN 'PASSPORT' ELSE 'INSURANCE' END AS label FROM t",
