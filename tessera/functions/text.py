@@ -139,7 +139,7 @@ def line_with(own_lines: Column, value: Column) -> Column:
 
 def paragraph_of_line(text: Column, line: Column) -> Column:
     """Number from 1 of the paragraph that a line is in: blank lines before it, counted once a run, and one."""
-    before = F.array_join(F.slice(lines(text), F.lit(1), line - 1), "\n")
+    before = F.concat(F.array_join(F.slice(lines(text), F.lit(1), line - 1), "\n"), F.lit("\n"))
     return F.regexp_count(before, F.lit(r"\n\n+")) + F.lit(1)
 
 

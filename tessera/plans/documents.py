@@ -169,7 +169,7 @@ ORACLES = {
       '$' || format('{:,.2f}', c_acctbal) AS money, 0.0::DOUBLE AS not_a_number, sha256(c_name) AS sha, substr(c_mktsegment, 1, 5) AS preview,
       format('#{:02x}{:02x}{:02x}', CAST(floor(231 + (39 - 231) * ((c_custkey % 101) / 100.0::DOUBLE)) AS INT), CAST(floor(76 + (174 - 76) * ((c_custkey % 101) / 100.0::DOUBLE)) AS INT), CAST(floor(60 + (96 - 60) * ((c_custkey % 101) / 100.0::DOUBLE)) AS INT)) AS colour FROM customer""",
     "json_extract": "SELECT event_id, event_id % 3 <> 2 AND json_valid(props) AND props LIKE '%{%}%' AS parsed FROM events",
-    "line_search": "WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), y AS (SELECT doc_id, ls, list_position(list_transform(ls, lambda l: contains(lower(l), 'the')), true) AS n FROM x) SELECT doc_id, CASE WHEN n > 0 THEN CAST(n AS INT) END AS line_number, CASE WHEN n > 0 THEN CAST(len(regexp_extract_all(array_to_string(ls[1:n-1], chr(10)), '\\n\\n+')) + 1 AS INT) END AS paragraph FROM y",
+    "line_search": "WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), y AS (SELECT doc_id, ls, list_position(list_transform(ls, lambda l: contains(lower(l), 'the')), true) AS n FROM x) SELECT doc_id, CASE WHEN n > 0 THEN CAST(n AS INT) END AS line_number, CASE WHEN n > 0 THEN CAST(len(regexp_extract_all(array_to_string(ls[1:n-1], chr(10)) || chr(10), '\\n\\n+')) + 1 AS INT) END AS paragraph FROM y",
     "new_files_antijoin": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "group_texts": f"SELECT lang, count(*) AS texts, CAST(sum(length(text)) AS BIGINT) AS chars, count(DISTINCT text) AS distinct_texts FROM documents WHERE len({_WORDS}) > 0 GROUP BY lang",
 }
