@@ -129,3 +129,15 @@ def reviewed(rows: DataFrame) -> DataFrame:
     """Entities from reviewed attributes: private and blank ones go, the name is found in the others."""
     kept = rows.withColumn("attributes", filled(public(F.col("attributes"))))
     return kept.withColumn("name", entity_name(F.col("attributes")))
+
+
+def entities_from_replies(rows: DataFrame, schema: dict[str, str]) -> DataFrame:
+    """From a model's replies about texts: doc_id, name, attributes, confidence, line_number. No object in a reply, no entity.
+
+    Only the schema's fields are kept; the confidence is the share of them that is filled; the line is the first that has the name.
+    """
+    keys = F.array(*[F.lit(k) for k in schema])
+    known = F.map_filter(F.from_json(tx.json_in(F.col("reply")), "map<string, string>"), lambda k, _: F.array_contains(keys, k))
+    own = rows.withColumn("attributes", filled(known)).filter("attributes is not null")
+    named = own.withColumn("name", entity_name(F.col("attributes")))
+    return named.select("doc_id", "name", "attributes", filled_share(F.col("attributes"), list(schema)).alias("confidence"), tx.line_with(tx.lines(F.col("text")), F.col("name")).alias("line_number"))

@@ -152,3 +152,18 @@ def best_person(people: DataFrame, name: str, key: str = "person_id") -> DataFra
     """The insured person whose name scores best, the first of equals; none under 0.60."""
     scored = people.filter("insurance_payer is not null").withColumn("score", sim.query_score(F.lit(name), F.col("name")))
     return scored.filter(F.col("score") >= PERSON_MATCH).orderBy(F.desc("score"), key).limit(1)
+
+
+def options(entities: DataFrame) -> DataFrame:
+    """Per canonical name what tells its bearers apart: distinct types and sources, the first date of birth, how many rows."""
+    rows = entities.withColumn("canon", tx.canonical_name(F.col("name")))
+    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    return rows.groupBy("canon").agg(joined("doc_type").alias("doc_types"), F.count_distinct("source_doc_id").alias("sources"), F.min_by("dob", "entity_id").alias("dob_hint"), F.count(F.lit(1)).alias("entities"))
+
+
+def summary(entities: DataFrame) -> DataFrame:
+    """One row about all entities: how many, of how many people, and the first names."""
+    rows = entities.select(tx.canonical_name(F.col("name")).alias("canon"))
+    counts = rows.agg(F.count(F.lit(1)).alias("entities"), F.count_distinct("canon").alias("people"))
+    first = rows.distinct().orderBy("canon").limit(NAMES).agg(F.array_join(F.array_sort(F.collect_list("canon")), ",").alias("names"))
+    return counts.join(F.broadcast(first))  # one row each

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import engine
 from tessera.operators import extract as X
 from tessera.operators import graph as G
 from tessera.operators import resolve as M
@@ -307,7 +308,35 @@ def entity_union(spark, sf_dir):
     return rows.select("patient_id", "record_type", "name", F.size("attributes").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (cosine_pairs, name_exact_score, resolve_pairs, same_as_components, bfs_expand_3, pagerank_k, conflicts, conflict_rollup, conflict_totals, traversable_links, household_groups, household_totals, household_edges, dual_compare, subgraph_nodes, incident_edges, known_end_edges, rejected_edges, graph_stats, neighbourhood_report, node_styles, edge_styles, first_mentions, edge_upsert, temporal_current, temporal_asof, most_recent_value, find_entities, source_documents, provenance_explode, verify_fact, facts_by_source, routed_facts, smart_query_rank, smart_query_matches, smart_query_type, semantic_chunks, entity_listing, public_attributes, person_lookup, person_exists, field_entities, remote_results, entity_union)}
+def disambiguation_options(spark, sf_dir):
+    return R.options(entities(spark, sf_dir))
+
+
+def open_ended_summary(spark, sf_dir):
+    return R.summary(entities(spark, sf_dir))
+
+
+def best_person(spark, sf_dir):
+    people = entities(spark, sf_dir).withColumn("insurance_payer", F.when(F.col("p_size") % 2 == 0, "payer"))
+    return R.best_person(people, "ring small one", "entity_id").select("entity_id", "name")
+
+
+def reply_entities(spark, sf_dir):
+    """Replies of a model about each customer, some of them no object."""
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("first\n"), F.col("c_name")).alias("text"), F.when(F.col("c_custkey") % 3 == 0, "I can't.").otherwise(F.concat(F.lit('Sure: ```{"name": "'), F.col("c_name"), F.lit('", "dob": null, "id_number": " 7 ", "other": "x"}```'))).alias("reply"))
+    return X.entities_from_replies(c, {"name": "", "dob": "", "id_number": ""}).select("doc_id", "name", "confidence", "line_number", F.size("attributes").alias("n"))
+
+
+def query_engine(spark, sf_dir):
+    """A question about entity 0 end to end; the documents are the brands."""
+    e = entities(spark, sf_dir).withColumn("attributes", F.create_map(F.lit("dob"), F.col("dob").cast("string"))).withColumn("date", F.col("dob")).withColumn("ord", F.col("entity_id"))
+    asked = e.filter("entity_id = 0").select("name", "embedding").first()  # one row: the question
+    docs = e.groupBy(F.col("source_doc_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).select("doc_id", F.col("doc_id").alias("filename"), F.repeat(F.lit("word "), F.col("n").cast("int")).alias("text"), "n")
+    got = engine.query(e, docs.drop("n"), near_pairs(spark, sf_dir), docs.select(F.col("doc_id").alias("id"), (F.col("n") / 100.0).alias("centrality")), attributes(spark, sf_dir), [asked["name"]], asked["embedding"], 3, "1990-01-03", 1000.0)
+    return got.context.select("doc_id", "position", F.round("score", 6).alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (cosine_pairs, name_exact_score, resolve_pairs, same_as_components, bfs_expand_3, pagerank_k, conflicts, conflict_rollup, conflict_totals, traversable_links, household_groups, household_totals, household_edges, dual_compare, subgraph_nodes, incident_edges, known_end_edges, rejected_edges, graph_stats, neighbourhood_report, node_styles, edge_styles, first_mentions, edge_upsert, temporal_current, temporal_asof, most_recent_value, find_entities, source_documents, provenance_explode, verify_fact, facts_by_source, routed_facts, smart_query_rank, smart_query_matches, smart_query_type, semantic_chunks, entity_listing, public_attributes, person_lookup, person_exists, field_entities, remote_results, entity_union, disambiguation_options, open_ended_summary, best_person, reply_entities, query_engine)}
 
 _COS = "list_cosine_similarity(CAST({a}.embedding AS DOUBLE[]), CAST({b}.embedding AS DOUBLE[]))"
 PAIRS = f"np AS (SELECT a.vec_id AS a, b.vec_id AS b, {_COS.format(a='a', b='b')} AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {_COS.format(a='a', b='b')} >= 0.30)"
@@ -392,4 +421,14 @@ ORACLES = {
     "field_entities": "SELECT CAST(c_custkey AS VARCHAR) AS source_file, CASE WHEN c_custkey % 2 = 0 THEN 'DRIVERS_LICENSE' ELSE 'GENERIC' END AS doc_type, c_name AS name, CAST(NULL AS VARCHAR) AS doc_date, round((0.9::DOUBLE + (c_custkey % 10) / 10::DOUBLE + 0.5::DOUBLE) / 3, 3) AS confidence, 2 AS n FROM customer",
     "remote_results": "SELECT CAST(c_custkey AS VARCHAR) AS source_file, CASE c_custkey % 3 WHEN 0 THEN 'PASSPORT' WHEN 1 THEN 'DRIVERS_LICENSE' ELSE 'GENERIC' END AS document_type, CASE WHEN c_custkey % 2 = 0 THEN round((1.0::DOUBLE + 0.7) / 2, 3) ELSE round((1.0::DOUBLE + 0.7 + 0.7) / 3, 3) END AS confidence, 'license_number=' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ';sex=M' END || ';name=' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' Walker' AS items FROM customer",
     "entity_union": "SELECT c_custkey AS patient_id, 'person' AS record_type, c_name AS name, 3 AS n FROM customer UNION ALL SELECT o_custkey, 'condition', o_orderpriority, 3 FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O' UNION ALL SELECT o_custkey, 'encounter', o_orderpriority, 4 FROM orders JOIN customer ON o_custkey = c_custkey",
+    "disambiguation_options": f"WITH {ENT} SELECT lower(name) AS canon, string_agg(DISTINCT doc_type, ',' ORDER BY doc_type) AS doc_types, count(DISTINCT source_doc_id) AS sources, min_by(dob, entity_id) AS dob_hint, count(*) AS entities FROM en GROUP BY lower(name)",
+    "open_ended_summary": f"WITH {ENT}, d AS (SELECT DISTINCT lower(name) AS c FROM en ORDER BY c LIMIT 15) SELECT count(*) AS entities, count(DISTINCT lower(name)) AS people, (SELECT string_agg(c, ',' ORDER BY c) FROM d) AS names FROM en",
+    "best_person": f"WITH {ENT} SELECT entity_id, name FROM en WHERE p_size % 2 = 0 AND name = 'small ring' ORDER BY entity_id LIMIT 1",
+    "reply_entities": "SELECT c_custkey AS doc_id, c_name AS name, 0.67::DOUBLE AS confidence, 2 AS line_number, 2 AS n FROM customer WHERE c_custkey % 3 <> 0",
+    "query_engine": f"""WITH RECURSIVE {PAIRS}, {BOTH}, {ENT}, {FOUND}, cb AS (SELECT bw.a, bw.b FROM bw JOIN np ON (np.a = bw.a AND np.b = bw.b) OR (np.a = bw.b AND np.b = bw.a) WHERE np.c >= 0.60),
+      r(id, depth) AS (SELECT entity_id, 0 FROM fo WHERE score >= 0.2 UNION SELECT cb.b, depth + 1 FROM r JOIN cb ON r.id = cb.a WHERE depth < 3),
+      f AS (SELECT DISTINCT source_doc_id FROM en WHERE entity_id IN (SELECT id FROM r) AND dob <= DATE '1990-01-03'),
+      d AS (SELECT source_doc_id AS doc_id, count(*) AS n FROM en GROUP BY source_doc_id),
+      k AS (SELECT doc_id, 0.4 * (n / 100.0::DOUBLE) AS score, row_number() OVER (ORDER BY 0.4 * (n / 100.0::DOUBLE) DESC, doc_id) AS position, sum(n / 0.75::DOUBLE) OVER (ORDER BY 0.4 * (n / 100.0::DOUBLE) DESC, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM d WHERE doc_id IN (SELECT source_doc_id FROM f))
+      SELECT doc_id, CAST(position AS INT) AS position, round(score, 6)::DOUBLE AS score FROM k WHERE used <= 1000 OR position = 1""",
 }
