@@ -7,9 +7,9 @@ threshold of 0.85 miss each other in all bands with a chance of 3 in a million,
 more similar ones with much less.
 
 Buckets are never turned into all pairs. First each class is paired with its
-bucket's leader (the smallest class), and the links confirmed on full sets are
+bucket's leader (the class that meets most others), and the links confirmed on full sets are
 joined into components. Only where a bucket still holds more than one component
-are the pairs across its components taken up, if their sizes and one-bit
+are the pairs across its components taken up, if their sizes and four-bit
 signatures allow the threshold. So no link between different sets is lost that a
 band shows, while a bucket of many near copies costs about one pair a member.
 
@@ -37,8 +37,10 @@ SHINGLE = 5
 PERCENT = 85
 BANDS, ROWS = 40, 8
 MINIMA = BANDS * ROWS
-#: Of the one-bit signatures so many bits agree at least: six standard deviations below what the threshold gives.
-LEAST_AGREEING = int(MINIMA * (1 + PERCENT / 100) / 2 - 6 * (MINIMA * 0.925 * 0.075) ** 0.5)
+#: Signatures keep four bits of each minimum. Of these so many agree at least: 4.75 standard deviations below what the
+#: threshold gives, which one pair in a million at the threshold itself falls under.
+AGREEING = PERCENT / 100 + (1 - PERCENT / 100) / 16
+LEAST_AGREEING = int(MINIMA * AGREEING - 4.75 * (MINIMA * AGREEING * (1 - AGREEING)) ** 0.5)
 #: Members that one task compares with a leader, about.
 SALT = 1000
 
@@ -68,13 +70,13 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def bands_and_bits(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit key for each band, and one bit of each minimum, as 64-bit numbers."""
+    """A 64-bit key for each band, and four bits of each minimum, as 64-bit numbers."""
     h = np.zeros(BANDS, dtype=np.uint64)
     for column in m.reshape(BANDS, ROWS).T:
         h = h * np.uint64(0x9E3779B97F4A7C15) + column.astype(np.uint64) + np.uint64(1)
     keys = mix(mix(h) + np.arange(BANDS, dtype=np.uint64))
-    bits = (mix(m.astype(np.uint64)) >> np.uint64(40)) & np.uint64(1)
-    return keys.view(np.int64), np.packbits(bits.astype(np.uint8)).view(np.int64)
+    bits = ((mix(m.astype(np.uint64)) >> np.uint64(40)) & np.uint64(15)).astype(np.uint8)
+    return keys.view(np.int64), (bits[::2] << 4 | bits[1::2]).view(np.int64)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -117,7 +119,12 @@ def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _may(na: str, bitsa: str, nb: str, bitsb: str):
-    differing = F.expr("+".join(f"bit_count({bitsa}[{i}] ^ {bitsb}[{i}])" for i in range(MINIMA // 64)))
+    each = []
+    for i in range(MINIMA // 16):
+        x = f"({bitsa}[{i}] ^ {bitsb}[{i}])"
+        y = f"({x} | shiftrightunsigned({x}, 1))"
+        each.append(f"bit_count(({y} | shiftrightunsigned({y}, 2)) & {0x1111111111111111}L)")
+    differing = F.expr(" + ".join(each))
     return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (differing <= MINIMA - LEAST_AGREEING)
 
 
@@ -155,10 +162,13 @@ def _components(docs: DataFrame) -> DataFrame:
     classes = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.any_value("n_shingles").alias("n"), F.any_value("bits").alias("bits"), F.any_value("bands").alias("bands"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
 
-    members = classes.select("node", F.explode("bands").alias("band"))
-    full = members.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("many")).filter("many > 1").drop("many")
+    members = classes.select("node", F.posexplode("bands").alias("place", "band"))
+    full = members.groupBy("band").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
     members = materialize(members.join(full, "band"), "near-members")
-    pairs = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    # A bucket's leader is the class that meets most others: of copies of one text, mostly the text itself.
+    met = members.groupBy("node").agg(F.sum("many").alias("met"))
+    leaders = members.join(met, "node").groupBy("band").agg(F.max(F.struct("met", -F.col("node")))["col2"].alias("leader")).select("band", (-F.col("leader")).alias("leader"))
+    pairs = members.join(leaders, "band").filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     pairs = materialize(_promising(pairs, classes), "near-pairs")
 
     wanted = members.select("node").distinct().join(classes.select("node", "first.doc_id", "first.text_hash"), "node")
@@ -169,14 +179,16 @@ def _components(docs: DataFrame) -> DataFrame:
     links = materialize(confirmed(pairs, texts), "near-links")
     labels = materialize(connected_components(links), "near-labels")
 
-    # What is left: pairs across components that meet in a bucket.
-    placed = members.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    # What is left: pairs across components that meet in a bucket, each taken in the first band that both share.
+    placed = members.join(labels, "node", "left").select("band", "place", "node", F.coalesce("component", "node").alias("component"))
     split = placed.groupBy("band").agg((F.min("component") < F.max("component")).alias("split")).filter("split").drop("split")
-    placed = placed.join(split, "band").join(classes.select("node", "n", "bits"), "node")
-    x, y = (placed.select("band", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "n", "bits")]) for s in "xy")
-    rest = x.join(y, (x["band"] == y["band"]) & (F.col("component_x") < F.col("component_y")) & _may("n_x", "bits_x", "n_y", "bits_y"))
-    rest = rest.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
-    rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "near-rest")
+    placed = placed.join(split, "band").join(classes.select("node", "n", "bits", "bands"), "node")
+    x, y = (placed.select(*[F.col(c).alias(f"{c}_{s}") for c in placed.columns]) for s in "xy")
+    first = F.array_position(F.zip_with("bands_x", "bands_y", lambda p, q: p == q), True) == F.col("place_x") + 1
+    rest = x.join(y, (F.col("band_x") == F.col("band_y")) & (F.col("component_x") < F.col("component_y")) & _may("n_x", "bits_x", "n_y", "bits_y") & first)
+    rest = rest.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "near-rest")
     if rest.limit(1).count():
         more = materialize(confirmed(rest, texts), "near-links")
         if more.limit(1).count():
