@@ -26,9 +26,9 @@ PART_BYTES = 8_000_000
 RANGE_KEYS = 1_000_000
 
 SENT = "range long, part int, keys binary, extra binary"
-ANSWER = "part int, kind int, keys binary, extra binary"
+ANSWER = "part int, kind int, range long, keys binary, extra binary"
 _SENT = pa.schema([("range", pa.int64()), ("part", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
-_ANSWER = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
+_ANSWER = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("range", pa.int64()), ("keys", pa.binary()), ("extra", pa.binary())])
 
 
 def dealt(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
@@ -69,29 +69,92 @@ def part_of(key: tuple) -> int:
     return key[0].as_py()
 
 
-def send(part: int, keys: np.ndarray, extra: np.ndarray, bits: int) -> pa.Table:
-    """Rows for the ranges. ``keys`` is sorted; ``extra`` goes along."""
+def squeeze(values: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes, as many as the largest needs; a shuffle's compression folds the planes of zeros."""
+    raw = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    return bytes([width]) + np.ascontiguousarray(raw[:, :width].T).tobytes()
+
+
+def stretch(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _steps(keys: np.ndarray, base: int) -> bytes:
+    """Sorted keys as their differences, which need fewer bytes."""
+    return squeeze(np.diff(keys, prepend=np.uint64(base)))
+
+
+def ranges_of(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(range, first, last) of sorted keys."""
+    if not len(keys):
+        return []
     ranges = (keys >> np.uint64(64 - bits)).astype(np.int64)
     cuts = np.flatnonzero(np.diff(ranges)) + 1
-    first = np.concatenate([[0], cuts]) if len(keys) else np.empty(0, np.int64)
-    last = np.append(cuts, len(keys)) if len(keys) else np.empty(0, np.int64)
-    spans = list(zip(first.tolist(), last.tolist(), strict=True))
-    return pa.Table.from_arrays([pa.array(ranges[first.astype(np.int64)] if len(keys) else [], pa.int64()), pa.array([part] * len(spans), pa.int32()), pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([extra[a:b].tobytes() for a, b in spans], pa.binary())], schema=_SENT)
+    first = np.concatenate([[0], cuts])
+    return list(zip(ranges[first].tolist(), first.tolist(), np.append(cuts, len(keys)).tolist(), strict=True))
+
+
+def send(part: int, keys: np.ndarray, extra: np.ndarray, bits: int, pack: Callable[[np.ndarray], bytes] = np.ndarray.tobytes) -> pa.Table:
+    """Rows for the ranges. ``keys`` is sorted; ``extra`` goes along, written by ``pack``."""
+    spans = ranges_of(keys, bits)
+    packed = [_steps(keys[a:b], r << (64 - bits)) for r, a, b in spans]
+    return pa.Table.from_arrays([pa.array([r for r, _, _ in spans], pa.int64()), pa.array([part] * len(spans), pa.int32()), pa.array(packed, pa.binary()), pa.array([pack(extra[a:b]) for _, a, b in spans], pa.binary())], schema=_SENT)
+
 
+def _received(table: pa.Table, bits: int, unpack: Callable[[bytes], np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    keys = [np.cumsum(stretch(x), dtype=np.uint64) + np.uint64(r << (64 - bits)) for x, r in zip(table.column("keys").to_pylist(), table.column("range").to_pylist(), strict=True)]
+    return keys, [unpack(x) for x in table.column("extra").to_pylist()]
 
-def answered(sent: DataFrame, answer: Callable[[np.ndarray, np.ndarray, np.ndarray], list[tuple[int, np.ndarray, np.ndarray]]], extra: str, kind: int = 0) -> DataFrame:
+
+def answered(sent: DataFrame, bits: int, answer: Callable[[np.ndarray, np.ndarray, np.ndarray], list[tuple[int, np.ndarray, np.ndarray]]], extra: str, kind: int = 0) -> DataFrame:
     """Answers for the parts. ``answer`` gets the keys of a range, their extras (of dtype ``extra``) and the parts they are from; it gives (part, keys, extras)."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-        extras = [np.frombuffer(x, extra) for x in table.column("extra").to_pylist()]
+        keys, extras = _received(table, bits, lambda x: np.frombuffer(x, extra))
         parts = np.repeat(np.array(table.column("part").to_pylist(), np.int64), [len(k) for k in keys])
         rows = answer(np.concatenate(keys), np.concatenate(extras), parts)
-        return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([kind] * len(rows), pa.int32()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([r[2].tobytes() for r in rows], pa.binary())], schema=_ANSWER)
+        return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([kind] * len(rows), pa.int32()), pa.array([0] * len(rows), pa.int64()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([r[2].tobytes() for r in rows], pa.binary())], schema=_ANSWER)
+
+    return sent.groupBy("range").applyInArrow(run, ANSWER)
+
+
+def totalled(sent: DataFrame, bits: int, kind: int) -> DataFrame:
+    """To each part, for each range: one bit for each key it sent, whether another part has sent it too, and the totals of those."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, counts = _received(table, bits, stretch)
+        every = np.concatenate(keys)
+        order = np.argsort(every, kind="stable")
+        k = every[order]
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        many = np.diff(np.append(first, len(k)))
+        sums = np.add.reduceat(np.concatenate(counts)[order], first)
+        shared, total = np.empty(len(k), bool), np.empty(len(k), np.uint64)
+        shared[order], total[order] = np.repeat(many > 1, many), np.repeat(sums, many)
+        ends = np.cumsum([len(x) for x in keys])[:-1]
+        flags, totals = np.split(shared, ends), np.split(total, ends)
+        return pa.Table.from_arrays([table.column("part").combine_chunks(), pa.array([kind] * len(keys), pa.int32()), table.column("range").combine_chunks(), pa.array([np.packbits(f).tobytes() for f in flags], pa.binary()), pa.array([squeeze(t[f]) for t, f in zip(totals, flags, strict=True)], pa.binary())], schema=_ANSWER)
 
     return sent.groupBy("range").applyInArrow(run, ANSWER)
 
 
+def totals_heard(answers: pa.Table, kind: int, keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the sorted keys that the part had sent: whether others have them, and the totals (0 where not)."""
+    mine = answers.filter(pa.compute.equal(answers.column("kind"), kind))
+    rows = {r: (f, t) for r, f, t in zip(mine.column("range").to_pylist(), mine.column("keys").to_pylist(), mine.column("extra").to_pylist(), strict=True)}
+    shared, totals = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    for r, a, b in ranges_of(keys, bits):
+        flags, sums = rows[r]
+        shared[a:b] = np.unpackbits(np.frombuffer(flags, np.uint8), count=b - a).astype(bool)
+        totals[a:b][shared[a:b]] = stretch(sums).astype(np.int64)
+    return shared, totals
+
+
 def by_part(parts: np.ndarray, keys: np.ndarray, extras: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """The rows of each part apart."""
     order = np.argsort(parts, kind="stable")

@@ -26,12 +26,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import window_hashes
-from .exchange import PartWords, among, answered, by_part, dealt, heard, part_of, send, texts_of
+from .exchange import PartWords, dealt, part_of, send, squeeze, texts_of, totalled, totals_heard
 from .exchange import SENT as SENT_SCHEMA
 
 ORDER = 3
@@ -46,30 +47,50 @@ def _grams(words: PartWords, n: int) -> tuple[np.ndarray, np.ndarray]:
     return places, window_hashes(words.hashes, n)[places]
 
 
-def _totals(keys: np.ndarray, extras: np.ndarray, parts: np.ndarray) -> list:
-    """Answers with the total of each key that two or more parts have sent."""
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
-    many = np.diff(np.append(first, len(k)))
-    sums = np.add.reduceat(extras[order].astype(np.uint64), first) if len(k) else np.empty(0, np.uint64)
-    total, shared = np.repeat(sums, many), np.repeat(many > 1, many)
-    return by_part(parts[order][shared], k[shared], total[shared])
-
-
-def _counted(words: PartWords, places: np.ndarray, grams: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """For each place of the part, the count over other documents of the n-gram that begins there (0 where none does)."""
-    seen, which, here = np.unique(grams, return_inverse=True, return_counts=True)
-    total = here.astype(np.int64)
-    keys, sums = known
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, seen), len(keys) - 1)
-        total = np.where(keys[at] == seen, sums[at].astype(np.int64), total)
-    # which is below 2**32, as are documents of a part
-    doc = np.repeat(np.arange(len(words.lengths)), words.lengths)[places]
-    _, back, own = np.unique(doc.astype(np.uint64) << np.uint64(32) | which.astype(np.uint64), return_inverse=True, return_counts=True)
-    out = np.zeros(len(words.hashes), dtype=np.int64)
-    out[places] = total[which] - own[back]
+class Level:
+    """The n-grams of one length in a part: those that go to the count tables, and what was answered."""
+
+    def __init__(self, words: PartWords, n: int, common: np.ndarray | None):
+        self.places, self.grams = _grams(words, n)
+        self.use = np.ones(len(self.places), bool) if common is None else common[self.places] & common[self.places + 1]
+        self.sent, self.many = np.unique(self.grams[self.use], return_counts=True)
+
+    def hear(self, answers: pa.Table, n: int, bits: int) -> None:
+        self.shared, self.totals = totals_heard(answers, n, self.sent, bits)
+
+    def common(self, words: PartWords) -> np.ndarray:
+        """At each place whether the n-gram that begins there is known to other parts."""
+        out = np.zeros(len(words.hashes) + 1, dtype=bool)
+        out[self.places[self.use]] = self.shared[np.searchsorted(self.sent, self.grams[self.use])]
+        return out
+
+    def counts(self, words: PartWords) -> np.ndarray:
+        """For each place, the count over other documents of the n-gram that begins there (0 where none does)."""
+        seen, which, here = np.unique(self.grams, return_inverse=True, return_counts=True)
+        total = here.astype(np.int64)
+        at = np.searchsorted(seen, self.sent[self.shared])
+        total[at] = self.totals[self.shared]
+        # which is below 2**32, as are documents of a part
+        doc = np.repeat(np.arange(len(words.lengths)), words.lengths)[self.places]
+        _, back, own = np.unique(doc.astype(np.uint64) << np.uint64(32) | which.astype(np.uint64), return_inverse=True, return_counts=True)
+        out = np.zeros(len(words.hashes), dtype=np.int64)
+        out[self.places] = total[which] - own[back]
+        return out
+
+
+def _levels(words: PartWords, answers: pa.Table | None, upto: int, bits: int) -> list[Level]:
+    """The levels up to a length, answered but for the last if there is no answer to it yet."""
+    out: list[Level] = []
+    common = None
+    for n in range(1, upto + 1):
+        level = Level(words, n, common)
+        out.append(level)
+        if answers is not None and pa.compute.any(pa.compute.equal(answers.column("kind"), n)).as_py():
+            level.hear(answers, n, bits)
+            common = level.common(words)
+        elif not len(level.sent):
+            level.shared, level.totals = np.zeros(0, bool), np.zeros(0, np.int64)
+            common = level.common(words)
     return out
 
 
@@ -99,31 +120,24 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     cells = given.groupBy("__part")
 
     def first(key: tuple, table: pa.Table) -> pa.Table:
-        seen, many = np.unique(PartWords(texts_of(table)).hashes, return_counts=True)
-        return send(part_of(key), seen, many.astype(np.uint32), bits)
+        level = _levels(PartWords(texts_of(table)), None, 1, bits)[0]
+        return send(part_of(key), level.sent, level.many, bits, squeeze)
 
     def longer(n: int):
         def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-            words = PartWords(texts_of(table))
-            places, shorter = _grams(words, n - 1)
-            common = np.zeros(len(words.hashes) + 1, dtype=bool)
-            common[places] = among(shorter, heard(answers, n - 1, "uint64")[0])
-            places, grams = _grams(words, n)
-            seen, many = np.unique(grams[common[places] & common[places + 1]], return_counts=True)
-            return send(part_of(key), seen, many.astype(np.uint32), bits)
+            level = _levels(PartWords(texts_of(table)), answers, n, bits)[-1]
+            return send(part_of(key), level.sent, level.many, bits, squeeze)
 
         return run
 
     def final(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         words = PartWords(texts_of(table))
-        counts = [_counted(words, *_grams(words, n), heard(answers, n, "uint64")) for n in range(1, order + 1)]
+        counts = [level.counts(words) for level in _levels(words, answers, order, bits)]
         logs = np.concatenate([[0.0], np.cumsum(_logs(words, counts, n_corpus))])
         return pa.Table.from_arrays([table.column("doc_id"), pa.array(words.lengths, pa.int64()), pa.array(logs[words.ends] - logs[words.begins], pa.float64())], ["doc_id", "n_words", "log_score"])
 
-    answers = answered(cells.applyInArrow(first, SENT_SCHEMA), _totals, "uint32", 1)
-    every = answers
+    every = totalled(cells.applyInArrow(first, SENT_SCHEMA), bits, 1)
     for n in range(2, order + 1):
-        answers = answered(cells.cogroup(answers.groupBy("part")).applyInArrow(longer(n), SENT_SCHEMA), _totals, "uint32", n)
-        every = every.unionByName(answers)
+        every = every.unionByName(totalled(cells.cogroup(every.groupBy("part")).applyInArrow(longer(n), SENT_SCHEMA), bits, n))
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType())])
     return cells.cogroup(every.groupBy("part")).applyInArrow(final, schema)

@@ -141,9 +141,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             table = table.append_column(name, pa.array(values, kind))
         return table
 
-    known = answered(cells.applyInArrow(anchors, SENT_SCHEMA), lambda k, e, p: _shared(k, np.zeros(len(k), np.uint8), p), "uint8")
+    known = answered(cells.applyInArrow(anchors, SENT_SCHEMA), bits, lambda k, e, p: _shared(k, np.zeros(len(k), np.uint8), p), "uint8")
     sent = cells.cogroup(known.groupBy("part")).applyInArrow(candidates, SENT_SCHEMA)
-    windows = answered(sent, _shared, "uint64")
+    windows = answered(sent, bits, _shared, "uint64")
     return cells.cogroup(windows.groupBy("part")).applyInArrow(cut, schema)
 
 
