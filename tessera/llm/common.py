@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +15,12 @@ from pyspark.sql.window import Window
 
 from tessera.storage import materialize
 
-__all__ = ["WordHashes", "hash_words", "materialize", "mix", "ranked", "shuffle_partitions", "spread", "window_hashes", "with_fields"]
+__all__ = ["WordHashes", "hash_words", "materialize", "mix", "ranked", "release", "short_batches", "shuffle_partitions", "spread", "window_hashes", "with_fields"]
 
 #: Words known to a Python worker at one time; beyond that its cache starts afresh.
-WORD_CACHE = 400_000
+WORD_CACHE = 100_000
+#: Rows in one batch for a Python worker.
+BATCH_ROWS = 2000
 _U64 = np.uint64
 
 
@@ -22,6 +28,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """Give memory that a Python worker no longer uses back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Let texts go to the Python workers in batches of at most ``BATCH_ROWS`` rows, as they can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class WordHashes(dict):
     """A word's 64-bit hash, remembered; at most ``WORD_CACHE`` words at a time."""
 

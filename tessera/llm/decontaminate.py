@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import short_batches
+
 WINDOW = 10
 #: Bytes of benchmark text in one block.
 BLOCK_BYTES = 4_000_000
@@ -148,6 +150,7 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tupl
 def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_BYTES) -> DataFrame:
     """Add ``__c``: n_words, n_hit, items (sorted ids), longest (words of the longest verbatim match), longest_at (its first word), bits (of the words hit)."""
     spark = docs.sparkSession
+    short_batches(spark)
     kind = "struct<n_words: bigint, n_hit: bigint, items: array<string>, longest: bigint, longest_at: bigint, bits: binary>"
     names = ["n_words", "n_hit", "items", "longest", "longest_at", "bits"]
 

@@ -19,7 +19,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, hash_words, shuffle_partitions
+from .common import WordHashes, hash_words, release, short_batches, shuffle_partitions
 
 #: Bytes of text in one part, about, and keys in one range.
 PART_BYTES = 8_000_000
@@ -33,6 +33,7 @@ _ANSWER = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("range", pa.in
 
 def dealt(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
     """``docs`` with ``__part``, and the number of bits that ranges of hashes have."""
+    short_batches(docs.sparkSession)
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     parts = max(shuffle_partitions(docs.sparkSession), -(-total // PART_BYTES))
     # About one key in twelve bytes of text.
@@ -66,6 +67,7 @@ def texts_of(table: pa.Table, text: str = "text") -> list[bytes | None]:
 
 
 def part_of(key: tuple) -> int:
+    release()
     return key[0].as_py()
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
 
-from .common import WordHashes, hash_words, materialize, mix, window_hashes
+from .common import WordHashes, hash_words, materialize, mix, release, short_batches, window_hashes
 
 SHINGLE = 5
 PERCENT = 85
@@ -107,6 +107,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 at = np.concatenate([[0], np.cumsum([len(y) for y in x])]).astype(np.int32)
                 lists.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(x) if x else [], pa.int64())))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), *lists], ["doc_id", "text_hash", "n_shingles", "set_key", "bits", "bands"])
+        release()
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, set_key binary, bits array<long>, bands array<long>")
@@ -152,12 +153,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 elif now == (a, salt) and similar(lead, own):
                     found.append((a, node))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+        release()
 
     return stream.select("a", "salt", "kind", "node", "text").mapInArrow(run, "a long, b long")
 
 
 def _components(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, text_hash, n_shingles, component_id, stays (whether it is its component's first row)."""
+    short_batches(docs.sparkSession)
     rows = materialize(signatures(docs), "near-rows")
     classes = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.any_value("n_shingles").alias("n"), F.any_value("bits").alias("bits"), F.any_value("bands").alias("bands"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ranked
+from .common import materialize, ranked, short_batches
 
 CAPACITY = 2048
 END_ID = 0
@@ -90,6 +90,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32."""
     kind = docs.schema["doc_id"].dataType
+    short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import short_batches
+
 #: Labelled rows that the classifier learns from, at most; those with the smallest hashes of doc_id.
 SAMPLE = 4000
 BUCKETS = 1 << 17
@@ -150,6 +152,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[n
 
 def scored(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score."""
+    short_batches(docs.sparkSession)
     table, bias = learn(docs, labels, label)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 

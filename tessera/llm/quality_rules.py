@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, hash_words, window_hashes
+from .common import WordHashes, hash_words, short_batches, window_hashes
 
 SPACE = b" \t\n\v\f\r"
 #: Fixed values of the base rule.
@@ -40,6 +40,8 @@ SCALES = {"symbols": 0.10, "marks": 0.50, "upper": 0.80, "dup_lines": 0.60, "rep
 GRID = 200  # cutoffs from GRID / 100 down to 0.01
 RISK = 0.005
 ERROR = 0.05
+#: Strata with cutoffs up to which they are broadcast; beyond it they are joined.
+MOST_BROADCAST = 10_000
 
 UPPER = bytes(range(65, 91))
 OTHER_THAN_UPPER = bytes(b for b in range(256) if b not in UPPER)
@@ -165,10 +167,13 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFram
     The documents are measured twice, once for the cutoffs, as this costs less
     than a shuffle of the texts.
     """
+    short_batches(docs.sparkSession)
     measured = with_measures(docs)
     chosen = cutoffs(with_measures(docs.select("doc_id", stratum, "text")), labels, stratum)
     spark = docs.sparkSession
     limits = spark.createDataFrame(chosen, "__s string, __cut double")
+    if len(chosen) <= MOST_BROADCAST:  # two small values each
+        limits = F.broadcast(limits)
     out = measured.join(limits, F.col(stratum).cast("string").eqNullSafe(F.col("__s")), "left") if chosen else measured.withColumn("__cut", F.lit(None).cast("double"))
     # floor(100 * badness) >= 100 * cutoff, as the grid was counted
     over = F.coalesce(F.floor(_badness() * 100) >= F.round(F.col("__cut") * 100), F.lit(False))
