@@ -17,6 +17,10 @@ from tessera.llm.queries import read, tokenizer_path
 from tessera.session import ship
 
 
+#: Similarity in percent from which the near-dedup stage takes documents for copies.
+NEAR_PERCENT = 80
+
+
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents that the base rule or their stratum's cutoff rejects go."""
     ship(spark)
@@ -27,7 +31,7 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup: one document of each group stays."""
     ship(spark)
-    return near_dedup.deduplicate(docs).select(docs.columns)
+    return near_dedup.deduplicate(docs, NEAR_PERCENT).select(docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

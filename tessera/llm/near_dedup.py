@@ -1,10 +1,10 @@
 """MinHash near-duplicates: banding, verification on full sets, star components.
 
 A document's set is its distinct word shingles. Documents with equal sets are one
-class and are never compared. ``BANDS`` x ``ROWS`` universal hash minima are cut
-into bands; classes that agree in a band are candidates. Two sets at the
-threshold of 0.85 miss each other in all bands with a chance of 3 in a million,
-more similar ones with much less.
+class and are never compared. ``MINIMA`` universal hash minima are cut into
+bands; classes that agree in a band are candidates. Bands and their rows follow
+from the threshold (85 percent if none is given): two sets at it miss each other
+in all bands with a chance of 3 in a million, more similar ones with much less.
 
 Buckets are never turned into all pairs. First each class is paired with its
 bucket's leader (the class that meets most others), and the links confirmed on full sets are
@@ -21,7 +21,9 @@ gives no rows; ``deduplicate`` passes other columns through.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +37,9 @@ from .common import WordHashes, hash_words, materialize, mix, release, short_bat
 
 SHINGLE = 5
 PERCENT = 85
-BANDS, ROWS = 40, 8
-MINIMA = BANDS * ROWS
-#: Signatures keep four bits of each minimum. Of these so many agree at least: 4.75 standard deviations below what the
-#: threshold gives, which one pair in a million at the threshold itself falls under.
-AGREEING = PERCENT / 100 + (1 - PERCENT / 100) / 16
-LEAST_AGREEING = int(MINIMA * AGREEING - 4.75 * (MINIMA * AGREEING * (1 - AGREEING)) ** 0.5)
+MINIMA = 320
+#: The chance that two sets at the threshold itself meet in no band, at most.
+MISSED = 3e-6
 #: Members that one task compares with a leader, about.
 SALT = 1000
 
@@ -50,6 +49,33 @@ _A = (_RANDOM.integers(0, 1 << 31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.
 _B = _RANDOM.integers(0, 1 << 32, MINIMA, dtype=np.uint32)[:, None]
 
 
+class Limits(NamedTuple):
+    """A threshold in percent, and the bands, their rows and the least number of agreeing minima that go with it."""
+
+    percent: int
+    bands: int
+    rows: int
+    least_agreeing: int
+
+
+def limits(percent: int = PERCENT) -> Limits:
+    """Of the bands that miss few enough at the threshold those with most rows, and no more of them than needed.
+
+    Signatures keep four bits of each minimum. Of these so many agree at least: 4.75 standard deviations below what the
+    threshold gives, which one pair in a million at the threshold itself falls under.
+    """
+    if not 0 < percent <= 100:
+        raise ValueError(f"percent is {percent}")
+    t = percent / 100
+    agreeing = t + (1 - t) / 16
+    least = int(MINIMA * agreeing - 4.75 * (MINIMA * agreeing * (1 - agreeing)) ** 0.5)
+    for rows in range(MINIMA, 0, -1):
+        bands = math.ceil(math.log(MISSED) / math.log1p(-(t**rows))) if t < 1 else 1
+        if bands * rows <= MINIMA:
+            return Limits(percent, bands, rows, least)
+    raise ValueError(f"{MINIMA} minima are too few for {percent} percent")
+
+
 def shingle_set(text: bytes | None, cache: WordHashes, width: int = SHINGLE) -> np.ndarray:
     """The sorted distinct hashes of the text's shingles."""
     words = (text or b"").translate(_LOWER).split()
@@ -69,25 +95,25 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands_and_bits(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bands_and_bits(m: np.ndarray, at: Limits = limits()) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit key for each band, and four bits of each minimum, as 64-bit numbers."""
-    h = np.zeros(BANDS, dtype=np.uint64)
-    for column in m.reshape(BANDS, ROWS).T:
+    h = np.zeros(at.bands, dtype=np.uint64)
+    for column in m[: at.bands * at.rows].reshape(at.bands, at.rows).T:
         h = h * np.uint64(0x9E3779B97F4A7C15) + column.astype(np.uint64) + np.uint64(1)
-    keys = mix(mix(h) + np.arange(BANDS, dtype=np.uint64))
+    keys = mix(mix(h) + np.arange(at.bands, dtype=np.uint64))
     bits = ((mix(m.astype(np.uint64)) >> np.uint64(40)) & np.uint64(15)).astype(np.uint8)
     return keys.view(np.int64), (bits[::2] << 4 | bits[1::2]).view(np.int64)
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
+def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     small, large = sorted((len(a), len(b)))
-    if 100 * small < PERCENT * large or not small:
+    if 100 * small < percent * large or not small:
         return False
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, at: Limits) -> DataFrame:
     """Per row: doc_id, text_hash, n_shingles, set_key (16 bytes), bits, bands."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -99,13 +125,13 @@ def signatures(docs: DataFrame) -> DataFrame:
                 s = shingle_set(text, cache)
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                k, v = bands_and_bits(minima(s)) if len(s) else (np.empty(0, np.int64), np.empty(0, np.int64))
+                k, v = bands_and_bits(minima(s), at) if len(s) else (np.empty(0, np.int64), np.empty(0, np.int64))
                 bands.append(k)
                 bits.append(v)
             lists = []
             for x in (bits, bands):
-                at = np.concatenate([[0], np.cumsum([len(y) for y in x])]).astype(np.int32)
-                lists.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(x) if x else [], pa.int64())))
+                ends = np.concatenate([[0], np.cumsum([len(y) for y in x])]).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x) if x else [], pa.int64())))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), *lists], ["doc_id", "text_hash", "n_shingles", "set_key", "bits", "bands"])
         release()
 
@@ -113,23 +139,23 @@ def signatures(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, set_key binary, bits array<long>, bands array<long>")
 
 
-def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _promising(pairs: DataFrame, classes: DataFrame, at: Limits) -> DataFrame:
     """The pairs (a, b) whose sizes and signatures allow the threshold."""
     sides = {x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab"}
-    return pairs.join(sides["a"], "a").join(sides["b"], "b").filter(_may("na", "bitsa", "nb", "bitsb")).select("a", "b")
+    return pairs.join(sides["a"], "a").join(sides["b"], "b").filter(_may("na", "bitsa", "nb", "bitsb", at)).select("a", "b")
 
 
-def _may(na: str, bitsa: str, nb: str, bitsb: str):
+def _may(na: str, bitsa: str, nb: str, bitsb: str, at: Limits):
     each = []
     for i in range(MINIMA // 16):
         x = f"({bitsa}[{i}] ^ {bitsb}[{i}])"
         y = f"({x} | shiftrightunsigned({x}, 1))"
         each.append(f"bit_count(({y} | shiftrightunsigned({y}, 2)) & {0x1111111111111111}L)")
     differing = F.expr(" + ".join(each))
-    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (differing <= MINIMA - LEAST_AGREEING)
+    return (100 * F.least(na, nb) >= at.percent * F.greatest(na, nb)) & (differing <= MINIMA - at.least_agreeing)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar on full sets. ``texts``: node, text.
 
     The smaller side is streamed once and the other side's texts after it; a node
@@ -150,7 +176,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 own = shingle_set(text, cache)
                 if kind == 0:
                     now, lead = (a, salt), own
-                elif now == (a, salt) and similar(lead, own):
+                elif now == (a, salt) and similar(lead, own, percent):
                     found.append((a, node))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
         release()
@@ -158,10 +184,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stream.select("a", "salt", "kind", "node", "text").mapInArrow(run, "a long, b long")
 
 
-def _components(docs: DataFrame) -> DataFrame:
+def _components(docs: DataFrame, percent: int) -> DataFrame:
     """Per row of ``docs``: doc_id, text_hash, n_shingles, component_id, stays (whether it is its component's first row)."""
     short_batches(docs.sparkSession)
-    rows = materialize(signatures(docs), "near-rows")
+    at = limits(percent)
+    rows = materialize(signatures(docs, at), "near-rows")
     classes = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.any_value("n_shingles").alias("n"), F.any_value("bits").alias("bits"), F.any_value("bands").alias("bands"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
 
@@ -172,14 +199,14 @@ def _components(docs: DataFrame) -> DataFrame:
     met = members.groupBy("node").agg(F.sum("many").alias("met"))
     leaders = members.join(met, "node").groupBy("band").agg(F.max(F.struct("met", -F.col("node")))["col2"].alias("leader")).select("band", (-F.col("leader")).alias("leader"))
     pairs = members.join(leaders, "band").filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = materialize(_promising(pairs, classes), "near-pairs")
+    pairs = materialize(_promising(pairs, classes, at), "near-pairs")
 
     wanted = members.select("node").distinct().join(classes.select("node", "first.doc_id", "first.text_hash"), "node")
     own = docs.select(F.col("doc_id").alias("__d"), F.xxhash64("text").alias("__h"), "text")
     texts = own.join(wanted, F.col("__d").eqNullSafe(F.col("doc_id")) & (F.col("__h") == F.col("text_hash"))).select("node", "text")
     texts = materialize(texts, "near-texts")
 
-    links = materialize(confirmed(pairs, texts), "near-links")
+    links = materialize(confirmed(pairs, texts, percent), "near-links")
     labels = materialize(connected_components(links), "near-labels")
 
     # What is left: pairs across components that meet in a bucket, each taken in the first band that both share.
@@ -188,12 +215,12 @@ def _components(docs: DataFrame) -> DataFrame:
     placed = placed.join(split, "band").join(classes.select("node", "n", "bits", "bands"), "node")
     x, y = (placed.select(*[F.col(c).alias(f"{c}_{s}") for c in placed.columns]) for s in "xy")
     first = F.array_position(F.zip_with("bands_x", "bands_y", lambda p, q: p == q), True) == F.col("place_x") + 1
-    rest = x.join(y, (F.col("band_x") == F.col("band_y")) & (F.col("component_x") < F.col("component_y")) & _may("n_x", "bits_x", "n_y", "bits_y") & first)
+    rest = x.join(y, (F.col("band_x") == F.col("band_y")) & (F.col("component_x") < F.col("component_y")) & _may("n_x", "bits_x", "n_y", "bits_y", at) & first)
     rest = rest.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "near-rest")
     if rest.limit(1).count():
-        more = materialize(confirmed(rest, texts), "near-links")
+        more = materialize(confirmed(rest, texts, percent), "near-links")
         if more.limit(1).count():
             labels = materialize(connected_components(links.unionByName(more)), "near-labels")
 
@@ -207,15 +234,15 @@ def _components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), stays.alias("stays"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    out = _components(docs.select("doc_id", "text"))
+    out = _components(docs.select("doc_id", "text"), percent)
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row left of each component: that with its smallest doc_id. Rows without words all stay."""
-    rows = materialize(_components(docs.select("doc_id", "text")), "near-judged")
+    rows = materialize(_components(docs.select("doc_id", "text"), percent), "near-judged")
     h = "__near_hash"
     out = docs.withColumn(h, F.xxhash64("text"))
 

@@ -255,6 +255,28 @@ def test_one_of_each_group_stays(docs):
     assert sorted(r["doc_id"] for r in out.collect()) == want
 
 
+def test_limits_follow_the_threshold():
+    assert near_dedup.limits() == (85, 40, 8, 245)
+    for percent in (70, 80, 85, 90, 100):
+        at = near_dedup.limits(percent)
+        assert at.bands * at.rows <= near_dedup.MINIMA
+        assert (1 - (percent / 100) ** at.rows) ** at.bands <= 3e-6
+
+
+def test_links_from_80_percent(spark):
+    """Of 100 words one in the middle changes: 91 of 101 shingles are shared; two, far apart: 86 of 106, which is 0.81."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(40):
+        words = [f"g{i}w{rng.randrange(10**6)}" for _ in range(100)]
+        rows.append((2 * i, " ".join(words)))
+        words[30] = words[70] = "other"
+        rows.append((2 * i + 1, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in near_dedup.deduplicate(df, 80).collect()} == {2 * i for i in range(40)}
+    assert near_dedup.deduplicate(df).count() == 80
+
+
 def test_minima_estimate_similarity():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 1 << 63, 1000).astype(np.uint64)

@@ -25,6 +25,16 @@ def test_stages(spark):
     assert packed.select("doc_id").distinct().count() == counts[4]
 
 
+def test_near_stage_takes_80_percent(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(1)
+    words = [f"w{i}" for i in range(100)]
+    changed = ["other" if i in (30, 70) else w for i, w in enumerate(words)]
+    pair = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(changed))], "doc_id long, text string")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    pair = pair.crossJoin(docs.select(*rest)).select(docs.columns)
+    assert [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, pair, SF).collect()] == [1]
+
+
 @pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
 def test_stages_take_no_rows(spark, stage):
     assert stage(spark, spark.read.parquet(f"{SF}/documents.parquet").limit(0), SF).count() == 0
