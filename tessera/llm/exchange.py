@@ -87,8 +87,36 @@ def stretch(raw: bytes) -> np.ndarray:
 
 
 def _steps(keys: np.ndarray, base: int) -> bytes:
-    """Sorted keys as their differences, which need fewer bytes."""
-    return squeeze(np.diff(keys, prepend=np.uint64(base)))
+    """Sorted keys as their differences, in Rice code: low bits as they are (whole bytes, then the rest), the number above them in unary."""
+    steps = np.diff(keys, prepend=np.uint64(base))
+    mean = int(keys[-1] - np.uint64(base)) // len(keys)
+    low = max(0, (mean * 7 // 10).bit_length() - 1)
+    whole, rest = divmod(low, 8)
+    raw = np.ascontiguousarray(steps.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    planes = np.ascontiguousarray(raw[:, :whole].T).tobytes()
+    bits = np.packbits(np.unpackbits(raw[:, whole : whole + 1], axis=1)[:, 8 - rest :]).tobytes() if rest else b""
+    ends = np.cumsum((steps >> np.uint64(low)).astype(np.int64) + 1)
+    unary = np.zeros(int(ends[-1]), np.uint8)
+    unary[ends - 1] = 1
+    return bytes([low]) + len(keys).to_bytes(4, "little") + planes + bits + np.packbits(unary).tobytes()
+
+
+def _unsteps(raw: bytes, base: int) -> np.ndarray:
+    """The keys that ``_steps`` has written."""
+    low, n = raw[0], int.from_bytes(raw[1:5], "little")
+    whole, rest = divmod(low, 8)
+    at = 5 + n * whole
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :whole] = np.frombuffer(raw, np.uint8, n * whole, 5).reshape(whole, n).T
+    if rest:
+        many = -(-n * rest // 8)
+        bits = np.zeros((n, 8), np.uint8)
+        bits[:, 8 - rest :] = np.unpackbits(np.frombuffer(raw, np.uint8, many, at), count=n * rest).reshape(n, rest)
+        out[:, whole] = np.packbits(bits, axis=1)[:, 0]
+        at += many
+    ends = np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8, offset=at)))
+    above = np.diff(ends, prepend=-1) - 1
+    return np.cumsum(out.view("<u8").ravel() + (above.astype(np.uint64) << np.uint64(low)), dtype=np.uint64) + np.uint64(base)
 
 
 def ranges_of(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
@@ -109,7 +137,7 @@ def send(part: int, keys: np.ndarray, extra: np.ndarray, bits: int, pack: Callab
 
 
 def _received(table: pa.Table, bits: int, unpack: Callable[[bytes], np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    keys = [np.cumsum(stretch(x), dtype=np.uint64) + np.uint64(r << (64 - bits)) for x, r in zip(table.column("keys").to_pylist(), table.column("range").to_pylist(), strict=True)]
+    keys = [_unsteps(x, r << (64 - bits)) for x, r in zip(table.column("keys").to_pylist(), table.column("range").to_pylist(), strict=True)]
     return keys, [unpack(x) for x in table.column("extra").to_pylist()]
 
 

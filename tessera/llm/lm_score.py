@@ -40,10 +40,10 @@ BACKOFF = 0.4
 
 
 def _grams(words: PartWords, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places at which an n-gram begins, and the n-grams' hashes. 56 bits tell n-grams apart; the low byte is left empty."""
+    """Places at which an n-gram begins, and the n-grams' hashes of 64 bits."""
     places = np.arange(len(words.hashes)) if n == 1 else np.flatnonzero(words.fits(n))
     h = words.hashes if n == 1 else window_hashes(words.hashes, n)
-    return places, h[places] & np.uint64(0xFFFFFFFFFFFFFF00)
+    return places, h[places]
 
 
 class Level:

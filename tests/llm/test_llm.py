@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, lm_score, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, url_filter
+from tessera.llm import chat, decontaminate, exchange, lm_score, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, url_filter
 from tessera.llm.common import WordHashes, window_hashes
 
 ALPHA = "ab cd ef gh ij kl mn op qr st uv wx yz".split()
@@ -255,6 +255,24 @@ def test_one_of_each_group_stays(docs):
     assert sorted(r["doc_id"] for r in out.collect()) == want
 
 
+def test_grams_that_agree_in_56_bits_stay_apart():
+    words = exchange.PartWords([b"a b"])
+    words.hashes = np.array([0x1234567890ABCD01, 0x1234567890ABCD02], dtype=np.uint64)
+    assert len(lm_score.Level(words, 1, None).sent) == 2
+
+
+def test_steps_round_trip():
+    rng = np.random.default_rng(3)
+    for bits in (3, 6, 12):
+        for n in (1, 2, 7, 1000, 90000):
+            for top in (n, 1 << 20, 1 << 40, 1 << (64 - bits)):
+                base = ((1 << bits) - 1) << (64 - bits)
+                keys = np.unique(rng.integers(0, top, n, dtype=np.uint64)) + np.uint64(base)
+                assert (exchange._unsteps(exchange._steps(keys, base), base) == keys).all()
+    keys = np.array([0, 1, (1 << 61) - 1], dtype=np.uint64)
+    assert (exchange._unsteps(exchange._steps(keys, 0), 0) == keys).all()
+
+
 def test_limits_follow_the_threshold():
     assert near_dedup.limits() == (85, 40, 8, 245)
     for percent in (70, 80, 85, 90, 100):
