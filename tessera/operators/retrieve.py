@@ -43,11 +43,12 @@ def pack_context(documents: DataFrame, score: str, key: str, budget: float = BUD
     """Documents by score until the budget of tokens is passed; the best one always stays.
 
     ``by`` names the questions that are packed apart. For a single question over many documents only those
-    that can be in the budget are ever ranked: a document has a token at least.
+    that can be in the budget are ever ranked: a document with a word has a token at least. Those without cost nothing and all stay.
     """
     rows = documents.withColumn("tokens", tx.token_estimate(F.col("text")))
     if not by:
-        rows = rows.orderBy(F.desc(score), key).limit(int(budget * tx.TOKENS_PER_WORD) + 2)
+        costs = F.coalesce(F.col("tokens") > 0, F.lit(False))
+        rows = rows.filter(costs).orderBy(F.desc(score), key).limit(int(budget * tx.TOKENS_PER_WORD) + 2).unionByName(rows.filter(~costs))
     w = Window.partitionBy(*(by or [])).orderBy(F.desc(score), key)
     ranked = rows.withColumn("position", F.row_number().over(w)).withColumn("used", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return ranked.filter((F.col("used") <= budget) | (F.col("position") == 1))

@@ -250,3 +250,9 @@ def test_similar_pairs_match_brute_force(spark):
     got = {(r["a"], r["b"]) for r in M.similar_pairs(spark.createDataFrame(rows, "id long, embedding array<double>, label int"), 0.5, blocks_of=5).collect()}
     cos = lambda x, y: np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)
     assert got == {(i, j) for i, x, p in rows for j, y, q in rows if i < j and p == q and cos(x, y) >= 0.5}
+
+
+def test_texts_without_words_take_no_place_in_the_budget(spark):
+    df = spark.createDataFrame([(i, " \n" if i < 30 else "one two", -i) for i in range(40)], "doc_id int, text string, score int")
+    got = sorted((r["position"], r["doc_id"]) for r in R.pack_context(df, "score", "doc_id", 6).collect())
+    assert got == [(i + 1, i) for i in range(32)]
