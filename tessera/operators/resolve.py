@@ -23,13 +23,14 @@ def _surname(name: Column) -> Column:
     return F.element_at(tx.words(F.lower(name)), -1)
 
 
-def candidate_pairs(entities: DataFrame, block: list[str] | None = None) -> DataFrame:
+def candidate_pairs(entities: DataFrame, block: list[str] | None = None, score=sim.name_score) -> DataFrame:
     """Pairs a < b of one block and of different sources.
 
     ``entities``: entity_id, name, entity_type, source_doc_id, dob (date or null), embedding. By default the block
     is the type and the last word of the name: in exact mode pairs with other last words never pass the surname gate.
+    With another ``score``, which has to be that of ``score_pairs``, they may, and the block is the type alone.
     """
-    keys = block or ["entity_type", "surname"]
+    keys = block or (["entity_type", "surname"] if score is sim.name_score else ["entity_type"])
     rows = entities.withColumn("surname", _surname(F.col("name"))).withColumn("norm", sim.norm(F.col("embedding")))
     a, b = (rows.select(*[F.col(c).alias(f"{c}_{s}") for c in rows.columns]) for s in "ab")
     on = (F.col("entity_id_a") < F.col("entity_id_b")) & (F.col("source_doc_id_a") != F.col("source_doc_id_b"))

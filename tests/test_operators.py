@@ -256,3 +256,11 @@ def test_texts_without_words_take_no_place_in_the_budget(spark):
     df = spark.createDataFrame([(i, " \n" if i < 30 else "one two", -i) for i in range(40)], "doc_id int, text string, score int")
     got = sorted((r["position"], r["doc_id"]) for r in R.pack_context(df, "score", "doc_id", 6).collect())
     assert got == [(i + 1, i) for i in range(32)]
+
+
+def test_fuzzy_pairs_of_unlike_surnames(spark):
+    rows = [(1, "Ann Johnson", "PERSON", "a", None, [1.0, 0.0]), (2, "Ann Jonson", "PERSON", "b", None, [1.0, 0.0]), (3, "Ann Miller", "PERSON", "c", None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "entity_id int, name string, entity_type string, source_doc_id string, dob date, embedding array<double>")
+    pairs = M.candidate_pairs(df, score=sim.fuzzy_name_score)
+    assert [(r["id_a"], r["id_b"]) for r in M.score_pairs(pairs, sim.fuzzy_name_score).collect()] == [(1, 2)]
+    assert M.candidate_pairs(df).count() == 0
