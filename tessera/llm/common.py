@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql.window import Window
 
 from tessera.storage import materialize
 
-__all__ = ["WordHashes", "hash_words", "materialize", "mix", "ranked", "release", "short_batches", "shuffle_partitions", "spread", "window_hashes", "with_fields"]
+__all__ = ["WordHashes", "fresh", "hash_words", "materialize", "mix", "powers", "ranked", "release", "short_batches", "shuffle_partitions", "spread", "window_hashes", "with_fields"]
 
 #: Words known to a Python worker at one time; beyond that its cache starts afresh.
 WORD_CACHE = 100_000
@@ -90,6 +91,20 @@ def window_hashes(h: np.ndarray, width: int, base: int = 0x9E3779B97F4A7C15) ->
     return mix(out)
 
 
+@functools.cache
+def powers(bits: int, base: int = 0x9E3779B97F4A7C15) -> tuple[np.ndarray, np.ndarray]:
+    """The first 2**bits powers of an odd base and of its inverse modulo 2**64."""
+    return tuple(np.cumprod(np.concatenate([np.ones(1, _U64), np.full((1 << bits) - 1, b, _U64)]), dtype=_U64) for b in (base, pow(base, -1, 1 << 64)))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or that with as many underscores more as it takes to clash with no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def spread(df: DataFrame, columns: list[str], parts: int) -> Column:
     """A number from 0 to ``parts`` - 1 that the columns' values decide."""
     return F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(parts)).cast("int")
