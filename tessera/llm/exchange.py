@@ -6,6 +6,12 @@ a range's task adds up what all parts sent and answers each part, only for keys
 that other parts hold too. A key that a third of all rows hold is one entry from
 each part, so no task gets more than its share. The parts' texts are shuffled
 once: every later step reads the same exchange again.
+
+How many parts and ranges there are follows from the bytes of text and the cores,
+not from the session's shuffle partitions. A message holds at least one key, so
+there are never more messages than a shuffle of single keys would have rows; as
+both parts and ranges grow with the input, messages get smaller with it (about
+8000 keys at 1 GB of text, 8 at 1 TB) until that is what they are.
 """
 
 from __future__ import annotations
@@ -19,26 +25,31 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, hash_words, release, short_batches, shuffle_partitions
+from .common import WordHashes, hash_words, release, short_batches
 
 #: Bytes of text in one part, about, and keys in one range.
 PART_BYTES = 8_000_000
 RANGE_KEYS = 1_000_000
 
-SENT = "range long, part int, keys binary, extra binary"
-ANSWER = "part int, kind int, range long, keys binary, extra binary"
-_SENT = pa.schema([("range", pa.int64()), ("part", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
-_ANSWER = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("range", pa.int64()), ("keys", pa.binary()), ("extra", pa.binary())])
+SENT = "range long, part long, keys binary, extra binary"
+ANSWER = "part long, kind int, range long, keys binary, extra binary"
+_SENT = pa.schema([("range", pa.int64()), ("part", pa.int64()), ("keys", pa.binary()), ("extra", pa.binary())])
+_ANSWER = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("range", pa.int64()), ("keys", pa.binary()), ("extra", pa.binary())])
+
+
+def sized(docs: DataFrame, text: str = "text") -> tuple[int, int]:
+    """The bytes of all texts, and the number of bits that ranges of hashes have."""
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    # About one key in twelve bytes of text.
+    return total, max(3, math.ceil(math.log2(max(1, total / 12 / RANGE_KEYS, 2 * docs.sparkSession.sparkContext.defaultParallelism))))
 
 
 def dealt(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
     """``docs`` with ``__part``, and the number of bits that ranges of hashes have."""
     short_batches(docs.sparkSession)
-    total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    parts = max(shuffle_partitions(docs.sparkSession), -(-total // PART_BYTES))
-    # About one key in twelve bytes of text.
-    bits = max(3, math.ceil(math.log2(max(1, total / 12 / RANGE_KEYS, shuffle_partitions(docs.sparkSession)))))
-    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in ("doc_id", text)]), F.lit(parts)).cast("int")
+    total, bits = sized(docs, text)
+    parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // PART_BYTES))
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in ("doc_id", text)]), F.lit(parts)).cast("long")
     return docs.withColumn("__part", part), bits
 
 
@@ -133,7 +144,7 @@ def send(part: int, keys: np.ndarray, extra: np.ndarray, bits: int, pack: Callab
     """Rows for the ranges. ``keys`` is sorted; ``extra`` goes along, written by ``pack``."""
     spans = ranges_of(keys, bits)
     packed = [_steps(keys[a:b], r << (64 - bits)) for r, a, b in spans]
-    return pa.Table.from_arrays([pa.array([r for r, _, _ in spans], pa.int64()), pa.array([part] * len(spans), pa.int32()), pa.array(packed, pa.binary()), pa.array([pack(extra[a:b]) for _, a, b in spans], pa.binary())], schema=_SENT)
+    return pa.Table.from_arrays([pa.array([r for r, _, _ in spans], pa.int64()), pa.array([part] * len(spans), pa.int64()), pa.array(packed, pa.binary()), pa.array([pack(extra[a:b]) for _, a, b in spans], pa.binary())], schema=_SENT)
 
 
 def _received(table: pa.Table, bits: int, unpack: Callable[[bytes], np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -148,7 +159,7 @@ def answered(sent: DataFrame, bits: int, answer: Callable[[np.ndarray, np.ndarra
         keys, extras = _received(table, bits, lambda x: np.frombuffer(x, extra))
         parts = np.repeat(np.array(table.column("part").to_pylist(), np.int64), [len(k) for k in keys])
         rows = answer(np.concatenate(keys), np.concatenate(extras), parts)
-        return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([kind] * len(rows), pa.int32()), pa.array([0] * len(rows), pa.int64()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([r[2].tobytes() for r in rows], pa.binary())], schema=_ANSWER)
+        return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([kind] * len(rows), pa.int32()), pa.array([0] * len(rows), pa.int64()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([r[2].tobytes() for r in rows], pa.binary())], schema=_ANSWER)
 
     return sent.groupBy("range").applyInArrow(run, ANSWER)
 
