@@ -5,6 +5,8 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +18,12 @@ from pyspark.sql.window import Window
 
 from tessera.storage import materialize
 
-__all__ = ["WordHashes", "fresh", "hash_words", "materialize", "mix", "powers", "ranked", "release", "short_batches", "shuffle_partitions", "spread", "window_hashes", "with_fields"]
+__all__ = ["WordHashes", "by_rank", "fresh", "hash_words", "materialize", "mix", "powers", "ranked", "release", "short_batches", "shuffle_partitions", "spread", "window_hashes", "with_fields", "written"]
 
 #: Words known to a Python worker at one time; beyond that its cache starts afresh.
 WORD_CACHE = 100_000
+#: Rows of one key that are ranked or joined together, about.
+RUN = 50_000
 #: Rows in one batch for a Python worker.
 BATCH_ROWS = 2000
 _U64 = np.uint64
@@ -110,17 +114,17 @@ def spread(df: DataFrame, columns: list[str], parts: int) -> Column:
     return F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(parts)).cast("int")
 
 
-def ranked(df: DataFrame, key: list[str], order: list[str], out: str, parts: int = 64) -> DataFrame:
+def ranked(df: DataFrame, key: list[str], order: list[str], out: str, rows: int | None = None) -> DataFrame:
     """Add ``out``: a gapless rank from 0 of each row among those with equal ``key``.
 
     A key may hold any share of the rows: each is split by a hash of ``order``
-    into ``parts`` groups that are ranked apart, and then shifted by the sizes of
-    the groups before them. The number of distinct keys must be bounded by the
-    caller, as keys times ``parts`` counts are broadcast where they are small
-    and joined otherwise. ``order`` must tell unequal rows apart.
+    into as many groups as ``RUN`` goes into all ``rows`` (counted if not given),
+    which are ranked apart and then shifted by the sizes of the groups before
+    them. ``order`` must tell unequal rows apart.
     """
-    sub, n, before = "__sub", "__n", "__before"
-    salted = df.withColumn(sub, spread(df, order, parts))
+    rows = df.count() if rows is None else rows
+    sub, n, before = (fresh(df, c) for c in ("__sub", "__n", "__before"))
+    salted = df.withColumn(sub, spread(df, order, max(1, -(-rows // RUN))))
     counts = salted.groupBy(*key, sub).agg(F.count(F.lit(1)).alias(n))
     w = Window.partitionBy(*key).orderBy(sub).rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.withColumn(before, F.coalesce(F.sum(n).over(w), F.lit(0))).drop(n)
@@ -132,5 +136,24 @@ def ranked(df: DataFrame, key: list[str], order: list[str], out: str, parts: int
     return joined.select(*kept, (F.col(f"a.{out}") + F.col(f"b.{before}")).cast("long").alias(out))
 
 
+def by_rank(df: DataFrame, plan: DataFrame, key: list[str], rank: str, first: str, end: str) -> DataFrame:
+    """``df`` joined to the row of ``plan`` with an equal key whose ranks from ``first`` to before ``end`` hold its own.
+
+    Ranks are dealt in blocks of ``RUN``, so a key with many rows isn't one task.
+    """
+    block = fresh(df, "__block")
+    spans = plan.withColumn(block, F.explode(F.sequence(F.floor(F.col(first) / RUN), F.floor((F.col(end) - 1) / RUN))))
+    rows = df.withColumn(block, F.floor(F.col(rank) / RUN))
+    inside = (F.col(f"a.{rank}") >= F.col(f"b.{first}")) & (F.col(f"a.{rank}") < F.col(f"b.{end}"))
+    joined = rows.alias("a").join(spans.alias("b"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*key, block]] + [inside])
+    return joined.select(*[F.col(f"a.{c}") for c in df.columns], *[F.col(f"b.{c}") for c in plan.columns if c not in key])
+
+
+def written(spark: SparkSession, rows: Iterator[tuple], schema: str, name: str, many: int = 100_000) -> DataFrame:
+    """A table of rows made on the driver, of which it holds ``many`` at a time."""
+    tables = [materialize(spark.createDataFrame(some, schema), name) for some in iter(lambda: list(itertools.islice(rows, many)), [])]
+    return functools.reduce(DataFrame.unionByName, tables) if tables else spark.createDataFrame([], schema)
+
+
 def with_fields(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*schema.fields, *[T.StructField(n, t) for n, t in fields]])

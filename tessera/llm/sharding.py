@@ -1,15 +1,14 @@
 """Sharding by longest-processing-time scheduling of groups.
 
 Rows with equal texts are a group and stay together. Groups are taken from the
-largest down, each to the shard with the least load, through a heap.
+largest down, each to the shard with the least load, through a heap; of equal
+loads the lowest shard number comes first.
 
-The heap works on runs of groups of one size class, not on groups, so what the
-driver sees is bounded: a class is a group size, exact below 4096 bytes and with
-twelve leading bits above, which makes at most 4096 + 2048 * 52 classes whatever the
-input. A run of n groups is dealt in one step to where n single steps would put
-them. A very large class is cut into runs by a hash, so that ranks inside a run
-are made in small windows. Shards differ by no more than the largest group, and
-by the width of the classes (1 in 2048).
+Groups of one size, in bytes, are interchangeable, so what the heap sees is sizes
+and how many groups have each. Sizes are distinct numbers that add up to no more
+than the bytes of all texts, so there are at most sqrt(2 * bytes) of them (250000 at
+30 GB); they stream through the driver in sorted order, and what they are dealt is
+written out as they go. Which group of a size goes where is told by its rank.
 
 Defined results: a null text has size 1 and forms one group with other nulls;
 the empty text is a group of its own; repeated rows are rows of one group and
@@ -19,38 +18,31 @@ get slots of their own; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ranked
+from .common import by_rank, materialize, ranked, written
 
 SHARDS = 16
-LEADING_BITS = 12
-#: Groups in one run at most, about; larger classes are cut by a hash.
-RUN = 50_000
-#: Groups with more rows than this share of all rows are joined by broadcast: at most so many.
+#: Groups with more rows than one in so many are joined by broadcast; there are fewer than that.
 HEAVY = 1000
 
 
-def size_class(size: Column) -> Column:
-    """The size with all but its leading bits cleared."""
-    bits = F.floor(F.log2(size.cast("double"))).cast("int")
-    drop = F.greatest(bits - (LEADING_BITS - 1), F.lit(0))
-    return F.call_function("shiftleft", F.call_function("shiftright", size, drop), drop)
+def deal(loads: list[int], n: int, size: int) -> list[int]:
+    """How many of ``n`` items of one size each shard gets if each item goes to the least-loaded one.
 
-
-def deal(loads: list[int], n: int, size: float) -> list[int]:
-    """How many of ``n`` equal items each bin gets if each goes to the least-loaded bin, lowest number first.
-
-    Whole layers are found by bisection on the level that bins reach; the heap deals the rest.
+    Where there are many, whole layers up to a level of load are counted at once; the heap deals the rest.
     """
-    low, high = min(loads), max(loads) + size * (n // len(loads) + 2)
-    filled = lambda level: [max(0, int((level - x) // size)) for x in loads]
-    while high - low > size / 2:
-        mid = (low + high) / 2
-        low, high = (mid, high) if sum(filled(mid)) <= n else (low, mid)
-    counts = filled(low) if sum(filled(low)) <= n else [0] * len(loads)
+    counts = [0] * len(loads)
+    if n > 4 * len(loads):
+        low, high = min(loads), max(loads) + size * (n // len(loads) + 2)
+        filled = lambda level: [max(0, (level - x) // size) for x in loads]
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if sum(filled(middle)) <= n else (low, middle)
+        counts = filled(low)
     heap = [(x + c * size, i) for i, (x, c) in enumerate(zip(loads, counts, strict=True))]
     heapq.heapify(heap)
     for _ in range(n - sum(counts)):
@@ -60,46 +52,37 @@ def deal(loads: list[int], n: int, size: float) -> list[int]:
     return counts
 
 
-def schedule(runs: list[tuple[int, int, int, int]], shards: int) -> list[tuple[int, int, list[int]]]:
-    """``runs``: (class, cut, groups, bytes), largest class first -> (class, cut, groups with a lower or equal shard number, for each shard)."""
-    loads = [0.0] * shards
-    out = []
-    for size, cut, n, total in runs:
-        counts = deal(loads, n, total / n)
-        ends, at = [], 0
-        for i, c in enumerate(counts):
-            loads[i] += c * (total / n)
-            at += c
-            ends.append(at)
-        out.append((size, cut, ends))
-    return out
+def schedule(sizes: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, int, int, int]]:
+    """``sizes``: (bytes, groups), largest first -> (bytes, shard, its groups' first rank, rank after the last)."""
+    loads = [0] * shards
+    for size, n in sizes:
+        at = 0
+        for i, c in enumerate(deal(loads, n, size)):
+            if c:
+                loads[i] += c * size
+                yield size, i, at, at + c
+                at += c
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Per row of ``docs``: doc_id, size, text_crc32, shard, slot."""
-    spark = docs.sparkSession
     text = F.col("text")
     raw = F.coalesce(text, F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), F.when(text.isNotNull(), F.unhex(F.sha2(raw, 256))).alias("text_key"))
     rows = rows.withColumn("text_key", F.coalesce("text_key", F.lit(bytearray(b"null"))))
     rows = materialize(rows, "shard-rows")
-    groups = rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"), F.sum("size").alias("bytes"))
-    groups = materialize(groups.withColumn("class", size_class(F.col("bytes"))), "shard-groups")
-
-    classes = groups.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
-    cuts = classes.select("class", F.ceil(F.col("n") / RUN).cast("int").alias("cuts"))
-    tagged = groups.join(cuts, "class").withColumn("cut", F.pmod(F.xxhash64("text_key"), F.col("cuts")).cast("int")).drop("cuts")
-    runs = tagged.groupBy("class", "cut").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
-    plan = schedule([tuple(r) for r in runs.orderBy(F.desc("class"), "cut").collect()], shards)
-    ends = spark.createDataFrame(plan, "class long, cut int, ends array<long>")
-    placed = ranked(tagged, ["class", "cut"], ["text_key"], "rank", parts=8).join(ends, ["class", "cut"])
-    placed = materialize(placed.select("text_key", "copies", F.size(F.filter("ends", lambda e: e <= F.col("rank"))).alias("shard")), "shard-placed")
-
-    total = max(1, rows.count())
+    groups = materialize(rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"), F.sum("size").alias("bytes")), "shard-groups")
+
+    sizes = materialize(groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")), "shard-sizes").orderBy(F.desc("bytes"))
+    plan = written(docs.sparkSession, schedule((tuple(r) for r in sizes.toLocalIterator()), shards), "bytes long, shard int, first long, end long", "shard-plan")
+    placed = by_rank(ranked(groups, ["bytes"], ["text_key"], "rank"), plan, ["bytes"], "rank", "first", "end")
+    placed = materialize(placed.select("text_key", "copies", "shard"), "shard-placed")
+
+    total = rows.count()
     heavy = F.col("copies") * HEAVY > total
     big = placed.filter(heavy).select("text_key", F.col("shard").alias("big"))  # fewer than HEAVY rows
     out = rows.join(F.broadcast(big), "text_key", "left")
     light = out.filter("big is null").drop("big").join(placed.filter(~heavy).select("text_key", "shard"), "text_key")
     both = out.filter("big is not null").withColumnRenamed("big", "shard").unionByName(light)
     both = materialize(both.drop("text_key"), "shard-out")
-    return ranked(both, ["shard"], ["doc_id", "text_crc32", "size"], "slot", parts=max(64, total // RUN))
+    return ranked(both, ["shard"], ["doc_id", "text_crc32", "size"], "slot", total)
