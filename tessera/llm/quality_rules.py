@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, hash_words, short_batches, window_hashes
+from .common import WordHashes, hash_words, materialize, short_batches, window_hashes
 
 SPACE = b" \t\n\v\f\r"
 #: Fixed values of the base rule.
@@ -161,20 +161,35 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", risk:
     return sorted(((s, c) for s, c in chosen if c is not None), key=lambda x: (x[0] is not None, x[0] or ""))
 
 
+def _judged(measured: DataFrame, chosen: list[tuple[str | None, float]], stratum: str) -> DataFrame:
+    limits = measured.sparkSession.createDataFrame(chosen, "__s string, __cut double")
+    if len(chosen) <= MOST_BROADCAST:  # two small values each
+        limits = F.broadcast(limits)
+    out = measured.join(limits, F.col(stratum).cast("string").eqNullSafe(F.col("__s")), "left") if chosen else measured.withColumn("__cut", F.lit(None).cast("double"))
+    # floor(100 * badness) >= 100 * cutoff, as the grid was counted
+    over = F.coalesce(F.floor(_badness() * 100) >= F.round(F.col("__cut") * 100), F.lit(False))
+    return out.withColumn("__base_failed", _base_failed()).withColumn("__kept", ~(_base_failed() | over)).drop("__s", "__cut")
+
+
+def _unclashing(docs: DataFrame) -> None:
+    if taken := {"__m", "__s", "__cut", "__base_failed", "__kept"} & set(docs.columns):
+        raise ValueError(f"there are columns {sorted(taken)}")
+
+
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """``docs`` with ``__m`` (the counts), ``__base_failed`` and ``__kept``.
+    """``docs`` with ``__m`` (the counts), ``__base_failed`` and ``__kept``, names that ``docs`` must not have.
 
     The documents are measured twice, once for the cutoffs, as this costs less
     than a shuffle of the texts.
     """
+    _unclashing(docs)
     short_batches(docs.sparkSession)
-    measured = with_measures(docs)
     chosen = cutoffs(with_measures(docs.select("doc_id", stratum, "text")), labels, stratum)
-    spark = docs.sparkSession
-    limits = spark.createDataFrame(chosen, "__s string, __cut double")
-    if len(chosen) <= MOST_BROADCAST:  # two small values each
-        limits = F.broadcast(limits)
-    out = measured.join(limits, F.col(stratum).cast("string").eqNullSafe(F.col("__s")), "left") if chosen else measured.withColumn("__cut", F.lit(None).cast("double"))
-    # floor(100 * badness) >= 100 * cutoff, as the grid was counted
-    over = F.coalesce(F.floor(_badness() * 100) >= F.round(F.col("__cut") * 100), F.lit(False))
-    return out.withColumn("__base_failed", _base_failed()).withColumn("__kept", ~(_base_failed() | over)).drop("__s", "__cut")
+    return _judged(with_measures(docs), chosen, stratum)
+
+
+def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
+    """As ``judge`` but without the texts, which are measured once: doc_id, the stratum, ``__m``, ``__base_failed``, ``__kept``."""
+    short_batches(docs.sparkSession)
+    measured = materialize(with_measures(docs.select("doc_id", stratum, "text")).drop("text"), "measures")
+    return _judged(measured, cutoffs(measured, labels, stratum), stratum)

@@ -29,6 +29,19 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.col("__kept_sha256").alias("kept_sha256"))
 
 
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT doc_id, i, ws[i] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+p AS (SELECT doc_id, i, array_to_string(ws[i:i+34], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM d)),
+t AS (SELECT doc_id, i FROM p QUALIFY count(*) OVER (PARTITION BY k) > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM t),
+k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM w ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lm_score.scores(read(spark, sf_dir, "documents").select("doc_id", "text"))
     per_word = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(F.lit(0.0))
@@ -131,10 +144,45 @@ FROM h
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     labels = read(spark, sf_dir, "labels").select("doc_id", "quality")
-    out = quality_rules.judge(docs, labels)
+    out = quality_rules.verdicts(docs, labels)
     return out.select("doc_id", "__m.n_words", "__m.word_chars", "__m.n_symbols", "__m.n_dup_lines", "__m.n_repeat_words", F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
+#: A cutoff at step i is valid if at most k of n good rows are over it, with P(X <= k) <= error at the allowed risk: the exact bound turned round.
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+l AS (
+  SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+p AS (SELECT doc_id, i, array_to_string(ws[i:i+7], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM l)),
+t AS (SELECT doc_id, i FROM p QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+r AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) FROM t) GROUP BY doc_id),
+m AS (
+  SELECT l.doc_id, lang, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(ls) AS n_lines,
+    length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper, length(t) - length(replace(t, '!', '')) AS n_marks
+  FROM l LEFT JOIN r USING (doc_id)),
+b AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    floor(100 * greatest(n_symbols::DOUBLE / greatest(word_chars, 1)::DOUBLE / 0.1::DOUBLE, n_marks::DOUBLE / greatest(n_words, 1)::DOUBLE / 0.5::DOUBLE,
+      n_upper::DOUBLE / greatest(word_chars, 1)::DOUBLE / 0.8::DOUBLE, n_dup_lines::DOUBLE / greatest(n_lines, 1)::DOUBLE / 0.6::DOUBLE,
+      n_repeat_words::DOUBLE / greatest(n_words, 1)::DOUBLE / 0.3::DOUBLE)) AS badness FROM m),
+y AS (SELECT doc_id, avg(quality) >= 0.5 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+s AS (SELECT lang, least(badness, 200) AS step, good FROM b JOIN y USING (doc_id) WHERE NOT base_failed),
+n AS (SELECT lang, count(*) FILTER (good) AS n, 0.05::DOUBLE / count(*) OVER () AS error FROM s GROUP BY lang HAVING count(*) FILTER (good) >= 598),
+c AS (
+  SELECT n.lang, any_value(n.n) AS n, any_value(error) AS error, g.i, count(*) FILTER (good AND step >= g.i) AS k, count(*) FILTER (NOT good AND step >= g.i) AS caught
+  FROM n JOIN s ON s.lang IS NOT DISTINCT FROM n.lang CROSS JOIN (SELECT unnest(range(1, 201)) AS i) g GROUP BY n.lang, g.i),
+v AS (
+  SELECT *, arg_min(caught, i) OVER (PARTITION BY lang) AS most FROM c WHERE k <= 0.005::DOUBLE * n AND error >= list_sum(list_transform(range(0, k + 1),
+    lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.005::DOUBLE) + (n - j) * ln(1 - 0.005::DOUBLE))))),
+o AS (SELECT lang, max(i) AS cut FROM v WHERE most > 0 AND caught >= 0.99::DOUBLE * most GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(badness >= cut, false) AS kept
+FROM b LEFT JOIN o ON b.lang IS NOT DISTINCT FROM o.lang
+"""
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"), 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -146,9 +194,28 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "__c.n_words", "__c.n_hit", F.size("__c.items").cast("long").alias("n_items"), F.sha2(F.array_join("__c.items", ","), 256).alias("items_sha256"), (F.col("__c.n_hit") > 0).alias("contaminated"), F.col("__c.longest").alias("longest_match"), F.col("__c.longest_at").alias("longest_at"))
 
 
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+b AS (
+  SELECT row_number() OVER () AS nr, coalesce(CAST(item_id AS VARCHAR), '') AS item, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark),
+i AS (SELECT nr, item, width, q, array_to_string(ws[q:q+width-1], ' ') AS k FROM (SELECT *, unnest(range(1, len(ws) - width + 2)) AS q FROM (SELECT *, least(10, len(ws)) AS width FROM b WHERE len(ws) > 0))),
+t AS (SELECT doc_id, width, p, array_to_string(ws[p:p+width-1], ' ') AS k FROM (SELECT doc_id, ws, width, unnest(range(1, len(ws) - width + 2)) AS p FROM d, (SELECT DISTINCT width FROM i))),
+m AS (SELECT doc_id, p, nr, item, q, i.width FROM t JOIN i ON t.width = i.width AND t.k = i.k),
+h AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + width)) FROM m) GROUP BY doc_id),
+o AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id),
+g AS (SELECT doc_id, p, width, nr, q - p AS diagonal, p - row_number() OVER (PARTITION BY doc_id, nr, q - p ORDER BY p) AS island FROM m),
+e AS (SELECT doc_id, count(*) + any_value(width) - 1 AS long, min(p) - 1 AS begins FROM g GROUP BY doc_id, nr, diagonal, island),
+x AS (SELECT doc_id, max(long) AS long, arg_max(begins, struct_pack(l := long, b := -begins)) AS begins FROM e GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated, coalesce(long, 0) AS longest_match, coalesce(begins, 0) AS longest_at
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN o USING (doc_id) LEFT JOIN x USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality_classifier, op2_substring_dedup, op3_lm_score, op4_packing, op5_chat_format, op6_near_dedup, op7_url_filter, op8_quality_rules, op9_sharding, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_lm_score": OP3_SQL, "op5_chat_format": OP5_SQL, "op6_near_dedup": OP6_SQL, "op7_url_filter": OP7_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op3_lm_score": OP3_SQL, "op5_chat_format": OP5_SQL, "op6_near_dedup": OP6_SQL, "op7_url_filter": OP7_SQL, "op8_quality_rules": OP8_SQL, "op10_decontaminate": OP10_SQL}

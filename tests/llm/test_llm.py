@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import os
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -86,6 +88,50 @@ def test_classifier_learns(spark):
     assert quality_classifier.scored(df.limit(0), labels).count() == 0
 
 
+def test_classifier_features():
+    """Blocks lose no feature; equal words have one bucket wherever they stand; blank texts have none."""
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choice("abcé\u4e2d\U0001f600") for _ in range(rng.randint(1, 300 if i == 50 else 9))) + rng.choice(["", " ", "\n\t"]) for i in range(400))
+    every = lambda t: sorted(np.concatenate([*quality_classifier.features(t), np.empty(0, np.int32)]).tolist())
+    whole, block = every(text), quality_classifier.BLOCK
+    try:
+        for quality_classifier.BLOCK in (1, 7, 100):
+            assert every(text) == whole
+    finally:
+        quality_classifier.BLOCK = block
+    buckets, n = quality_classifier.counted(text)
+    assert np.repeat(buckets, n).tolist() == whole
+    words = text.split()
+    assert len(whole) == (len(" ".join(words)) + 2 - 2) + len(words) + len(words) - 1
+    assert [every(t) for t in (None, "", " \n")] == [[]] * 3
+    codes, blanks = quality_classifier.running("ab cd ab  cd\n")
+    h = quality_classifier.word_hashes(codes.astype(np.uint64), blanks)
+    assert h[0] == h[2] != h[1] == h[3]
+
+
+def test_classifier_takes_repeats_ties_and_long_texts(spark):
+    rows = [(1, "good words here"), (1, "good words here"), (2, "bad###"), (2, "another text"), (3, "w " * 300_000), (4, "x" * 400_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (7, 1), (None, 1)], "doc_id long, quality int")
+    got = quality_classifier.scored(df, labels).collect()
+    assert len(got) == 6 and all(0 <= r["score"] <= 1 for r in got)
+    one, two = [r["score"] for r in got if r["doc_id"] == 1]
+    assert one == two
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
+def test_classifier_on_held_out_labels(spark):
+    """What the embeddings know of rows that they haven't learned from; see the README for the figures."""
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet")
+    labels = read("labels").select("doc_id", "quality")
+    docs = read("documents").select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = quality_classifier.scored(docs, labels).filter("held_out").join(labels, "doc_id").select("quality", "score").collect()
+    good, bad = (np.array([r["score"] for r in rows if r["quality"] == y]) for y in (1, 0))
+    assert len(good) > 500 and len(bad) > 100
+    assert (good[:, None] > bad[None, :]).mean() > 0.92
+    assert (bad < 0.3).mean() > 0.75 and (good >= 0.3).mean() > 0.99
+
+
 def test_substring_dedup(docs, empty):
     given = texts_of(docs)
     got = substring_dedup.remove_repeats(docs)
@@ -107,7 +153,7 @@ def test_cover_meets_every_shift():
 
 
 def lm_brute(texts, order=3, back=0.4):
-    words = [(t or "").split() for t in texts]
+    words = [(t or "").encode().split() for t in texts]
     grams = lambda w, n: collections.Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
     total = [sum((grams(w, n) for w in words), collections.Counter()) for n in range(1, order + 1)]
     out = []
@@ -131,7 +177,7 @@ def lm_brute(texts, order=3, back=0.4):
 
 
 def test_lm_scores(docs, empty):
-    some = docs.filter("doc_id <> 6 and length(coalesce(text, '')) < 3000")  # ASCII white space only, as str.split here
+    some = docs
     given = texts_of(some)
     want = sorted((d, n, s) for (d, _), (n, s) in zip(given, lm_brute([t for _, t in given]), strict=True))
     got = sorted((r["doc_id"], r["n_words"], r["log_score"]) for r in lm_score.scores(some).collect())
@@ -190,6 +236,13 @@ def test_packing(spark, docs, empty, tokenizer):
     assert packing.cut(5000, 2048) == [(0, 904), (904, 2048), (2952, 2048)] and packing.cut(2048, 2048) == [(0, 2048)]
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_encoder_equals_the_tokenizer_on_a_whole_table(spark, tokenizer):
+    encode = packing.encoder(tokenizer)
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    assert len(texts) >= 1000 and all(encode(t) == encode.whole(t) for t in texts)
+
+
 HARD_TEXT = ["", "\\", "<|", "<\\|", "\\<|end|>", "a<", "|b", "<|turn|>x<|text|>", "\\### Assistant: </turn> ok", "é\n\n<|end|>\n"]
 
 
@@ -256,9 +309,29 @@ def test_one_of_each_group_stays(docs):
 
 
 def test_grams_that_agree_in_56_bits_stay_apart():
-    words = exchange.PartWords([b"a b"])
-    words.hashes = np.array([0x1234567890ABCD01, 0x1234567890ABCD02], dtype=np.uint64)
-    assert len(lm_score.Level(words, 1, None).sent) == 2
+    part = lm_score.Part([b"a b"])
+    part.hashes = np.array([0x1234567890ABCD01, 0x1234567890ABCD02], dtype=np.uint64)
+    assert len(lm_score.Grams(part).sent(None)[1]) == 2
+
+
+def test_parts_and_their_grams():
+    rng = random.Random(12)
+    texts = [None, b"", *[" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 30))).encode() for _ in range(20)]]
+    part = lm_score.Part(texts)
+    again = lm_score.Part.read(*part.columns())
+    assert (again.ids == part.ids).all() and (again.lengths == part.lengths).all() and (again.hashes == part.hashes).all()
+    words = [(t or b"").split() for t in texts]
+    below = None
+    for n in (1, 2, 3):
+        grams = lm_score.Grams(again, below)
+        want = [tuple(w[i : i + n]) for w in words for i in range(len(w) - n + 1)]
+        assert len(grams.places) == len(want) and len(set(want)) == len(grams.hashes)
+        assert len({(g, k) for g, k in zip(want, grams.number.tolist(), strict=True)}) == len(set(want))
+        grams.shared, grams.total = np.ones(len(grams.hashes), bool), grams.many
+        count, own = collections.Counter(want), [collections.Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) for w in words]
+        flat = [count[g] - o[g] for w, o in zip(words, own, strict=True) for g in [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]]
+        assert grams.counts()[grams.places].tolist() == flat
+        below = grams
 
 
 def test_steps_round_trip():
@@ -395,16 +468,30 @@ def test_sharding(docs, empty):
     for _, t in given:
         sizes[t] += len((t or "").encode()) + 1
     heap = [0] * 4
-    for s in sorted(sizes.values(), reverse=True):
-        heap[heap.index(min(heap))] += s
-    assert max(load.values()) <= max(heap) * 1.01
+    for size in sorted(sizes.values(), reverse=True):
+        heap[heap.index(min(heap))] += size
+    assert sorted(load.values()) == sorted(heap)
     assert sharding.shard(empty).count() == 0
 
 
+def test_sizes_are_exact_and_in_order():
+    """As one heap over all groups gives it, above 4096 bytes too."""
+    rng = random.Random(4)
+    for _ in range(30):
+        sizes = collections.Counter(rng.choice([rng.randint(1, 30), rng.randint(4000, 9000), rng.randint(10**6, 10**6 + 300)]) for _ in range(rng.randint(0, 400)))
+        got = collections.Counter()
+        for size, i, first, end in sharding.schedule(sorted(sizes.items(), reverse=True), 7):
+            got[i] += size * (end - first)
+        heap = [0] * 7
+        for size in sorted(sizes.elements(), reverse=True):
+            heap[heap.index(min(heap))] += size
+        assert sorted(got[i] for i in range(7)) == sorted(heap)
+
+
 def test_dealing_is_as_one_by_one():
     rng = random.Random(9)
     for _ in range(200):
-        loads, n, size = [rng.randint(0, 50) for _ in range(5)], rng.randint(0, 60), rng.randint(1, 20)
+        loads, n, size = [rng.randint(0, 50) for _ in range(5)], rng.randint(0, 160), rng.randint(1, 20)
         one = list(loads)
         for _ in range(n):
             one[one.index(min(one))] += size
@@ -417,9 +504,54 @@ def test_decontamination(spark, docs, empty):
     items = [(1, t[20]), (2, "One"), (3, None), (4, "zz yy xx"), (5, " ".join((t[30] or "").split()[2:14]) + " extra words here"), (5, t[20]), (None, t[40]), (6, t[9])]
     bench = spark.createDataFrame([(i, x, "q") for i, x in items], "item_id long, text string, n_words string")
     want = decontaminate.brute_force(given, items)
+    clashing = docs.withColumns({c: F.lit(1) for c in ("__c_", "__id", "__hash", "__more", "hash", "c")})
     for limit in (10**6, 50):  # one block, and one for each item or two
-        got = {r["doc_id"]: (r["__c"]["n_words"], r["__c"]["n_hit"], list(r["__c"]["items"]), r["__c"]["longest"]) for r in decontaminate.with_hits(docs, bench, limit=limit).collect()}
-        assert got == want
-    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect()) == sorted(d for d, _ in given if not want[d][1])
+        out = decontaminate.with_hits(clashing, bench, limit=limit)
+        assert out.columns == [*clashing.columns, "__c"]
+        rows = out.collect()
+        assert len(rows) == len(given)
+        assert {r["doc_id"]: (r["__c"]["n_words"], r["__c"]["n_hit"], list(r["__c"]["items"]), r["__c"]["longest"], r["__c"]["longest_at"]) for r in rows} == want
+    own = docs.withColumn("__c", F.lit("mine"))
+    assert sorted((r["doc_id"], r["__c"]) for r in decontaminate.clean(own, bench).collect()) == sorted((d, "mine") for d, _ in given if not want[d][1])
     assert decontaminate.with_hits(docs, bench.limit(0)).filter("__c.n_hit > 0").count() == 0
     assert decontaminate.with_hits(empty, bench).count() == 0
+
+
+def test_suffix_search_is_as_brute_force(monkeypatch):
+    rng = random.Random(1)
+    for _ in range(120):
+        v = [f"w{i}" for i in range(rng.choice([1, 2, 3, 8, 30]))]
+        made = lambda n: " ".join(rng.choice(v) for _ in range(rng.randint(0, n)))  # noqa: B023, E731
+        given = [(i, rng.choice([None, made(60), made(60), made(12)])) for i in range(rng.randint(0, 6))]
+        items = [(rng.randint(1, 4), rng.choice([None, made(50), made(5)])) for _ in range(rng.randint(1, 5))]
+        given.append((77, f"{items[0][1] or ''} x {items[-1][1] or ''}"))
+        window = rng.choice([10, 3])
+        want = decontaminate.brute_force(given, items, window)
+        monkeypatch.setattr(decontaminate, "SHARD_BYTES", rng.choice([50, 10**6]))
+        texts = [None if t is None else t.encode() for _, t in given]
+        block = lambda some: decontaminate.Block([(str(i), (t or "").encode()) for i, t in some], window)  # noqa: B023, E731
+        assert [r[:5] for r in decontaminate.judged(texts, block(items))] == [want[i] for i, _ in given]
+        one, two = (decontaminate.judged(texts, block(x)) for x in (items[:1], items[1:]))
+        named = lambda r: dict(zip(decontaminate.NAMES, r, strict=True))
+        assert [decontaminate.joined(named(a), [named(b)])[:5] for a, b in zip(one, two, strict=True)] == [want[i] for i, _ in given]
+
+
+def test_suffix_arrays_are_sorted():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 50, 400):
+        ids = rng.integers(0, 3, n).astype(np.int32)
+        ids = ids % 2 if n == 50 else ids
+        ids = np.unique(ids, return_inverse=True)[1].astype(np.int32) if n else ids
+        for depth in (1, 4, n + 1):
+            found = [ids[i : i + depth].tolist() for i in decontaminate.suffix_array(ids, depth)]
+            assert found == sorted(ids[i : i + depth].tolist() for i in range(n))
+
+
+def test_the_same_word_many_times_on_both_sides():
+    """20000 places on each side; a product of places would be 400 million."""
+    text = b"la " * 20_000
+    tracemalloc.start()
+    got = decontaminate.judged([text, b"x " * 5 + text, b"la " * 9], decontaminate.Block([("1", text), ("2", b"la la")]))
+    assert tracemalloc.get_traced_memory()[1] < 100_000_000
+    tracemalloc.stop()
+    assert [r[:5] for r in got] == [(20000, 20000, ["1", "2"], 20000, 0), (20005, 20000, ["1", "2"], 20000, 5), (9, 9, ["2"], 2, 0)]
