@@ -14,6 +14,8 @@ US_ZIP = r"\b\d{5}(?:-\d{4})?\b"
 DATE_FORMATS = ("yyyy-MM-dd", "M/d/yyyy", "d/M/yyyy", "MMMM d, yyyy", "d MMMM yyyy")
 FULL_DATE = r"^(\d{4}-\d{2}-\d{2}([T ].*)?|\d{1,2}/\d{1,2}/\d{4}|[A-Za-z]+ \d{1,2}, \d{4}|\d{1,2} [A-Za-z]+ \d{4})$"
 TOKENS_PER_WORD = 0.75
+#: Lines whose lengths are summed together.
+OFFSET_BLOCK = 128
 
 
 def strip(c: Column) -> Column:
@@ -39,10 +41,24 @@ def paragraphs(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, "\n\n", -1), strip), lambda p: p != "")
 
 
+def bound(c: Column, body) -> Column:
+    """``body`` of ``c``, which is worked out once however often ``body`` has it, inside of lambdas too."""
+    return F.transform(F.array(c), body)[0]
+
+
+def _total(numbers: Column, first: Column, many: Column) -> Column:
+    return F.aggregate(F.slice(numbers, first, many), F.lit(0), lambda n, x: n + x)
+
+
 def line_offsets(c: Column) -> Column:
-    """Where each line begins: the lengths of the lines before it, each with its line end."""
-    own = lines(c)
-    return F.transform(own, lambda _, i: F.aggregate(F.slice(own, F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x) + 1))
+    """Where each line begins: the lengths of the lines before it, each with its line end.
+
+    Lengths are summed in blocks of lines first, so a line looks at few others however many there are.
+    """
+    blocks = lambda n: F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / OFFSET_BLOCK).cast("int")), lambda k: _total(n, k * OFFSET_BLOCK + 1, F.lit(OFFSET_BLOCK)))
+    block = lambda i: F.floor(i / OFFSET_BLOCK).cast("int")
+    offset = lambda n, t, i: _total(t, F.lit(1), block(i)) + _total(n, block(i) * OFFSET_BLOCK + 1, i % OFFSET_BLOCK)
+    return bound(F.transform(lines(c), lambda x: F.length(x) + 1), lambda n: bound(blocks(n), lambda t: F.transform(n, lambda _, i: offset(n, t, i))))
 
 
 def offsets_hold(text: Column, own: Column, offsets: Column) -> Column:

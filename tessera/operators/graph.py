@@ -83,9 +83,11 @@ def expand(seeds: DataFrame, links: DataFrame, max_hops: int, least: float = LEA
 def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, every: int = 5, tolerance: float | None = 1e-6) -> DataFrame:
     """(id, rank) over undirected edges; ranks sum to 1. Nodes without edges share their rank with all.
 
-    The links are dealt by source once; each round is one join and one sum. Every few rounds the ranks
-    are written out, which is also when convergence is looked at.
+    The links are dealt by source once and kept that way, from a written table, so a round shuffles only what is
+    sent along them. Nodes without edges all have one rank, a number that is carried along. Every few rounds the
+    ranks are written out, which is also when convergence is looked at.
     """
+    spark = nodes.sparkSession
     ids = materialize(nodes.select("id").distinct(), "rank-nodes")
     n = ids.count()
     if not n:
@@ -93,27 +95,29 @@ def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
     links = both_ways(edges.select("a", "b"))
     degree = links.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
     links = materialize(links.join(degree, "a"), "rank-links")
-    rank = ids.withColumn("rank", F.lit(1.0 / n))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = links.repartition(parts, "a").persist()
+    linked = materialize(ids.join(links.select(F.col("a").alias("id")), "id", "left_semi"), "rank-linked")
+    lonely = n - linked.count()
+    alone = 1.0 / n  # the rank of each node without edges
+    rank = linked.withColumn("rank", F.lit(alone))
     last = rank
-    lonely = materialize(ids.join(degree.select(F.col("a").alias("id")), "id", "left_anti"), "rank-lonely")
-    no_loss = lonely.limit(1).count() == 0
     for i in range(1, rounds + 1):
-        sent = links.join(rank, links["a"] == rank["id"]).select(F.col("b").alias("id"), (F.col("rank") / F.col("degree")).alias("part"))
+        base = (1 - damping + damping * lonely * alone) / n
+        alone = base
+        sent = dealt.join(rank, dealt["a"] == rank["id"]).select(F.col("b").alias("id"), (F.col("rank") / F.col("degree")).alias("part"))
         got = sent.groupBy("id").agg(F.sum("part").alias("got"))
-        new = F.coalesce("got", F.lit(0.0))
-        if no_loss:
-            rank = ids.join(got, "id", "left").select("id", (F.lit((1 - damping) / n) + damping * new).alias("rank"))
-        else:
-            loss = rank.join(lonely, "id", "left_semi").agg(F.sum("rank").alias("loss"))  # one row
-            rank = ids.join(got, "id", "left").join(F.broadcast(loss)).select("id", (F.lit((1 - damping) / n) + damping * (new + F.col("loss") / n)).alias("rank"))
+        # A node that has an edge to another is sent something in each round.
+        rank = linked.join(got, "id", "left").select("id", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
         if i % every == 0 or i == rounds:
             rank = materialize(rank, "rank")
             if tolerance is not None:
                 moved = rank.join(last.withColumnRenamed("rank", "old"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-                if moved < n * tolerance:
+                if (moved or 0.0) < n * tolerance:
                     break
             last = rank
-    return rank
+    dealt.unpersist()
+    return rank.unionByName(ids.join(linked, "id", "left_anti").withColumn("rank", F.lit(alone)))
 
 
 def normalized_rank(rank: DataFrame) -> DataFrame:
