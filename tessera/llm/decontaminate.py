@@ -309,9 +309,8 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tupl
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_BYTES, out: str = "__c") -> DataFrame:
-    """Add ``out``: n_words, n_hit, items (sorted ids), longest (words of the longest verbatim match), longest_at (its first word), bits (of the words hit)."""
-    if out in docs.columns:
-        raise ValueError(f"there is a column {out}")
+    """Add ``out`` (in place of a column of that name): n_words, n_hit, items (sorted ids), longest (words of the longest verbatim match), longest_at (its first word), bits (of the words hit)."""
+    docs = docs.drop(out)
     spark = docs.sparkSession
     short_batches(spark)
 

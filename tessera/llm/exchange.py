@@ -44,13 +44,13 @@ def sized(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     return total, max(3, math.ceil(math.log2(max(1, total / 12 / RANGE_KEYS, 2 * docs.sparkSession.sparkContext.defaultParallelism))))
 
 
-def dealt(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
-    """``docs`` with ``__part``, and the number of bits that ranges of hashes have."""
+def dealt(docs: DataFrame, part: str, text: str = "text") -> tuple[DataFrame, int]:
+    """``docs`` with ``part``, and the number of bits that ranges of hashes have."""
     short_batches(docs.sparkSession)
     total, bits = sized(docs, text)
     parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // PART_BYTES))
-    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in ("doc_id", text)]), F.lit(parts)).cast("long")
-    return docs.withColumn("__part", part), bits
+    own = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in ("doc_id", text)]), F.lit(parts)).cast("long")
+    return docs.withColumn(part, own), bits
 
 
 class PartWords:

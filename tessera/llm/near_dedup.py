@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
 
-from .common import WordHashes, hash_words, materialize, mix, release, short_batches, window_hashes
+from .common import WordHashes, fresh, hash_words, materialize, mix, release, short_batches, window_hashes
 
 SHINGLE = 5
 PERCENT = 85
@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row left of each component: that with its smallest doc_id. Rows without words all stay."""
     rows = materialize(_components(docs.select("doc_id", "text"), percent), "near-judged")
-    h = "__near_hash"
+    h = fresh(docs, "__near_hash")
     out = docs.withColumn(h, F.xxhash64("text"))
 
     def same(other: DataFrame):

@@ -171,18 +171,13 @@ def _judged(measured: DataFrame, chosen: list[tuple[str | None, float]], stratum
     return out.withColumn("__base_failed", _base_failed()).withColumn("__kept", ~(_base_failed() | over)).drop("__s", "__cut")
 
 
-def _unclashing(docs: DataFrame) -> None:
-    if taken := {"__m", "__s", "__cut", "__base_failed", "__kept"} & set(docs.columns):
-        raise ValueError(f"there are columns {sorted(taken)}")
-
-
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """``docs`` with ``__m`` (the counts), ``__base_failed`` and ``__kept``, names that ``docs`` must not have.
+    """``docs`` with ``__m`` (the counts), ``__base_failed`` and ``__kept``, in place of columns of those names.
 
     The documents are measured twice, once for the cutoffs, as this costs less
     than a shuffle of the texts.
     """
-    _unclashing(docs)
+    docs = docs.drop("__m", "__s", "__cut", "__base_failed", "__kept")
     short_batches(docs.sparkSession)
     chosen = cutoffs(with_measures(docs.select("doc_id", stratum, "text")), labels, stratum)
     return _judged(with_measures(docs), chosen, stratum)

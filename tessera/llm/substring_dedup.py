@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import mix, window_hashes, with_fields
+from .common import fresh, mix, window_hashes, with_fields
 from .exchange import PartWords, among, answered, by_part, dealt, heard, part_of, send, texts_of
 from .exchange import SENT as SENT_SCHEMA
 
@@ -87,9 +87,11 @@ def _among_pairs(first: np.ndarray, second: np.ndarray, keys: np.ndarray, extras
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated windows cut from ``text``, and ``__n_words``, ``__n_removed``, ``__kept_sha256``."""
-    given, bits = dealt(docs)
-    cells = given.groupBy("__part")
+    """``docs`` with repeated windows cut from ``text``, and ``__n_words``, ``__n_removed``, ``__kept_sha256`` (in place of columns of those names)."""
+    docs = docs.drop("__n_words", "__n_removed", "__kept_sha256")
+    own_part = fresh(docs, "__part")
+    given, bits = dealt(docs, own_part)
+    cells = given.groupBy(own_part)
 
     def anchors(key: tuple, table: pa.Table) -> pa.Table:
         keys = np.unique(_anchors(PartWords(texts_of(table)))[1])
@@ -134,7 +136,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             kept_texts.append(None if t is None else joined.decode() if n else t.decode())
             lost.append(n)
             digests.append(hashlib.sha256(joined).hexdigest())
-        table = table.drop_columns(["__part"])
+        table = table.drop_columns([own_part])
         at = table.schema.get_field_index("text")
         table = table.set_column(at, "text", pa.array(kept_texts, table.schema.field("text").type))
         for name, values, kind in (("__n_words", words.lengths, pa.int64()), ("__n_removed", lost, pa.int64()), ("__kept_sha256", digests, pa.string())):
