@@ -368,6 +368,15 @@ def test_links_from_80_percent(spark):
     assert near_dedup.deduplicate(df).count() == 80
 
 
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(6)
+    for n in (1, 30, 400, 5000):
+        a, b = (np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for _ in "ab")
+        b = np.union1d(a[: n // 2], b)
+        differ = sum(int(x).bit_count() for x in (near_dedup.parities(a) ^ near_dedup.parities(b)).view(np.uint64))
+        assert differ <= len(np.setxor1d(a, b)) and (n > 100 or differ >= 0.8 * len(np.setxor1d(a, b)))
+
+
 def test_minima_estimate_similarity():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 1 << 63, 1000).astype(np.uint64)
