@@ -83,3 +83,44 @@ def fuzzy_name_score(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio((x or "").lower(), (y or "").lower()) for x, y in zip(a, b, strict=True)])
+
+
+def partial_ratio(a: str, b: str) -> float:
+    """The best Indel ratio of the shorter text with any part of the other that is as long, or shorter at its ends."""
+    short, long = sorted((a, b), key=len)
+    n = len(short)
+    if not n:
+        return float(not long)
+    parts = [long[max(0, i) : i + n] for i in range(1 - n, len(long))]
+    return max(indel_ratio(short, p) for p in parts)
+
+
+def weighted_ratio(a: str, b: str) -> float:
+    """The best of several ratios, after the public definition of the weighted one: whole texts; words in any order, for 0.95
+    of it; where one is half as long again as the other, parts of it for 0.9, or 0.6 from eight times as long."""
+    if not a or not b:
+        return 0.0
+    longer = max(len(a), len(b)) / min(len(a), len(b))
+    whole = indel_ratio(a, b)
+    if longer < 1.5:
+        return max(whole, 0.95 * token_ratio(a, b))
+    scale = 0.9 if longer < 8 else 0.6
+    x, y = set(a.split()), set(b.split())
+    words = 1.0 if x & y else partial_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+    return max(whole, scale * partial_ratio(a, b), 0.95 * scale * words)
+
+
+def blended_score(query: str, candidate: str) -> float:
+    """1 if equal, else 0.7 of the weighted and 0.3 of the partial ratio."""
+    a, b = query.lower().strip(), candidate.lower().strip()
+    return 1.0 if a == b else 0.7 * weighted_ratio(a, b) + 0.3 * partial_ratio(a, b)
+
+
+@F.pandas_udf(T.DoubleType())
+def fuzzy_query_score(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([blended_score(x or "", y or "") if x else 0.0 for x, y in zip(a, b, strict=True)])
+
+
+@F.pandas_udf(T.DoubleType())
+def fuzzy_weighted_score(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([weighted_ratio((x or "").lower().strip(), (y or "").lower().strip()) for x, y in zip(a, b, strict=True)])

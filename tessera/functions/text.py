@@ -153,6 +153,15 @@ def line_with(own_lines: Column, value: Column) -> Column:
     return F.when((at > 0) & (value != ""), at.cast("int"))
 
 
+def value_span(text: Column, value: Column) -> Column:
+    """line_number, begin and end (offsets in ``text``) of where ``value`` is first found, whatever the case; nulls if it isn't."""
+    at = lambda own: F.struct(own.alias("lines"), line_with(own, value).alias("n"))
+    offsets = line_offsets(text)
+    begin = lambda x: F.element_at(offsets, x["n"]) + F.instr(F.lower(F.element_at(x["lines"], x["n"])), F.lower(value)) - 1
+    span = lambda x: F.struct(x["n"].alias("line_number"), F.when(x["n"].isNotNull(), begin(x)).alias("begin"), F.when(x["n"].isNotNull(), begin(x) + F.length(value)).alias("end"))
+    return bound(bound(lines(text), at), span)
+
+
 def paragraph_of_line(text: Column, line: Column) -> Column:
     """Number from 1 of the paragraph that a line is in: blank lines before it, counted once a run, and one."""
     before = F.concat(F.array_join(F.slice(lines(text), F.lit(1), line - 1), "\n"), F.lit("\n"))

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import text as tx
+
 BATCH = 64
 DIMENSIONS = 384
 PREVIEW = 500
@@ -101,7 +103,33 @@ def embed(rows: DataFrame, text: str, embedder: Callable[[list[str]], list[list[
     return rows.withColumn("__k", F.sha2(text, 256)).join(vectors, "__k", "left").drop("__k")
 
 
+def fields_template(schema: dict[str, str]) -> str:
+    """The JSON object that a reply is to look like, each field null."""
+    return "{\n" + ",\n".join(f'  "{k}": null' for k in schema) + "\n}"
+
+
+def names_asked(questions: DataFrame, question: str, make: Callable[[], LanguageModel] | None = None, out: str = "names") -> DataFrame:
+    """Add the names that a question is about: from a model's comma list (``NONE``: none), or without one its phrases."""
+    if make is None:
+        return questions.withColumn(out, tx.phrase_candidates(F.col(question)))
+    prompt = F.concat(F.lit("List the names in this question, separated by commas, or NONE.\n"), F.col(question))
+    asked = complete(questions.withColumn("__prompt", prompt), "__prompt", make, out="__names")
+    names = F.filter(F.transform(F.split("__names", ","), tx.strip), lambda n: n != "")
+    none = F.upper(tx.strip(F.col("__names"))).isin("NONE", "")
+    return asked.withColumn(out, F.when(none, F.array().cast("array<string>")).otherwise(names)).drop("__prompt", "__names", "__names_error")
+
+
+def answers(rows: DataFrame, question: str, context: str, make: Callable[[], LanguageModel] | None = None, out: str = "answer") -> DataFrame:
+    """Add an answer from the context: a model's, or, without one or where it fails, the context itself."""
+    told = F.when(tx.strip(F.coalesce(F.col(context), F.lit(""))) == "", "I couldn't find anything about that.").otherwise(F.col(context))
+    if make is None:
+        return rows.withColumn(out, told)
+    prompt = F.concat(F.lit("Answer from the context alone.\n\nContext:\n"), F.coalesce(F.col(context), F.lit("")), F.lit("\n\nQuestion: "), F.col(question))
+    asked = complete(rows.withColumn("__prompt", prompt), "__prompt", make, out="__answer")
+    return asked.withColumn(out, F.coalesce(tx.blank_to_null(F.col("__answer")), told)).drop("__prompt", "__answer", "__answer_error")
+
+
 def fields_prompt(schema: dict[str, str], text: Column) -> Column:
     """A request for the schema's fields in JSON, and the text."""
     fields = "\n".join(f"- {k}: {v}" for k, v in schema.items())
-    return F.concat(F.lit(f"Give these fields as one JSON object:\n{fields}\n\n"), text)
+    return F.concat(F.lit(f"Give these fields as one JSON object:\n{fields}\n\nLike this:\n{fields_template(schema)}\n\n"), text)

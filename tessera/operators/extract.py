@@ -74,6 +74,21 @@ def entities_from_fields(rows: DataFrame) -> DataFrame:
     )
 
 
+def entity_text(name: Column, attributes: Column) -> Column:
+    """What stands for an entity where it is embedded."""
+    return F.concat_ws(" ", name, F.to_json(attributes))
+
+
+def header_person(page: Column, folder: Column) -> Column:
+    """name and dob from a document's first page: what follows the first colon of the last line that names them, else the folder's name and null."""
+    # What such lines hold.
+    names, births = ["patient name", "patient:"], ["date of birth", "dob"]
+    last = lambda own, marks: F.try_element_at(F.filter(own, lambda x: rules.any_of(F.lower(x), marks)), F.lit(-1))
+    after = lambda line: tx.strip(F.regexp_replace(line, r"^[^:]*:", ""))
+    person = lambda own: F.struct(F.coalesce(after(last(own, names)), F.initcap(F.replace(folder, F.lit("_"), F.lit(" ")))).alias("name"), after(last(own, births)).alias("dob"))
+    return tx.bound(tx.lines(page), person)
+
+
 def _proper(name: Column) -> Column:
     """Capitalised if it is in capitals throughout."""
     return F.when((name == F.upper(name)) & (name != F.lower(name)), F.initcap(name)).otherwise(name)

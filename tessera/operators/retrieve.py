@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +19,8 @@ BUDGET = int(0.9 * 4096)
 CHUNK_AT = 0.75
 STRONG, WEAK, SPREAD, SUGGEST_ABOVE, PAIR_BONUS = 0.75, 0.50, 0.10, 0.25, 1.10
 SUGGESTIONS, FACTS, NAMES, PERSON_MATCH = 3, 5, 15, 0.60
+#: Ranges of scores whose tokens are summed before documents are ranked.
+SCORE_RANGES = 1024
 
 
 def find_entities(entities: DataFrame, names: list[str], vector: list[float] | None, threshold: float = SEARCH_AT) -> DataFrame:
@@ -42,15 +46,28 @@ def relevance(rank: Column, cosine: Column | None = None) -> Column:
 def pack_context(documents: DataFrame, score: str, key: str, budget: float = BUDGET, by: list[str] | None = None) -> DataFrame:
     """Documents by score until the budget of tokens is passed; the best one always stays.
 
-    ``by`` names the questions that are packed apart. For a single question over many documents only those
-    that can be in the budget are ever ranked: a document with a word has a token at least. Those without cost nothing and all stay.
+    ``by`` names the questions that are packed apart. Scores are cut into ``SCORE_RANGES`` ranges whose tokens are
+    summed first, so only documents down to the range in which the budget is passed are ever ranked.
     """
     rows = documents.withColumn("tokens", tx.token_estimate(F.col("text")))
-    if not by:
-        costs = F.coalesce(F.col("tokens") > 0, F.lit(False))
-        rows = rows.filter(costs).orderBy(F.desc(score), key).limit(int(budget * tx.TOKENS_PER_WORD) + 2).unionByName(rows.filter(~costs))
+    asked = [F.col(c) for c in by] if by else [F.lit(1)]
+    keyed = rows.withColumns({f"__by{i}": c for i, c in enumerate(asked)})
+    keys = [f"__by{i}" for i in range(len(asked))]
+    ends = documents.select(*[c.alias(k) for c, k in zip(asked, keys, strict=True)], F.col(score).cast("double").alias("__s"))
+    ends = ends.groupBy(*keys).agg(F.min("__s").alias("__low"), F.max("__s").alias("__high"))
+
+    def same(x: DataFrame, y: DataFrame):
+        return reduce(lambda p, q: p & q, [x[k].eqNullSafe(y[k]) for k in keys])
+
+    span = F.col("__high") - F.col("__low")
+    place = F.when(F.col(score).isNull(), SCORE_RANGES).otherwise(F.when(span > 0, F.floor((F.col("__high") - F.col(score).cast("double")) / span * (SCORE_RANGES - 1))).otherwise(0)).cast("int")
+    placed = keyed.join(ends, same(keyed, ends), "left").select(*[keyed[c] for c in keyed.columns], place.alias("__range"))
+    sums = placed.groupBy(*keys, "__range").agg(F.sum("tokens").alias("__sum"))
+    before = F.sum("__sum").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    last = sums.withColumn("__before", F.coalesce(before, F.lit(0.0))).filter(F.col("__before") <= budget).groupBy(*keys).agg(F.max("__range").alias("__last"))
+    near = placed.join(last, same(placed, last)).filter(F.col("__range") <= F.col("__last")).select(*[placed[c] for c in rows.columns])
     w = Window.partitionBy(*(by or [])).orderBy(F.desc(score), key)
-    ranked = rows.withColumn("position", F.row_number().over(w)).withColumn("used", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = near.withColumn("position", F.row_number().over(w)).withColumn("used", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return ranked.filter((F.col("used") <= budget) | (F.col("position") == 1))
 
 
@@ -91,27 +108,35 @@ def verify(facts: DataFrame, claim: str) -> DataFrame:
     return facts.filter(F.contains(F.lower("fact"), F.lower(F.lit(claim))))
 
 
-def person_scores(people: DataFrame, question: str) -> DataFrame:
+def person_scores(people: DataFrame, question: str, fuzzy: bool = False) -> DataFrame:
     """Distinct canonical names with their best score under the question's phrases, and whether pairs gave it.
 
-    Names are scored against the question's few phrases inside an expression, so there is no join.
+    Names are scored against the question's few phrases inside an expression, so there is no join. With ``fuzzy``
+    each name has a row for each phrase, scored by ``similarity.fuzzy_query_score``, which finds misspelt names.
     """
     phrases = tx.phrase_candidates(F.lit(question))
+    names = people.select(tx.canonical_name(F.col("name")).alias("canon")).filter("canon <> ''").distinct()
+    pair = lambda p: F.contains(p, F.lit(" "))
+    if fuzzy:
+        rows = names.select("canon", F.explode_outer(phrases).alias("p"))
+        rows = rows.withColumn("score", sim.fuzzy_query_score(F.col("p"), F.col("canon")))
+        top = lambda own: F.greatest(F.lit(0.0), F.coalesce(F.max(own), F.lit(0.0)))
+        pairs = F.when(pair(F.col("p")), F.least(F.lit(1.0), F.col("score") * PAIR_BONUS))
+        return rows.groupBy("canon").agg(top(pairs).alias("pairs"), top(F.when(~pair(F.col("p")), F.col("score"))).alias("single"))
     best = lambda pairs: F.aggregate(
-        F.filter(phrases, lambda p: F.contains(p, F.lit(" ")) == F.lit(pairs)),
+        F.filter(phrases, lambda p: pair(p) == F.lit(pairs)),
         F.lit(0.0),
         lambda m, p: F.greatest(m, F.least(F.lit(1.0), sim.query_score(p, F.col("canon")) * (PAIR_BONUS if pairs else 1.0))),
     )
-    names = people.select(tx.canonical_name(F.col("name")).alias("canon")).filter("canon <> ''").distinct()
     return names.select("canon", best(True).alias("pairs"), best(False).alias("single"))
 
 
-def person_matches(people: DataFrame, question: str) -> DataFrame:
+def person_matches(people: DataFrame, question: str, fuzzy: bool = False) -> DataFrame:
     """canon, score, band: names of the strong band close to the best; if there are none, the weak ones; else suggestions.
 
     What is looked at beyond each name is one row of maxima.
     """
-    scored = person_scores(people, question)
+    scored = person_scores(people, question, fuzzy)
     words = F.filter(tx.phrase_candidates(F.lit(question)), lambda p: ~F.contains(p, F.lit(" ")))
     top = scored.agg(F.coalesce(F.max("pairs"), F.lit(0.0)).alias("top_pairs"))
     scored = scored.join(F.broadcast(top)).select("canon", F.when(F.col("top_pairs") > 0, F.col("pairs")).otherwise(F.col("single")).alias("score"))
@@ -149,9 +174,12 @@ def routed_facts(facts: DataFrame, question: str) -> DataFrame:
     return marked.filter("asked or not some").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= FACTS).select("entity_id", "key", "value")
 
 
-def best_person(people: DataFrame, name: str, key: str = "person_id") -> DataFrame:
-    """The insured person whose name scores best, the first of equals; none under 0.60."""
-    scored = people.filter("insurance_payer is not null").withColumn("score", sim.query_score(F.lit(name), F.col("name")))
+def best_person(people: DataFrame, name: str, key: str = "person_id", score=sim.query_score) -> DataFrame:
+    """The insured person whose name scores best, the first of equals; none under 0.60.
+
+    ``score`` is a column function of two names; ``similarity.fuzzy_weighted_score`` finds misspelt ones.
+    """
+    scored = people.filter("insurance_payer is not null").withColumn("score", score(F.lit(name), F.col("name")))
     return scored.filter(F.col("score") >= PERSON_MATCH).orderBy(F.desc("score"), key).limit(1)
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import calls, claims, documents, entities
+from . import calls, claims, documents, entities, reports
 
-MODULES = (claims, documents, entities, calls)
+MODULES = (claims, documents, entities, calls, reports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -104,7 +104,7 @@ def string_functions(spark, sf_dir):
 def json_extract(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     noisy = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.col("props")).otherwise("no object here")
-    return e.select("event_id", tx.json_in(noisy).isNotNull().alias("parsed"))
+    return e.select("event_id", tx.json_in(noisy).alias("found"))
 
 
 def line_search(spark, sf_dir):
@@ -151,7 +151,7 @@ _HINTED = r"CASE WHEN regexp_matches(text, '\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b')
 
 ORACLES = {
     "lines_offsets": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) SELECT doc_id, CAST(n AS INT) AS line_number, line, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS line_offset FROM l",
-    "line_invariant": "SELECT CAST(0 AS BIGINT) AS violations, count(*) AS documents FROM documents",
+    "line_invariant": "WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM l) SELECT count(DISTINCT doc_id) FILTER (substr(text, CAST(begins + 1 AS BIGINT), length(line)) <> line) AS violations, count(DISTINCT doc_id) AS documents FROM o",
     "numbered_lines": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) SELECT doc_id, string_agg(lpad(CAST(n AS VARCHAR), 3, ' ') || ': ' || line, chr(10) ORDER BY n) AS numbered FROM l GROUP BY doc_id",
     "word_tokens": f"SELECT doc_id, CAST(len({_WORDS}) AS INT) AS words, len({_WORDS}) / 0.75::DOUBLE AS tokens, CAST(len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: regexp_matches(p, '[^ \\t\\n\\x0B\\f\\r]'))) AS INT) AS paragraphs, len({_WORDS}) = 0 AS empty FROM documents",
     "token_budget_pack": f"WITH {_PACK} SELECT source, doc_id, CAST(position AS INT) AS position, tokens FROM r WHERE used <= 3686 OR position = 1",
@@ -168,7 +168,7 @@ ORACLES = {
     "string_functions": """SELECT c_custkey, regexp_replace(lower(c_name || ' <O''Hara> & Co'), '[^a-z0-9_]', '_', 'g') AS snake, replace(replace(replace(replace(c_name || ' <O''Hara> & Co', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&apos;') AS xml,
       '$' || format('{:,.2f}', c_acctbal) AS money, 0.0::DOUBLE AS not_a_number, sha256(c_name) AS sha, substr(c_mktsegment, 1, 5) AS preview,
       format('#{:02x}{:02x}{:02x}', CAST(floor(231 + (39 - 231) * ((c_custkey % 101) / 100.0::DOUBLE)) AS INT), CAST(floor(76 + (174 - 76) * ((c_custkey % 101) / 100.0::DOUBLE)) AS INT), CAST(floor(60 + (96 - 60) * ((c_custkey % 101) / 100.0::DOUBLE)) AS INT)) AS colour FROM customer""",
-    "json_extract": "SELECT event_id, event_id % 3 <> 2 AND json_valid(props) AND props LIKE '%{%}%' AS parsed FROM events",
+    "json_extract": "SELECT event_id, CASE WHEN event_id % 3 <> 2 AND json_valid(props) AND props LIKE '%{%}%' THEN regexp_extract(props, '(?s)(\\{.*\\})', 1) END AS found FROM events",
     "line_search": "WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), y AS (SELECT doc_id, ls, list_position(list_transform(ls, lambda l: contains(lower(l), 'the')), true) AS n FROM x) SELECT doc_id, CASE WHEN n > 0 THEN CAST(n AS INT) END AS line_number, CASE WHEN n > 0 THEN CAST(len(regexp_extract_all(array_to_string(ls[1:n-1], chr(10)) || chr(10), '\\n\\n+')) + 1 AS INT) END AS paragraph FROM y",
     "new_files_antijoin": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "group_texts": f"SELECT lang, count(*) AS texts, CAST(sum(length(text)) AS BIGINT) AS chars, count(DISTINCT text) AS distinct_texts FROM documents WHERE len({_WORDS}) > 0 GROUP BY lang",

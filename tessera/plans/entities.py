@@ -423,8 +423,12 @@ ORACLES = {
     "entity_union": "SELECT c_custkey AS patient_id, 'person' AS record_type, c_name AS name, 3 AS n FROM customer UNION ALL SELECT o_custkey, 'condition', o_orderpriority, 3 FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O' UNION ALL SELECT o_custkey, 'encounter', o_orderpriority, 4 FROM orders JOIN customer ON o_custkey = c_custkey",
     "disambiguation_options": f"WITH {ENT} SELECT lower(name) AS canon, string_agg(DISTINCT doc_type, ',' ORDER BY doc_type) AS doc_types, count(DISTINCT source_doc_id) AS sources, min_by(dob, entity_id) AS dob_hint, count(*) AS entities FROM en GROUP BY lower(name)",
     "open_ended_summary": f"WITH {ENT}, d AS (SELECT DISTINCT lower(name) AS c FROM en ORDER BY c LIMIT 15) SELECT count(*) AS entities, count(DISTINCT lower(name)) AS people, (SELECT string_agg(c, ',' ORDER BY c) FROM d) AS names FROM en",
-    "best_person": f"WITH {ENT} SELECT entity_id, name FROM en WHERE p_size % 2 = 0 AND name = 'small ring' ORDER BY entity_id LIMIT 1",
-    "reply_entities": "SELECT c_custkey AS doc_id, c_name AS name, 0.67::DOUBLE AS confidence, 2 AS line_number, 2 AS n FROM customer WHERE c_custkey % 3 <> 0",
+    "best_person": f"""WITH {ENT}, x AS (SELECT *, CASE WHEN lower(name) = 'ring small one' THEN 1.0 WHEN contains(lower(name), 'ring small one') OR contains('ring small one', lower(name)) THEN 0.8
+      ELSE len(list_intersect(list_distinct(string_split(lower(name), ' ')), ['ring', 'small', 'one'])) / greatest(len(list_distinct(string_split(lower(name), ' '))), 3)::DOUBLE END AS score FROM en WHERE p_size % 2 = 0)
+      SELECT entity_id, name FROM x WHERE score >= 0.60 ORDER BY score DESC, entity_id LIMIT 1""",
+    "reply_entities": """WITH r AS (SELECT c_custkey AS doc_id, ['first', c_name] AS ls, '{"name": "' || c_name || '", "dob": null, "id_number": " 7 ", "other": "x"}' AS j FROM customer WHERE c_custkey % 3 <> 0),
+      f AS (SELECT doc_id, ls, j, len(list_filter(['name', 'dob', 'id_number'], lambda k: trim(coalesce(json_extract_string(j, '$.' || k), '')) <> '')) AS n FROM r)
+      SELECT doc_id, json_extract_string(j, '$.name') AS name, round(n / 3.0::DOUBLE, 2) AS confidence, CAST(list_position(list_transform(ls, lambda l: contains(lower(l), lower(json_extract_string(j, '$.name')))), true) AS INT) AS line_number, CAST(n AS INT) AS n FROM f""",
     "query_engine": f"""WITH RECURSIVE {PAIRS}, {BOTH}, {ENT}, {FOUND}, cb AS (SELECT bw.a, bw.b FROM bw JOIN np ON (np.a = bw.a AND np.b = bw.b) OR (np.a = bw.b AND np.b = bw.a) WHERE np.c >= 0.60),
       r(id, depth) AS (SELECT entity_id, 0 FROM fo WHERE score >= 0.2 UNION SELECT cb.b, depth + 1 FROM r JOIN cb ON r.id = cb.a WHERE depth < 3),
       f AS (SELECT DISTINCT source_doc_id FROM en WHERE entity_id IN (SELECT id FROM r) AND dob <= DATE '1990-01-03'),

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, or a fresh local one where it is unset."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset a local session, whose one machine sees it all, gets a fresh folder."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named and not sc.master.startswith("local") or sc.master.startswith("local-cluster") and not named:
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="tessera-")
         sc.setCheckpointDir(named)
