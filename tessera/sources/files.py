@@ -177,8 +177,14 @@ def assigned_texts(people_: DataFrame, texts: DataFrame, preferred: dict[str, st
     numbered = texts.withColumn("n", F.row_number().over(Window.partitionBy("specialty").orderBy(F.xxhash64("text"), "text")) - 1)
     counts = texts.groupBy("specialty").agg(F.count(F.lit(1)).alias("many"))
     wanted = open_.join(counts, "specialty", "left")
-    any_kind = counts.agg(F.min("specialty").alias("other"), F.min_by("many", "specialty").alias("other_many"))  # one row
-    wanted = wanted.join(F.broadcast(any_kind)).select("id", "name", F.when(F.col("many").isNull(), F.col("other")).otherwise(F.col("specialty")).alias("specialty"), F.coalesce("many", "other_many").alias("many"))
+    # Where there is no text of the preferred kind, any text: the kind in whose share of all texts the person's hash falls. One row, of few kinds.
+    kinds = counts.agg(F.array_sort(F.collect_list(F.struct("specialty", "many"))).alias("kinds"), F.sum("many").alias("all"))
+    upto = lambda i: F.aggregate(F.slice("kinds", F.lit(1), i + 1), F.lit(0).cast("long"), lambda s, k: s + k["many"])
+    ends = F.transform("kinds", lambda k, i: F.struct(k["specialty"].alias("specialty"), k["many"].alias("many"), upto(i).alias("end")))
+    kinds = kinds.select(ends.alias("ends"), "all")
+    other = F.get(F.filter("ends", lambda k: k["end"] > F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.col("all"))), F.lit(0))
+    wanted = wanted.join(F.broadcast(kinds)).withColumn("other", other)
+    wanted = wanted.select("id", "name", F.when(F.col("many").isNull(), F.col("other.specialty")).otherwise(F.col("specialty")).alias("specialty"), F.coalesce("many", F.col("other.many")).alias("many"))
     wanted = wanted.withColumn("n", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("many")).cast("int"))
     return wanted.join(numbered, ["specialty", "n"]).select("id", "name", "specialty", "text")
 
