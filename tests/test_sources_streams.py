@@ -70,7 +70,8 @@ def test_assigned_texts(spark):
     some = people.first()["name"]
     done = spark.createDataFrame([(0,)], "id long")
     rows = files.assigned_texts(people, texts, {some: "B"}, done).collect()
-    assert len(rows) == 11 and all(r["specialty"] == ("B" if r["name"] == some else "A") for r in rows)
+    assert len(rows) == 11 and all(r["specialty"] == "B" for r in rows if r["name"] == some)
+    assert {r["specialty"] for r in rows if r["name"] != some} == {"A", "B"}  # any text where none is preferred
 
 
 def test_saved_graph(spark, tmp_path):
