@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tessera.storage import materialize
 
 
-#: Neighbours up to which a node isn't looked at as a hub.
-HUB = 1000
+#: Neighbours up to which a node isn't looked at as a hub: as many rows of two numbers are little work for one task.
+HUB = 100_000
 #: Hubs at most: a node is one only if it has at least this share of all edge ends.
 HUBS = 1000
 

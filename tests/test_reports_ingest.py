@@ -57,7 +57,8 @@ def test_offsets_of_many_lines(spark):
         assert got == [sum(map(len, own[:i])) + i for i in range(n)]
 
 
-def test_components_with_hubs(spark):
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB", 1000)
     rng = random.Random(1)
     edges = [(0, i) for i in range(1, 1500)] + [(9000, i) for i in range(5000, 6500)] + [(1499, 5000), (7, 7)] + [(rng.randint(10_000, 10_900), rng.randint(10_000, 10_900)) for _ in range(400)]
     got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
