@@ -11,7 +11,7 @@ occur there, and a backslash before any character stands for that character.
 
 Defined results: null roles and texts are empty; null turns come first; turns
 with one number are ordered by role and then text; repeated rows are turns of
-their own; a null conversation id names a conversation like any other; roles or
+their own; conversation ids are of any plain type, a null one names a conversation like any other; roles or
 orders that the machine does not allow are formatted all the same, and
 ``valid`` is false from that turn on; other columns are ignored; no rows give
 no segments.
@@ -27,6 +27,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows of output put together at a time.
 CHUNK = 2000
@@ -80,6 +81,8 @@ def format_conversations(conversations: DataFrame, template: Template | None = N
     A conversation's segments lie in one partition, in order.
     """
     t = template or Template()
+    kind = conversations.schema["conv_id"].dataType
+    arrow = to_arrow_type(kind)
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = conversations.select("conv_id", "turn", blank("role").alias("role"), blank("text").alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -99,9 +102,9 @@ def format_conversations(conversations: DataFrame, template: Template | None = N
                 yield conv, position, 2, role, f"{t.end}\n", False, valid
                 position += 1
 
-        return _stream(segments(), [("conv_id", pa.int64()), ("position", pa.int64()), ("segment", pa.int32()), ("role", pa.string()), ("text", pa.string()), ("loss", pa.bool_()), ("valid", pa.bool_())])
+        return _stream(segments(), [("conv_id", arrow), ("position", pa.int64()), ("segment", pa.int32()), ("role", pa.string()), ("text", pa.string()), ("loss", pa.bool_()), ("valid", pa.bool_())])
 
-    return rows.mapInArrow(run, "conv_id long, position long, segment int, role string, text string, loss boolean, valid boolean")
+    return rows.mapInArrow(run, f"conv_id {kind.simpleString()}, position long, segment int, role string, text string, loss boolean, valid boolean")
 
 
 def read_back(segments: DataFrame, template: Template | None = None) -> DataFrame:
@@ -111,6 +114,8 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
     parsed from the text alone; the loss mask is that of the segments.
     """
     t = template or Template()
+    kind = segments.schema["conv_id"].dataType
+    arrow = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def digests() -> Iterator[tuple]:
@@ -144,6 +149,6 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
             if turns is not None:
                 yield done()
 
-        return _stream(digests(), [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_())])
+        return _stream(digests(), [("conv_id", arrow), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_())])
 
-    return segments.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+    return segments.mapInArrow(run, f"conv_id {kind.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")

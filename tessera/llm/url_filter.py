@@ -39,8 +39,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     rest = F.coalesce(rest, F.lit(""))
     host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return F.translate(host, upper, lower), path
+    return lowered(host), path
+
+
+def lowered(host: Column) -> Column:
+    """With A-Z in small letters, other characters as they are."""
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def _key(labels: Column, path: Column) -> Column:
@@ -78,7 +82,7 @@ def match_rules(pages: DataFrame, rules: DataFrame, default: str = "allow", page
     given = given.groupBy("page_id", "host", "path").agg(F.count(F.lit(1)).alias("copies"))
     given = given.withColumn("tie", F.xxhash64("page_id", "host", "path"))
 
-    known = rules.select(F.lower("host").alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").filter(F.col("host").isNotNull())
+    known = rules.select(lowered(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").filter(F.col("host").isNotNull())
     known = known.groupBy("host", "path").agg(F.max(F.struct((F.col("verdict") == "block").alias("b"), "verdict"))["verdict"].alias("verdict"))
     labels = F.split("host", r"\.")
     known = known.withColumn("rule", F.concat("host", "path")).withColumn("open", _key(labels, F.col("path")))

@@ -271,6 +271,12 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_conversation_ids_of_any_type(spark):
+    df = spark.createDataFrame([("a", 0, "user", "hi"), ("a", 1, "assistant", "ho"), (None, 0, "user", "x")], "conv_id string, turn int, role string, text string")
+    got = {r["conv_id"]: (r["n_turns"], r["loss_chars"], r["valid"]) for r in chat.read_back(chat.format_conversations(df)).collect()}
+    assert got == {"a": (2, 2, True), None: (1, 0, False)}
+
+
 def near_brute(given):
     cache = WordHashes()
     sets = [near_dedup.shingle_set((t or "").encode(), cache) for _, t in given]
@@ -419,6 +425,12 @@ def test_url_rules(spark):
     assert url_filter.match_rules(df.limit(0), table_).count() == 0
 
 
+def test_hosts_of_rules_are_lowered_as_those_of_urls(spark):
+    pages = spark.createDataFrame([(1, "http://x.\u00c9A.com/a")], "page_id long, url string")
+    rules = spark.createDataFrame([("\u00c9a.COM", "/", "block")], "host string, path string, verdict string")
+    assert [(r["rule"], r["verdict"]) for r in url_filter.match_rules(pages, rules).collect()] == [("\u00c9a.com/", "block")]
+
+
 def test_quality_counts():
     cache = WordHashes()
     text = "a b c d e f g h X\na b c d e f g h Y\n\n dup # $\n dup # $\nÉté !!"
