@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import rules
 from tessera.functions import text as tx
@@ -115,17 +116,63 @@ def entities_from_result(rows: DataFrame) -> DataFrame:
     return out.select("source_file", rules.extractor_doc_type(label, F.col("extractor_id")).alias("document_type"), overall.alias("confidence"), "items")
 
 
+# Attribute names of the three kinds of rows, and the fields of a record that they come from.
+PERSON_FIELDS = {
+    "patient_id": "patient_id", "dob": "dob", "age": "age", "gender": "gender", "city": "city", "state": "state",
+    "insurance_payer": "insurance.payer", "insurance_since": "insurance.member_since",
+    "total_billed": "claim_summary.total_billed", "total_covered": "claim_summary.total_covered", "total_owed": "claim_summary.total_owed",
+    "denied_claims": "claim_summary.denied_claims", "pending_claims": "claim_summary.pending_claims",
+}
+CONDITION_FIELDS = {"condition_code": "code", "condition_description": "description", "condition_onset": "onset"}
+ENCOUNTER_FIELDS = {
+    "encounter_id": "encounter_id", "encounter_date": "date", "encounter_type": "type", "description": "description", "reason": "reason",
+    "procedure_code": "procedure_code", "provider": "provider", "payer": "payer", "billed": "billed", "covered": "covered",
+    "patient_owes": "patient_owes", "claim_status": "claim_status",
+}
+#: These are "0" where a record hasn't got them.
+ZERO_IF_MISSING = {"total_billed", "total_covered", "total_owed", "denied_claims", "pending_claims", "billed", "covered", "patient_owes"}
+
+
+def _number_text(c: Column, kind: T.DataType) -> Column:
+    """A number as text: fractions without an exponent and without needless zeros, whole ones of a fraction's type with ".0"."""
+    if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
+        return F.regexp_replace(c.cast("decimal(38,6)").cast("string"), r"(\.\d+?)0*$", "$1")
+    return c.cast("string")
+
+
+def _attributes(fields: dict[str, str], row: Column | None, kind: T.StructType) -> list[Column]:
+    """Names and values for a map, from the columns of a table or, with ``row``, from the fields of a struct."""
+    out: list[Column] = []
+    for name, path in fields.items():
+        value, at = row, kind
+        for part in path.split("."):
+            if not isinstance(at, T.StructType) or part not in at.names:
+                value, at = None, None
+                break
+            value, at = (F.col(part) if value is None else value[part]), at[part].dataType
+        text = F.lit(None).cast("string") if at is None else _number_text(value, at)
+        out += [F.lit(name), F.coalesce(text, F.lit("0")) if name in ZERO_IF_MISSING else text]
+    return out
+
+
 def entities_from_patients(records: DataFrame) -> DataFrame:
     """Person, condition and encounter rows of nested patient records, under one schema.
 
-    ``records``: patient_id, display_name, dob, city, state, active_conditions, encounters. The person's row keeps its attributes
-    as strings; the others name their kind.
+    ``records`` has patient_id, display_name, active_conditions and encounters, and any others of the fields above. All rows bear
+    the patient's name ("Unknown" if there is none); attributes are strings, without blank ones, and rows of conditions and encounters
+    name their kind.
     """
-    kinds = lambda **cols: F.create_map(*[x for k, c in cols.items() for x in (F.lit(k), c.cast("string"))])
-    people = records.select("patient_id", F.lit("person").alias("record_type"), F.col("display_name").alias("name"), filled(kinds(patient_id=F.col("patient_id"), dob=F.col("dob"), city=F.col("city"), state=F.col("state"))).alias("attributes"))
-    conditions = records.select("patient_id", F.explode("active_conditions").alias("c")).select("patient_id", F.lit("condition").alias("record_type"), F.col("c.description").alias("name"), filled(kinds(record_type=F.lit("condition"), code=F.col("c.code"), onset=F.col("c.onset"))).alias("attributes"))
-    visits = records.select("patient_id", F.explode("encounters").alias("e")).select("patient_id", F.lit("encounter").alias("record_type"), F.col("e.description").alias("name"), filled(kinds(record_type=F.lit("encounter"), date=F.col("e.date"), claim_status=F.col("e.claim_status"), billed=F.col("e.billed"))).alias("attributes"))
-    return people.unionByName(conditions).unionByName(visits)
+    schema = records.schema
+    of_each = lambda c: schema[c].dataType.elementType
+    many = lambda c: F.greatest(F.size(c), F.lit(0)).cast("string")
+    name = F.coalesce("display_name", F.lit("Unknown")).alias("name")
+    person = F.create_map(*_attributes(PERSON_FIELDS, None, schema), F.lit("active_conditions_count"), many("active_conditions"), F.lit("encounters_count"), many("encounters"))
+    out = records.select("patient_id", F.lit("person").alias("record_type"), name, filled(person).alias("attributes"))
+    for record_type, column, fields in [("condition", "active_conditions", CONDITION_FIELDS), ("encounter", "encounters", ENCOUNTER_FIELDS)]:
+        rows = records.select("patient_id", name, F.explode(column).alias("each"))
+        row = F.create_map(*_attributes(fields, F.col("each"), of_each(column)), F.lit("record_type"), F.lit(record_type))
+        out = out.unionByName(rows.select("patient_id", F.lit(record_type).alias("record_type"), "name", filled(row).alias("attributes")))
+    return out
 
 
 def person_rows(entities: DataFrame, folder: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,6 +42,66 @@ def find_entities(entities: DataFrame, names: list[str], vector: list[float] | N
     return scored.filter(F.col("score") >= threshold)
 
 
+def search_entities(entities: DataFrame, questions: DataFrame, threshold: float = SEARCH_AT, rows_a_tile: int = 2048) -> DataFrame:
+    """``find_entities`` for a table of questions against all entities: question_id, entity_id, score.
+
+    ``questions``: question_id, names (array of strings), embedding; ``entities``: entity_id, name, embedding. Both are dealt into blocks of
+    about ``rows_a_tile`` rows, and each pair of blocks is one tile that any task can take: its vectors are multiplied at once, its distinct
+    names compared once, and only pairs at the threshold become rows.
+    """
+    counts = [max(1, -(-d.count() // rows_a_tile)) for d in (questions, entities)]
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    text_id = lambda key: F.col(key).cast("string").alias("id")
+    own = F.lower(tx.strip(F.col("name")))
+    q = questions.select(block("question_id", counts[0]).alias("t"), every(counts[1]).alias("u"), F.lit(True).alias("asks"), text_id("question_id"), F.transform("names", lambda n: F.struct(F.lower(n).alias("raw"), F.lower(tx.strip(n)).alias("bare"))).alias("names"), "embedding")
+    e = entities.select(every(counts[0]).alias("t"), block("entity_id", counts[1]).alias("u"), F.lit(False).alias("asks"), text_id("entity_id"), F.array(F.struct(own.alias("raw"), own.alias("bare"))).alias("names"), "embedding")
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (pdf[pdf["asks"] == side].reset_index(drop=True) for side in (True, False))
+        score = 0.5 * _cosines(a["embedding"], b["embedding"])
+        named, held = _name_matches([[(n["raw"], n["bare"]) for n in ns] if ns is not None else [] for ns in a["names"]], [ns[0]["bare"] for ns in b["names"]])
+        score += 0.5 * named
+        score[held] = np.maximum(score[held], HELD_SCORE)
+        i, j = np.nonzero(score >= threshold)
+        return pd.DataFrame({"question_id": a["id"].to_numpy()[i], "entity_id": b["id"].to_numpy()[j], "score": score[i, j]})
+
+    found = q.unionByName(e).groupBy("t", "u").applyInPandas(tile, "question_id string, entity_id string, score double")
+    return found.select(F.col("question_id").cast(questions.schema["question_id"].dataType), F.col("entity_id").cast(entities.schema["entity_id"].dataType), "score")
+
+
+def _cosines(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """As ``similarity.cosine``, for all pairs: 0 for nulls, unequal lengths and zero vectors."""
+    out = np.zeros((len(a), len(b)))
+    sizes_a, sizes_b = (np.array([-1 if v is None else len(v) for v in s], dtype=np.int64) for s in (a, b))
+    for n in set(sizes_a[sizes_a > 0]) & set(sizes_b[sizes_b > 0]):
+        i, j = np.flatnonzero(sizes_a == n), np.flatnonzero(sizes_b == n)
+        x, y = (np.stack(s.to_numpy()[k]).astype(np.float64) for s, k in ((a, i), (b, j)))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            x, y = (np.nan_to_num(m / np.linalg.norm(m, axis=1, keepdims=True)) for m in (x, y))
+        out[np.ix_(i, j)] = np.clip(x @ y.T, 0.0, 1.0)
+    return out
+
+
+def _name_matches(asked: list[list[tuple]], names: list) -> tuple[np.ndarray, np.ndarray]:
+    """For all pairs of a question and an entity: the best exact name score, and whether one name holds the other."""
+    different = sorted({n for n in names if n is not None})
+    place = np.array([len(different) if n is None else bisect.bisect_left(different, n) for n in names], dtype=np.int64)
+    seen: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+    named, held = np.zeros((len(asked), len(names))), np.zeros((len(asked), len(names)), dtype=bool)
+    for k, own in enumerate(asked):
+        for raw, bare in own:
+            if bare is None:
+                continue
+            if (raw, bare) not in seen:
+                score = [1.0 if bare == n else 0.75 if bare in n or n in bare else 0.0 for n in different]
+                seen[raw, bare] = np.array([*score, 0.0]), np.array([*[n != "" and (raw in n or n in raw) for n in different], False])
+            score, holds = seen[raw, bare]
+            named[k] = np.maximum(named[k], score[place])
+            held[k] |= holds[place]
+    return named, held
+
+
 def relevance(rank: Column, cosine: Column | None = None) -> Column:
     return RELEVANCE_RANK * rank + (RELEVANCE_VECTOR * cosine if cosine is not None else F.lit(0.0))
 

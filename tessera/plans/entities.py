@@ -209,15 +209,15 @@ def most_recent_value(spark, sf_dir):
 
 
 def find_entities(spark, sf_dir):
+    """Every entity whose id is divisible by 50 asks for its own name and vector."""
     e = entities(spark, sf_dir)
-    query = e.filter("entity_id = 0").select("name", "embedding").first()  # one row: the question
-    return R.find_entities(e, [query["name"]], query["embedding"], 0.3).select("entity_id", F.round("score", 6).alias("score"))
+    asked = e.filter("entity_id % 50 = 0").select(F.col("entity_id").alias("question_id"), F.array("name").alias("names"), "embedding")
+    return R.search_entities(e, asked, 0.3).select("question_id", "entity_id", F.round("score", 6).alias("score"))
 
 
 def source_documents(spark, sf_dir):
-    found = find_entities(spark, sf_dir)
-    e = entities(spark, sf_dir).join(found, "entity_id", "left_semi")
-    return e.groupBy("source_doc_id").agg(F.count(F.lit(1)).alias("entities"), F.min("entity_id").alias("first_entity"))
+    found = find_entities(spark, sf_dir).join(entities(spark, sf_dir).select("entity_id", "source_doc_id"), "entity_id")
+    return found.groupBy("question_id", "source_doc_id").agg(F.count(F.lit(1)).alias("entities"), F.min("entity_id").alias("first_entity"))
 
 
 def provenance_explode(spark, sf_dir):
@@ -304,8 +304,11 @@ def entity_union(spark, sf_dir):
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("patient_id"), F.col("c_name").alias("display_name"), F.lit("1990-01-01").alias("dob"), F.col("c_mktsegment").alias("city"), F.lit(" ").alias("state"))
     o = read(spark, sf_dir, "orders")
     visits = o.groupBy(F.col("o_custkey").alias("patient_id")).agg(F.collect_list(F.struct(F.col("o_orderpriority").alias("description"), F.to_date("o_orderdate").alias("date"), F.col("o_orderstatus").alias("claim_status"), F.col("o_totalprice").alias("billed"))).alias("encounters"), F.collect_list(F.when(F.col("o_orderstatus") == "O", F.struct(F.col("o_orderstatus").alias("code"), F.col("o_orderpriority").alias("description"), F.to_date("o_orderdate").alias("onset")))).alias("active_conditions"))
-    rows = X.entities_from_patients(c.join(visits, "patient_id", "left"))
-    return rows.select("patient_id", "record_type", "name", F.size("attributes").alias("n"))
+    totals = o.groupBy(F.col("o_custkey").alias("patient_id")).agg(F.struct(F.sum("o_totalprice").alias("total_billed"), F.count_if(F.col("o_orderstatus") == "F").cast("int").alias("denied_claims")).alias("claim_summary"))
+    rows = X.entities_from_patients(c.join(visits, "patient_id", "left").join(totals, "patient_id", "left"))
+    at = lambda k: F.try_element_at("attributes", F.lit(k))
+    told = F.concat_ws("/", at("denied_claims"), at("pending_claims"), at("active_conditions_count"), at("encounters_count"), at("condition_onset"), at("encounter_date"), at("claim_status"), at("covered"))
+    return rows.select("patient_id", "record_type", "name", F.size("attributes").alias("n"), told.alias("told"), F.round(F.coalesce(at("total_billed"), at("billed")).cast("double"), 2).alias("billed"))
 
 
 def disambiguation_options(spark, sf_dir):
@@ -360,6 +363,9 @@ FACTS = f"""fa AS (SELECT entity_id, 'dob' AS key, CAST(dob AS VARCHAR) AS value
   UNION ALL SELECT entity_id, 'policy_number', {_POLICY}, name || ' policy_number: ' || {_POLICY}, source_doc_id FROM en WHERE p_size % 4 <> 0
   UNION ALL SELECT entity_id, 'diagnosis', doc_type, name || ' diagnosis: ' || doc_type, source_doc_id FROM en)"""
 FOUND = "fo AS (SELECT e.entity_id, e.source_doc_id, CASE WHEN lower(e.name) = lower(q.name) THEN greatest(0.85, 0.5 + 0.5 * greatest(0, least(1, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))))) ELSE 0.5 * greatest(0, least(1, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))) END AS score FROM en e, (SELECT name, embedding FROM en WHERE entity_id = 0) q)"
+ASKED = """sc AS (SELECT q.entity_id AS question_id, e.entity_id, e.source_doc_id, lower(e.name) AS x, lower(q.name) AS y, contains(x, y) OR contains(y, x) AS held,
+  0.5::DOUBLE * greatest(0, least(1, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))) + CASE WHEN x = y THEN 0.5 WHEN held THEN 0.375 ELSE 0 END AS plain FROM en e, en q WHERE q.entity_id % 50 = 0),
+  fo AS (SELECT question_id, entity_id, source_doc_id, CASE WHEN held THEN greatest(0.85, plain) ELSE plain END AS score FROM sc)"""
 
 
 def _scored(phrases: list[str], bonus: float) -> str:
@@ -404,8 +410,8 @@ ORACLES = {
     "temporal_current": f"WITH {EV}, g AS (SELECT *, CASE WHEN id % 7 <> 0 THEN 'u' || user_id ELSE 'i' || id END AS grp FROM ev WHERE date IS NOT NULL) SELECT id, user_id, date FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY date DESC, id) AS rn FROM g) WHERE rn = 1",
     "temporal_asof": f"WITH {EV} SELECT id, date FROM ev WHERE date <= DATE '2024-01-15'",
     "most_recent_value": f"WITH {EV} SELECT user_id, event_type AS value, date FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date DESC, id) AS rn FROM ev WHERE date IS NOT NULL AND id % 4 <> 0) WHERE rn = 1",
-    "find_entities": f"WITH {ENT}, {FOUND} SELECT entity_id, round(score, 6)::DOUBLE AS score FROM fo WHERE score >= 0.3",
-    "source_documents": f"WITH {ENT}, {FOUND} SELECT source_doc_id, count(*) AS entities, min(entity_id) AS first_entity FROM fo WHERE score >= 0.3 GROUP BY source_doc_id",
+    "find_entities": f"WITH {ENT}, {ASKED} SELECT question_id, entity_id, round(score, 6)::DOUBLE AS score FROM fo WHERE score >= 0.3",
+    "source_documents": f"WITH {ENT}, {ASKED} SELECT question_id, source_doc_id, count(*) AS entities, min(entity_id) AS first_entity FROM fo WHERE score >= 0.3 GROUP BY question_id, source_doc_id",
     "provenance_explode": f"WITH {ENT}, {FACTS} SELECT entity_id, key, value, fact FROM fa",
     "verify_fact": f"WITH {ENT}, {FACTS} SELECT entity_id, key, value FROM fa WHERE contains(lower(fact), 'policy_number: p-3')",
     "facts_by_source": f"WITH {ENT}, {FACTS} SELECT source_doc_id, count(DISTINCT fact) AS facts, min(fact) AS first_fact FROM fa GROUP BY source_doc_id",
@@ -420,7 +426,11 @@ ORACLES = {
     "person_exists": f"WITH {ENT} SELECT DISTINCT name FROM en WHERE contains(lower(name), 'small ring') OR contains('small ring', lower(name))",
     "field_entities": "SELECT CAST(c_custkey AS VARCHAR) AS source_file, CASE WHEN c_custkey % 2 = 0 THEN 'DRIVERS_LICENSE' ELSE 'GENERIC' END AS doc_type, c_name AS name, CAST(NULL AS VARCHAR) AS doc_date, round((0.9::DOUBLE + (c_custkey % 10) / 10::DOUBLE + 0.5::DOUBLE) / 3, 3) AS confidence, 2 AS n FROM customer",
     "remote_results": "SELECT CAST(c_custkey AS VARCHAR) AS source_file, CASE c_custkey % 3 WHEN 0 THEN 'PASSPORT' WHEN 1 THEN 'DRIVERS_LICENSE' ELSE 'GENERIC' END AS document_type, CASE WHEN c_custkey % 2 = 0 THEN round((1.0::DOUBLE + 0.7) / 2, 3) ELSE round((1.0::DOUBLE + 0.7 + 0.7) / 3, 3) END AS confidence, 'license_number=' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ';sex=M' END || ';name=' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' Walker' AS items FROM customer",
-    "entity_union": "SELECT c_custkey AS patient_id, 'person' AS record_type, c_name AS name, 3 AS n FROM customer UNION ALL SELECT o_custkey, 'condition', o_orderpriority, 3 FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O' UNION ALL SELECT o_custkey, 'encounter', o_orderpriority, 4 FROM orders JOIN customer ON o_custkey = c_custkey",
+    "entity_union": """WITH o AS (SELECT o_custkey, c_name, o_orderpriority, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS d FROM orders JOIN customer ON o_custkey = c_custkey),
+      t AS (SELECT o_custkey, sum(o_totalprice) AS total, count(*) FILTER (o_orderstatus = 'F') AS denied, count(*) FILTER (o_orderstatus = 'O') AS active, count(*) AS visits FROM o GROUP BY o_custkey)
+      SELECT c_custkey AS patient_id, 'person' AS record_type, c_name AS name, 10 AS n, coalesce(denied, 0) || '/0/' || coalesce(active, 0) || '/' || coalesce(visits, 0) AS told, round(coalesce(total, 0), 2)::DOUBLE AS billed FROM customer LEFT JOIN t ON o_custkey = c_custkey
+      UNION ALL SELECT o_custkey, 'condition', c_name, 4, CAST(d AS VARCHAR), NULL FROM o WHERE o_orderstatus = 'O'
+      UNION ALL SELECT o_custkey, 'encounter', c_name, 7, CAST(d AS VARCHAR) || '/' || o_orderstatus || '/0', round(o_totalprice, 2)::DOUBLE FROM o""",
     "disambiguation_options": f"WITH {ENT} SELECT lower(name) AS canon, string_agg(DISTINCT doc_type, ',' ORDER BY doc_type) AS doc_types, count(DISTINCT source_doc_id) AS sources, min_by(dob, entity_id) AS dob_hint, count(*) AS entities FROM en GROUP BY lower(name)",
     "open_ended_summary": f"WITH {ENT}, d AS (SELECT DISTINCT lower(name) AS c FROM en ORDER BY c LIMIT 15) SELECT count(*) AS entities, count(DISTINCT lower(name)) AS people, (SELECT string_agg(c, ',' ORDER BY c) FROM d) AS names FROM en",
     "best_person": f"""WITH {ENT}, x AS (SELECT *, CASE WHEN lower(name) = 'ring small one' THEN 1.0 WHEN contains(lower(name), 'ring small one') OR contains('ring small one', lower(name)) THEN 0.8

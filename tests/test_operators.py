@@ -264,3 +264,31 @@ def test_fuzzy_pairs_of_unlike_surnames(spark):
     pairs = M.candidate_pairs(df, score=sim.fuzzy_name_score)
     assert [(r["id_a"], r["id_b"]) for r in M.score_pairs(pairs, sim.fuzzy_name_score).collect()] == [(1, 2)]
     assert M.candidate_pairs(df).count() == 0
+
+
+def test_search_for_many_questions_is_the_search_for_each(spark):
+    big = 2**60 + 1
+    people = [(big, " Ann Lee ", [1.0, 0.0]), (2, "ann", [0.6, 0.8]), (3, None, [1.0, 0.0]), (4, "", [1.0, 0.0]), (5, "Bob", None), (6, "Bob Ray", [0.0, 0.0]), (7, "Zoe", [1.0, 0.0, 0.0]), (8, "Zoe", [0.0, 1.0])]
+    e = spark.createDataFrame(people, "entity_id long, name string, embedding array<double>")
+    asked = [(big + 1, ["Ann Lee"], [1.0, 0.0]), (2, ["bob", "ZOE"], [0.0, 1.0]), (3, [], [0.6, 0.8]), (4, None, [1.0, 0.0]), (5, ["Nobody"], None)]
+    q = spark.createDataFrame(asked, "question_id long, names array<string>, embedding array<double>")
+    want = sorted((k, r["entity_id"], round(r["score"], 9)) for k, names, v in asked for r in R.find_entities(e, names or [], v).collect())
+    for rows_a_tile in (2, 100):
+        got = R.search_entities(e, q, rows_a_tile=rows_a_tile).collect()
+        assert sorted((r["question_id"], r["entity_id"], round(r["score"], 9)) for r in got) == want
+    assert R.search_entities(e, q.limit(0)).count() == R.search_entities(e.limit(0), q).count() == 0
+
+
+def test_patient_rows_have_all_fields(spark):
+    from tessera.operators import extract as X
+    from tessera.sources.files import PATIENT
+    row = {"patient_id": "p1", "display_name": "Ann Lee", "dob": "1980-01-02", "age": 45, "gender": "F", "insurance": {"payer": "Acme", "member_since": "2001"}, "claim_summary": {"total_billed": 12345678.5, "total_covered": 10.0, "denied_claims": 2},
+           "active_conditions": [{"code": "c1", "description": "Cough", "onset": " "}], "encounters": [{"encounter_id": "e1", "billed": 0.25, "claim_status": "DENIED"}]}
+    rows = X.entities_from_patients(spark.createDataFrame([row, {"patient_id": "p2"}], PATIENT)).collect()
+    got = {(r["patient_id"], r["record_type"]): (r["name"], r["attributes"]) for r in rows}
+    assert len(rows) == len(got) == 4
+    none = {"total_covered": "0", "total_owed": "0", "denied_claims": "0", "pending_claims": "0", "total_billed": "0"}
+    assert got["p1", "person"] == ("Ann Lee", none | {"patient_id": "p1", "dob": "1980-01-02", "age": "45", "gender": "F", "insurance_payer": "Acme", "insurance_since": "2001", "total_billed": "12345678.5", "total_covered": "10.0", "denied_claims": "2", "active_conditions_count": "1", "encounters_count": "1"})
+    assert got["p2", "person"] == ("Unknown", none | {"patient_id": "p2", "active_conditions_count": "0", "encounters_count": "0"})
+    assert got["p1", "condition"] == ("Ann Lee", {"condition_code": "c1", "condition_description": "Cough", "record_type": "condition"})
+    assert got["p1", "encounter"] == ("Ann Lee", {"encounter_id": "e1", "billed": "0.25", "covered": "0", "patient_owes": "0", "claim_status": "DENIED", "record_type": "encounter"})
