@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lm_score, near_dedup, packing, quality_classifier, quality_rules, sharding, source_audit, substring_dedup, url_filter
+from . import chat, decontaminate, lm_score, near_dedup, packing, quality_classifier, quality_rules, sharding, source_audit, substring_dedup, turn_repair, url_filter
+from .common import materialize
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -213,6 +214,69 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN o USING (doc_id) LEFT JOIN x USING (
 """
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hurt = turn_repair.damaged(rows)
+    planned = materialize(turn_repair.plans(hurt, rows), "repair-plans")
+    found = turn_repair.digests(turn_repair.repaired(hurt, planned)).withColumnRenamed("conv_id", "id")
+    sha = F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    return planned.join(found, F.col("conv_id").eqNullSafe(F.col("id")), "left").select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", sha)
+
+
+OP11_SQL = r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+x AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda y: ord(y)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, (y & 1) * 3988292384)))) % 20 AS d FROM c),
+t AS (
+  SELECT conv_id, turn, CASE d WHEN 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE d WHEN 3 THEN 2 ELSE 1 END)) FROM x WHERE d <> 0),
+m AS (SELECT *, md5(length(role) || ':' || role || text) AS mark, right(rtrim(text, E' \t\n\x0b\x0c\r'), 1) AS last FROM t),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, mark ORDER BY turn NULLS FIRST) AS again FROM m),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, mark, again) AS i,
+    CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE '-' END AS r FROM k),
+f AS (
+  SELECT *, CASE WHEN last = '' THEN 1 WHEN again > 1 THEN 2 WHEN last NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+    lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r AS pair FROM o),
+n AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+    count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+-- moves: from state (0 nothing, 1 system, 2 user, 3 assistant), inserts before a row, edit, state after it
+s AS (SELECT unnest([0, 1, 2, 3]) AS q),
+i AS (SELECT q, k, CASE WHEN k = 0 THEN q WHEN (q = 2) = (k = 1) THEN 3 ELSE 2 END AS q2 FROM s, (SELECT unnest([0, 1, 2]) AS k)),
+v AS (
+  SELECT q, repeat('I', k) || 'D' AS tail, 2 * k + 3 AS cost, q2 AS q3, NULL AS r, true AS lost FROM i
+  UNION ALL SELECT q, repeat('I', k) || 'R', 2 * k + 2, CASE q2 WHEN 2 THEN 3 ELSE 2 END, NULL, false FROM i
+  UNION ALL SELECT q, repeat('I', k) || 'K', 2 * k, CASE q2 WHEN 2 THEN 3 ELSE 2 END, CASE q2 WHEN 2 THEN 'a' ELSE 'u' END, false FROM i
+  UNION ALL SELECT q, repeat('I', k) || 'K', 2 * k, 1, 's', false FROM i WHERE q2 = 0),
+a(conv_id, i, q, cost, audit) AS (
+  SELECT conv_id, 0::BIGINT, 0, 0::BIGINT, '' FROM n
+  UNION ALL
+  SELECT conv_id, i, q, cost, audit FROM (
+    SELECT a.conv_id, f.i, v.q3 AS q, a.cost + v.cost + CASE WHEN f.fault = 3 AND NOT v.lost THEN 1 ELSE 0 END AS cost, a.audit || v.tail AS audit,
+      row_number() OVER (PARTITION BY a.conv_id, v.q3 ORDER BY a.cost + v.cost + CASE WHEN f.fault = 3 AND NOT v.lost THEN 1 ELSE 0 END, a.audit || v.tail) AS rank
+    FROM a JOIN f ON a.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = a.i + 1 JOIN v ON v.q = a.q AND (v.r IS NULL OR v.r = f.r) AND (v.lost OR f.fault IN (0, 3)))
+  WHERE rank = 1),
+e AS (
+  SELECT a.conv_id, cost + 2 * CASE q WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS cost, audit || repeat('I', CASE q WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END) AS audit
+  FROM a JOIN n ON a.conv_id IS NOT DISTINCT FROM n.conv_id AND a.i = n.n),
+b AS (SELECT conv_id, cost, audit FROM e QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1),
+-- carrying them out: each initial's place among those that leave a row, and the row it is about
+u AS (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS p FROM b),
+w AS (
+  SELECT conv_id, p, audit[p] AS edit, count(*) FILTER (audit[p] <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS i, count(*) FILTER (audit[p] <> 'D') OVER (PARTITION BY conv_id ORDER BY p) AS place FROM u),
+g AS (
+  SELECT w.conv_id, p, edit, place, CASE WHEN edit = 'I' THEN '' ELSE f.text END AS text, f.role, max(CASE WHEN edit = 'K' AND f.r = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY w.conv_id) AS led
+  FROM w LEFT JOIN f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND w.i = f.i),
+h AS (
+  SELECT conv_id, sha256(string_agg((CASE WHEN edit = 'K' THEN role WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY p)) AS sha FROM g WHERE edit <> 'D' GROUP BY conv_id)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN n ON d.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN b ON d.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN h ON d.conv_id IS NOT DISTINCT FROM h.conv_id
+"""
+
+
 def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(read(spark, sf_dir, "documents").select("lang", "source", "text"))
 
@@ -240,8 +304,8 @@ FROM o QUALIFY part = 'pair' OR rank <= 200
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_substring_dedup, op3_lm_score, op4_packing, op5_chat_format, op6_near_dedup, op7_url_filter, op8_quality_rules, op9_sharding, op10_decontaminate, op13_source_audit)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_substring_dedup, op3_lm_score, op4_packing, op5_chat_format, op6_near_dedup, op7_url_filter, op8_quality_rules, op9_sharding, op10_decontaminate, op11_turn_repair, op13_source_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op3_lm_score": OP3_SQL, "op5_chat_format": OP5_SQL, "op6_near_dedup": OP6_SQL, "op7_url_filter": OP7_SQL, "op8_quality_rules": OP8_SQL, "op10_decontaminate": OP10_SQL, "op13_source_audit": OP13_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op3_lm_score": OP3_SQL, "op5_chat_format": OP5_SQL, "op6_near_dedup": OP6_SQL, "op7_url_filter": OP7_SQL, "op8_quality_rules": OP8_SQL, "op10_decontaminate": OP10_SQL, "op11_turn_repair": OP11_SQL, "op13_source_audit": OP13_SQL}
