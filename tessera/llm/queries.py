@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lm_score, near_dedup, packing, quality_classifier, quality_rules, sharding, source_audit, substring_dedup, turn_repair, url_filter
+from . import chat, decontaminate, html_extract, lm_score, near_dedup, packing, quality_classifier, quality_rules, sharding, source_audit, substring_dedup, turn_repair, url_filter
 from .common import materialize
 
 
@@ -277,6 +277,15 @@ FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN n ON d.conv_id IS
 """
 
 
+def op12_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    # a url that ends in a doc_id names the document its page was made of
+    made_of = pages.select("html", F.expr(r"try_cast(regexp_extract(url, '/([0-9]+)([?#].*)?$', 1) AS long)").alias("doc_id"))
+    known = html_extract.labelled(made_of, "doc_id", read(spark, sf_dir, "documents"), "doc_id")
+    model = html_extract.fit([*html_extract.layouts(), *known])
+    return html_extract.extract(pages, model, "text").withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(read(spark, sf_dir, "documents").select("lang", "source", "text"))
 
@@ -304,7 +313,7 @@ FROM o QUALIFY part = 'pair' OR rank <= 200
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_substring_dedup, op3_lm_score, op4_packing, op5_chat_format, op6_near_dedup, op7_url_filter, op8_quality_rules, op9_sharding, op10_decontaminate, op11_turn_repair, op13_source_audit)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_substring_dedup, op3_lm_score, op4_packing, op5_chat_format, op6_near_dedup, op7_url_filter, op8_quality_rules, op9_sharding, op10_decontaminate, op11_turn_repair, op12_html_extract, op13_source_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
