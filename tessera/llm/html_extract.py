@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, release, with_fields
+from .common import fresh, release
 
 #: Labelled pages taken from a table, at most, and characters of a page and of its text.
 PAGES, PAGE_CHARS = 200, 100_000
@@ -373,10 +373,10 @@ def labelled(pages: DataFrame, key: str, texts: DataFrame, text_key: str) -> lis
 
 def extract(pages: DataFrame, model: Model, out: str = "__main_text") -> DataFrame:
     """``pages`` with the main text of ``html`` in a column more, instead of ``html``."""
-    name = fresh(pages, out)
     rest = [c for c in pages.columns if c != "html"]
-    plain = pages.select(*[F.col(f"`{c}`") for c in rest], F.col("html").alias(name))
-    schema = with_fields(T.StructType([f for f in plain.schema.fields if f.name != name]), (name, T.StringType()))
+    plain = pages.toDF(*[f"column_{i}" if c != "html" else c for i, c in enumerate(pages.columns)])
+    plain = plain.select(*[c for c in plain.columns if c != "html"], "html")
+    schema = T.StructType(plain.schema.fields[:-1] + [T.StructField("html", T.StringType())])
     given = (model.weights, model.base, model.tags, model.other_tag)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,4 +386,4 @@ def extract(pages: DataFrame, model: Model, out: str = "__main_text") -> DataFra
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], names=b.schema.names)
         release()
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*rest, fresh(pages, out))
