@@ -49,7 +49,8 @@ def dealt(docs: DataFrame, part: str, text: str = "text") -> tuple[DataFrame, in
     short_batches(docs.sparkSession)
     total, bits = sized(docs, text)
     parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // PART_BYTES))
-    own = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in ("doc_id", text)]), F.lit(parts)).cast("long")
+    # repeated rows are told apart by the input partition they come from, which is bounded
+    own = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in ("doc_id", text)], F.spark_partition_id()), F.lit(parts)).cast("long")
     return docs.withColumn(part, own), bits
 
 

@@ -238,6 +238,8 @@ def _components(docs: DataFrame, percent: int) -> DataFrame:
     wanted = members.select("node").distinct().join(classes.select("node", "first.doc_id", "first.text_hash"), "node")
     own = docs.select(F.col("doc_id").alias("__d"), F.xxhash64("text").alias("__h"), "text")
     texts = own.join(wanted, F.col("__d").eqNullSafe(F.col("doc_id")) & (F.col("__h") == F.col("text_hash"))).select("node", "text")
+    if rows.groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count():
+        texts = texts.dropDuplicates(["node"])  # repeated rows: one text a node
     texts = materialize(texts, "near-texts")
 
     # First each class is paired with one leader, that of most of its buckets; then, where a bucket still holds another
