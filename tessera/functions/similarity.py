@@ -1,15 +1,17 @@
-"""String and vector similarity.
+"""String and vector similarity, all as Column expressions.
 
-The exact mode is made of Column expressions. The fuzzy mode is an Arrow UDF on
-the longest common subsequence (the public definition of the Indel ratio).
+The fuzzy ratios rest on the longest common subsequence (the public definition of
+the Indel ratio), found bit by bit: a string is a word of 60 bits for each of its
+characters, and each character of the other string is one step of additions. Longer
+strings take several words, with carries.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import text
 
@@ -43,84 +45,149 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
     return F.when(a.isNull() | b.isNull() | (F.size(a) != F.size(b)) | (n == 0), 0.0).otherwise(value)
 
 
-def lcs_length(a: str, b: str) -> int:
-    """Longest common subsequence, with one machine word of bits for each row."""
-    if not a or not b:
-        return 0
-    place: dict[str, int] = {}
-    for i, c in enumerate(a):
-        place[c] = place.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for c in b:
-        hit = row & place.get(c, 0)
-        row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
+#: Bits of a word; a sum of two words stays within 64.
+_BITS = 60
+
+
+def _given(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once."""
+    return text.bound(value, body)
+
+
+def characters(a: Column) -> Column:
+    n = F.length(a)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(a, i, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+
+
+def _bits(chars: Column, first: Column, c: Column) -> Column:
+    """Which of the ``_BITS`` characters from ``first`` on (from 0) are ``c``."""
+    own = F.slice(chars, first + 1, F.lit(_BITS))
+    return F.aggregate(F.sequence(F.lit(0), F.size(own) - 1), F.lit(0).cast("long"), lambda m, i: m + F.when(F.get(own, i) == c, F.pow(F.lit(2.0), i).cast("long")).otherwise(0))
+
+
+def _ones(n: Column) -> Column:
+    return F.pow(F.lit(2.0), n).cast("long") - 1
+
+
+def _lcs_short(chars: Column, others: Column) -> Column:
+    """At most ``_BITS`` characters, at least one."""
+    n = F.size(chars)
+    masks = F.map_from_entries(F.transform(F.array_distinct(chars), lambda c: F.struct(c, _bits(chars, F.lit(0), c))))
+    hits = _given(masks, lambda m: F.transform(others, lambda c: F.coalesce(F.try_element_at(m, c), F.lit(0).cast("long"))))
+    full = _ones(n)
+    row = F.aggregate(hits, full, lambda r, m: (r + r.bitwiseAND(m)).bitwiseOR(r - r.bitwiseAND(m)).bitwiseAND(full))
+    return n - F.bit_count(row)
+
+
+def _lcs_long(chars: Column, others: Column) -> Column:
+    """Any number of characters, in words of ``_BITS``."""
+    n, zero = F.size(chars), F.lit(0).cast("long")
+    places = F.sequence(F.lit(0), F.floor((n - 1) / _BITS).cast("int"))
+    masks = F.map_from_entries(F.transform(F.array_distinct(chars), lambda c: F.struct(c, F.transform(places, lambda w: _bits(chars, w * _BITS, c)))))
+    hits = _given(masks, lambda m: F.transform(others, lambda c: F.try_element_at(m, c)))
+    start = F.transform(places, lambda w: _ones(F.least(n - w * _BITS, F.lit(_BITS))))
 
+    def added(row: Column, m: Column) -> Column:
+        none = F.struct(F.array().cast("array<bigint>").alias("out"), zero.alias("carry"))
 
-def indel_ratio(a: str, b: str) -> float:
-    return 2 * lcs_length(a, b) / (len(a) + len(b)) if a or b else 1.0
+        def word(s: Column, w: Column) -> Column:
+            r, full = F.get(row, w), F.get(start, w)
+            hit = r.bitwiseAND(F.get(m, w))
+            total = r + hit + s["carry"]
+            new = total.bitwiseOR(r - hit).bitwiseAND(full)
+            return F.struct(F.array_append(s["out"], new).alias("out"), F.shiftright(total, _BITS).alias("carry"))
 
+        return F.aggregate(places, none, word, lambda s: s["out"])
 
-def token_ratio(a: str, b: str) -> float:
-    """The best of the ratios of sorted words and of shared words with each side's rest."""
-    x, y = sorted(set(a.lower().split())), sorted(set(b.lower().split()))
-    both = [w for w in x if w in y]
-    rest_x, rest_y = [w for w in x if w not in both], [w for w in y if w not in both]
-    if both and (not rest_x or not rest_y):
-        return 1.0
-    core = " ".join(both)
-    p, q = " ".join([*both, *rest_x]), " ".join([*both, *rest_y])
-    in_order = indel_ratio(" ".join(sorted(a.lower().split())), " ".join(sorted(b.lower().split())))
-    return max(in_order, indel_ratio(p, q), *([indel_ratio(core, p), indel_ratio(core, q)] if both else []))
+    row = F.aggregate(hits, start, lambda r, m: F.when(m.isNull(), r).otherwise(added(r, m)))
+    return n - F.aggregate(row, F.lit(0), lambda s, r: s + F.bit_count(r))
 
 
-@F.pandas_udf(T.DoubleType())
-def fuzzy_name_score(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
+def common_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two strings."""
+    both = F.struct(characters(a).alias("a"), characters(b).alias("b"))
+    return _given(both, lambda s: F.when((F.size(s["a"]) == 0) | (F.size(s["b"]) == 0), 0).when(F.size(s["a"]) <= _BITS, _lcs_short(s["a"], s["b"])).otherwise(_lcs_long(s["a"], s["b"])))
 
 
-@F.pandas_udf(T.DoubleType())
-def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([indel_ratio((x or "").lower(), (y or "").lower()) for x, y in zip(a, b, strict=True)])
+def indel_ratio(a: Column, b: Column) -> Column:
+    """Twice the longest common subsequence over both lengths; 1 for two empty strings."""
+    total = F.length(a) + F.length(b)
+    return F.when(total == 0, 1.0).when(a == b, 1.0).otherwise(2 * common_length(a, b) / total)
 
 
-def partial_ratio(a: str, b: str) -> float:
+def token_ratio(a: Column, b: Column) -> Column:
+    """The best of the ratios of sorted words and of shared words with each side's rest; case doesn't count."""
+    space = F.lit(" ")
+    joined = lambda words: F.array_join(words, " ")
+    sorted_words = lambda c: F.array_sort(text.words(F.lower(F.coalesce(c, F.lit("")))))
+    words = F.struct(sorted_words(a).alias("a"), sorted_words(b).alias("b"))
+
+    def scored(w: Column) -> Column:
+        x, y = F.array_distinct(w["a"]), F.array_distinct(w["b"])
+        sides = F.struct(F.array_intersect(x, y).alias("both"), F.array_except(x, y).alias("x"), F.array_except(y, x).alias("y"))
+
+        def best(s: Column) -> Column:
+            core, shared = F.length(joined(s["both"])), F.size(s["both"]) > 0
+            rest = lambda own: F.when(shared, core + F.length(space) + F.length(joined(own))).otherwise(F.length(joined(own)))
+            with_rest = lambda own: joined(F.concat(s["both"], own))
+            # the shared words are the beginning of both
+            cores = F.when(shared, F.greatest(2 * core / (core + rest(s["x"])), 2 * core / (core + rest(s["y"])))).otherwise(0.0)
+            return F.when(shared & ((F.size(s["x"]) == 0) | (F.size(s["y"]) == 0)), 1.0).otherwise(F.greatest(indel_ratio(joined(w["a"]), joined(w["b"])), indel_ratio(with_rest(s["x"]), with_rest(s["y"])), cores))
+
+        return _given(sides, best)
+
+    return _given(words, scored)
+
+
+def partial_ratio(a: Column, b: Column) -> Column:
     """The best Indel ratio of the shorter text with any part of the other that is as long, or shorter at its ends."""
-    short, long = sorted((a, b), key=len)
-    n = len(short)
-    if not n:
-        return float(not long)
-    parts = [long[max(0, i) : i + n] for i in range(1 - n, len(long))]
-    return max(indel_ratio(short, p) for p in parts)
+    swap = F.length(b) < F.length(a)
+    given = F.struct(F.when(swap, b).otherwise(a).alias("short"), F.when(swap, a).otherwise(b).alias("long"))
 
+    def best(s: Column) -> Column:
+        n, m = F.length(s["short"]), F.length(s["long"])
+        # a part begins at i, or where i is below 0 the text does
+        parts = F.transform(F.sequence(1 - n, m - 1), lambda i: F.substring(s["long"], F.greatest(i, F.lit(0)) + 1, F.least(n, n + i)))
+        return F.when(n == 0, F.when(m == 0, 1.0).otherwise(0.0)).when(F.contains(s["long"], s["short"]), 1.0).otherwise(F.array_max(F.transform(parts, lambda p: indel_ratio(s["short"], p))))
 
-def weighted_ratio(a: str, b: str) -> float:
+    return _given(given, best)
+
+
+def weighted_ratio(a: Column, b: Column) -> Column:
     """The best of several ratios, after the public definition of the weighted one: whole texts; words in any order, for 0.95
     of it; where one is half as long again as the other, parts of it for 0.9, or 0.6 from eight times as long."""
-    if not a or not b:
-        return 0.0
-    longer = max(len(a), len(b)) / min(len(a), len(b))
-    whole = indel_ratio(a, b)
-    if longer < 1.5:
-        return max(whole, 0.95 * token_ratio(a, b))
-    scale = 0.9 if longer < 8 else 0.6
-    x, y = set(a.split()), set(b.split())
-    words = 1.0 if x & y else partial_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
-    return max(whole, scale * partial_ratio(a, b), 0.95 * scale * words)
+    given = F.struct(F.coalesce(a, F.lit("")).alias("a"), F.coalesce(b, F.lit("")).alias("b"))
+
+    def best(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        longer = F.greatest(F.length(a), F.length(b)) / F.least(F.length(a), F.length(b))
+        scale = F.when(longer < 8, 0.9).otherwise(0.6)
+        in_order = lambda c: F.array_join(F.array_sort(text.words(c)), " ")
+        words = F.when(F.arrays_overlap(text.words(a), text.words(b)), 1.0).otherwise(partial_ratio(in_order(a), in_order(b)))
+        near = F.greatest(indel_ratio(a, b), 0.95 * token_ratio(a, b))
+        far = F.greatest(indel_ratio(a, b), scale * partial_ratio(a, b), 0.95 * scale * words)
+        return F.when((a == "") | (b == ""), 0.0).when(longer < 1.5, near).otherwise(far)
+
+    return _given(given, best)
+
+
+def fuzzy_name_score(a: Column, b: Column) -> Column:
+    return token_ratio(a, b)
 
 
-def blended_score(query: str, candidate: str) -> float:
-    """1 if equal, else 0.7 of the weighted and 0.3 of the partial ratio."""
-    a, b = query.lower().strip(), candidate.lower().strip()
-    return 1.0 if a == b else 0.7 * weighted_ratio(a, b) + 0.3 * partial_ratio(a, b)
+def fuzzy_ratio(a: Column, b: Column) -> Column:
+    plain = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    return indel_ratio(plain(a), plain(b))
 
 
-@F.pandas_udf(T.DoubleType())
-def fuzzy_query_score(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([blended_score(x or "", y or "") if x else 0.0 for x, y in zip(a, b, strict=True)])
+def fuzzy_query_score(query: Column, candidate: Column) -> Column:
+    """1 if equal, else 0.7 of the weighted and 0.3 of the partial ratio; 0 without a question."""
+    plain = lambda c: F.lower(text.strip(F.coalesce(c, F.lit(""))))
+    given = F.struct(plain(query).alias("q"), plain(candidate).alias("c"))
+    blend = lambda s: F.when(s["q"] == s["c"], 1.0).otherwise(0.7 * weighted_ratio(s["q"], s["c"]) + 0.3 * partial_ratio(s["q"], s["c"]))
+    return F.when(F.coalesce(query, F.lit("")) == "", 0.0).otherwise(_given(given, blend))
 
 
-@F.pandas_udf(T.DoubleType())
-def fuzzy_weighted_score(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([weighted_ratio((x or "").lower().strip(), (y or "").lower().strip()) for x, y in zip(a, b, strict=True)])
+def fuzzy_weighted_score(a: Column, b: Column) -> Column:
+    plain = lambda c: F.lower(text.strip(F.coalesce(c, F.lit(""))))
+    return weighted_ratio(plain(a), plain(b))

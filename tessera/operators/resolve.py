@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 
 from tessera.functions import similarity as sim
 from tessera.functions import text as tx
+from tessera.storage import materialize
+
+from . import candidates
 
 # Gates and thresholds of the pair scorer, keys compared, limits of households.
 LEAST_NAME, LEAST_SURNAME, MOST_DAYS = 0.70, 0.85, 3
@@ -17,10 +20,12 @@ CRITICAL_KEYS = ["dob", "name", "license_number", "passport_number", "policy_num
 MINOR_KEYS = ["address", "phone", "email"]
 LEAST_ADDRESS = 10
 LIVES_WITH_CONFIDENCE = 0.95
+#: Pairs of entities that a pair of names may have for its vectors to be joined pair by pair; beyond that they are multiplied in tiles.
+HEAVY = 1_000_000
 
 
 def _surname(name: Column) -> Column:
-    return F.element_at(tx.words(F.lower(name)), -1)
+    return F.try_element_at(tx.words(F.lower(name)), F.lit(-1))
 
 
 def candidate_pairs(entities: DataFrame, block: list[str] | None = None, score=sim.name_score) -> DataFrame:
@@ -50,8 +55,103 @@ def score_pairs(pairs: DataFrame, score=sim.name_score, link_at: float = LINK_AT
     named = named.filter(F.coalesce(days <= MOST_DAYS, F.lit(True)))
     scored = named.withColumn("semantic_score", sim.cosine(F.col("embedding_a"), F.col("embedding_b"), F.col("norm_a"), F.col("norm_b")))
     scored = scored.withColumn("confidence", NAME_WEIGHT * F.col("name_score") + VECTOR_WEIGHT * F.col("semantic_score"))
-    linked = (F.col("confidence") >= link_at) | ((F.col("confidence") >= border_at) & (F.col("name_score") >= BORDER_NAME))
-    return scored.filter(linked).select(F.col("entity_id_a").alias("id_a"), F.col("entity_id_b").alias("id_b"), "name_score", "semantic_score", "confidence")
+    return scored.filter(_linked(F.col("name_score"), F.col("confidence"), link_at, border_at)).select(F.col("entity_id_a").alias("id_a"), F.col("entity_id_b").alias("id_b"), "name_score", "semantic_score", "confidence")
+
+
+def _linked(name_score, confidence, link_at: float, border_at: float):
+    return (confidence >= link_at) | ((confidence >= border_at) & (name_score >= BORDER_NAME))
+
+
+def named_rows(entities: DataFrame) -> DataFrame:
+    """entity_id, type, name, surname, source, dob of the entities that have a type and a name, which is lower-case and stripped."""
+    rows = entities.select("entity_id", F.col("entity_type").alias("type"), F.lower(tx.strip(F.col("name"))).alias("name"), _surname(F.col("name")).alias("surname"), F.col("source_doc_id").alias("source"), "dob")
+    return rows.filter("surname is not null and type is not null")
+
+
+def linked(entities: DataFrame, fuzzy: bool = False, link_at: float = LINK_AT, border_at: float = BORDER_AT, heavy: int = HEAVY, tile: int = candidates.TILE) -> DataFrame:
+    """What ``score_pairs`` gives of all pairs of a type, found without comparing all: id_a, id_b, name_score, semantic_score, confidence.
+
+    Distinct names are paired first (in fuzzy mode through ``candidates.similar_words`` of their surnames), then those who
+    bear them, and vectors join last. Pairs of names that very many pairs of entities bear are multiplied in tiles, and
+    only links become rows. Entities without a name or type have no links.
+    """
+    rows = named_rows(entities)
+    score = sim.fuzzy_name_score if fuzzy else sim.name_score
+    scored = candidates.name_pairs(rows.select("type", "name", "surname"), score, LEAST_NAME, LEAST_SURNAME, fuzzy, tile)
+    return link_bearers(entities, materialize(scored, "name-pairs"), link_at, border_at, heavy, tile)
+
+
+def link_bearers(entities: DataFrame, scored: DataFrame, link_at: float, border_at: float, heavy: int, tile: int, touching: DataFrame | None = None) -> DataFrame:
+    """Links between the bearers of scored pairs of names; with ``touching`` (entity_id) only those that have one of these at an end."""
+    rows = named_rows(entities)
+    own = ["entity_id", "type", "name", "source", "dob"]
+    sizes = rows.groupBy("type", "name").agg(F.count(F.lit(1)).alias("n"))
+    for s in "ab":
+        on = F.col("p.type").eqNullSafe(F.col("z.type")) & (F.col(f"p.name_{s}") == F.col("z.name"))
+        scored = scored.alias("p").join(sizes.alias("z"), on).select("p.*", F.col("z.n").alias(f"n_{s}"))
+    light, big = scored.filter(F.col("n_a") * F.col("n_b") <= heavy).drop("n_a", "n_b"), scored.filter(F.col("n_a") * F.col("n_b") > heavy).drop("n_a", "n_b")
+
+    pairs = candidates.bearer_pairs(rows.select(own), light, MOST_DAYS, tile)
+    if touching is not None:
+        ends = touching.select(F.col("entity_id").alias("id"), F.lit(True).alias("new")).distinct()
+        for s in "ab":
+            pairs = pairs.join(ends.withColumnsRenamed({"id": f"id_{s}", "new": f"new_{s}"}), f"id_{s}", "left")
+        pairs = pairs.filter("new_a or new_b").drop("new_a", "new_b")
+    vectors = entities.select("entity_id", "embedding", sim.norm(F.col("embedding")).alias("norm"))
+    for s in "ab":
+        pairs = pairs.join(vectors.select(*[F.col(c).alias(f"{c}_{s}") for c in vectors.columns]), F.col(f"id_{s}") == F.col(f"entity_id_{s}"))
+    met = pairs.withColumn("semantic_score", sim.cosine(F.col("embedding_a"), F.col("embedding_b"), F.col("norm_a"), F.col("norm_b")))
+    met = met.withColumn("confidence", NAME_WEIGHT * F.col("name_score") + VECTOR_WEIGHT * F.col("semantic_score"))
+    met = met.filter(_linked(F.col("name_score"), F.col("confidence"), link_at, border_at)).select("id_a", "id_b", "name_score", "semantic_score", "confidence")
+    if not big.limit(1).count():
+        return met
+    news = rows.join(touching.select("entity_id", F.lit(True).alias("new")).distinct(), "entity_id", "left").fillna(False, ["new"]) if touching is not None else rows.withColumn("new", F.lit(True))
+    whole = news.join(entities.select("entity_id", "embedding"), "entity_id").select(*own, "new", "embedding")
+    return met.unionByName(_multiplied(whole, big, link_at, border_at, tile))
+
+
+def _multiplied(rows: DataFrame, scored: DataFrame, link_at: float, border_at: float, tile: int) -> DataFrame:
+    """Links of pairs of names with many bearers: each tile's vectors are multiplied at once."""
+    import numpy as np
+    import pandas as pd
+
+    keys = ["type", "name_a", "name_b", "name_score"]
+    x, y, keys = candidates.tiled(candidates.bearers(rows, scored, "a"), candidates.bearers(rows, scored, "b"), keys, tile)
+    one = ["entity_id", "source", "dob", "new", "embedding"]
+    sides = [d.select(*keys, F.lit(s).alias("side"), *[F.col(f"{c}_{s}").alias(c) for c in one]) for d, s in ((x, "a"), (y, "b"))]
+    kind = rows.schema["entity_id"].dataType.simpleString()
+
+    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (pdf[pdf["side"] == s].reset_index(drop=True) for s in "ab")
+        score, one_name = float(pdf["name_score"].iloc[0]), pdf["name_a"].iloc[0] == pdf["name_b"].iloc[0]
+        cosine = _clipped(a["embedding"], b["embedding"])
+        confidence = NAME_WEIGHT * score + VECTOR_WEIGHT * cosine
+        i, j = np.nonzero(_linked(score, confidence, link_at, border_at))
+        days = [pd.to_datetime(d["dob"]).to_numpy().astype("datetime64[D]") for d in (a, b)]
+        apart = np.abs((days[0][i] - days[1][j]) / np.timedelta64(1, "D"))
+        p, q = a["entity_id"].to_numpy()[i], b["entity_id"].to_numpy()[j]
+        source = [d["source"].to_numpy() for d in (a, b)]
+        known = ~pd.isna(source[0][i]) & ~pd.isna(source[1][j])
+        keep = known & (source[0][i] != source[1][j]) & ~(apart > MOST_DAYS) & ((p < q) if one_name else (p != q)) & (a["new"].to_numpy()[i] | b["new"].to_numpy()[j])
+        low, high = np.where(p < q, p, q), np.where(p < q, q, p)
+        return pd.DataFrame({"id_a": low[keep], "id_b": high[keep], "name_score": score, "semantic_score": cosine[i, j][keep], "confidence": confidence[i, j][keep]})
+
+    return sides[0].unionByName(sides[1]).groupBy(*keys).applyInPandas(multiply, f"id_a {kind}, id_b {kind}, name_score double, semantic_score double, confidence double")
+
+
+def _clipped(a, b):
+    """As ``similarity.cosine``, for all pairs: 0 for nulls, unequal lengths and zero vectors."""
+    import numpy as np
+
+    out = np.zeros((len(a), len(b)))
+    sizes = [np.array([-1 if v is None else len(v) for v in s], dtype=np.int64) for s in (a, b)]
+    for n in set(sizes[0][sizes[0] > 0]) & set(sizes[1][sizes[1] > 0]):
+        i, j = np.flatnonzero(sizes[0] == n), np.flatnonzero(sizes[1] == n)
+        x, y = (np.stack(s.to_numpy()[k]).astype(np.float64) for s, k in ((a, i), (b, j)))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            x, y = (np.nan_to_num(m / np.linalg.norm(m, axis=1, keepdims=True)) for m in (x, y))
+        out[np.ix_(i, j)] = np.clip(x @ y.T, 0.0, 1.0)
+    return out
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, key: str = "id", block: str = "label", blocks_of: int = 64) -> DataFrame:
@@ -101,7 +201,8 @@ def contradictions(links: DataFrame, attributes: DataFrame) -> DataFrame:
     keys = attributes.filter(F.col("key").isin(CRITICAL_KEYS + MINOR_KEYS))
     plain = keys.withColumn("norm", F.when(F.col("key") == "address", tx.normalize_address(F.col("value"))).otherwise(tx.normalize_value(F.col("value"))))
     a, b = (plain.select(F.col("entity_id").alias(f"id_{s}"), F.col("key").alias(f"key_{s}"), F.col("value").alias(f"value_{s}"), F.col("source").alias(f"source_{s}"), F.col("norm").alias(f"norm_{s}")) for s in "ab")
-    pairs = links.select("id_a", "id_b").join(a, "id_a").join(b, "id_b").filter((F.col("key_a") == F.col("key_b")) & (F.col("norm_a") != F.col("norm_b")))
+    first = links.select("id_a", "id_b").join(a, "id_a")
+    pairs = first.join(b, (first["id_b"] == b["id_b"]) & (first["key_a"] == b["key_b"]) & (first["norm_a"] != b["norm_b"])).drop(b["id_b"])
     severity = F.when(F.col("key_a").isin(CRITICAL_KEYS), "critical").otherwise("minor")
     return pairs.select("id_a", "id_b", F.concat(F.col("key_a"), F.lit("_mismatch")).alias("conflict_type"), F.col("key_a").alias("attribute_key"), "value_a", "value_b", "source_a", "source_b", severity.alias("severity"))
 

@@ -62,10 +62,30 @@ def name_exact_score(spark, sf_dir):
 
 
 def resolve_pairs(spark, sf_dir):
-    linked = M.score_pairs(M.candidate_pairs(entities(spark, sf_dir)), border_at=0.5)
+    linked = M.linked(entities(spark, sf_dir), border_at=0.5)
     return linked.select("id_a", "id_b", "name_score", F.round("semantic_score", 6).alias("semantic_score"), F.round("confidence", 6).alias("confidence"))
 
 
+def _misspelt(name, number):
+    """One in four names loses the last letter but one, one gains a letter, one is in capitals."""
+    cut = F.concat(F.left(name, F.length(name) - 2), F.right(name, F.lit(1)))
+    return F.when(number % 4 == 1, cut).when(number % 4 == 2, F.concat(name, F.lit("s"))).when(number % 4 == 3, F.upper(name)).otherwise(name)
+
+
+def fuzzy_pairs(spark, sf_dir):
+    """Links in fuzzy mode between entities whose names are misspelt."""
+    e = entities(spark, sf_dir)
+    linked = M.linked(e.withColumn("name", _misspelt(F.col("name"), F.col("entity_id"))), fuzzy=True, border_at=0.5)
+    return linked.select("id_a", "id_b", F.round("name_score", 6).alias("name_score"), F.round("semantic_score", 6).alias("semantic_score"), F.round("confidence", 6).alias("confidence"))
+
+
+def fuzzy_scores(spark, sf_dir):
+    """Each part's name against the misspelt name of another."""
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_name")
+    q = p.select((F.col("p_partkey") - 8).alias("p_partkey"), _misspelt(F.col("p_name"), F.col("p_partkey")).alias("other"))
+    return p.join(q, "p_partkey").select("p_partkey", F.round(sim.fuzzy_ratio(F.col("p_name"), F.col("other")), 6).alias("ratio"), F.round(sim.fuzzy_name_score(F.col("p_name"), F.col("other")), 6).alias("name_score"))
+
+
 def same_as_components(spark, sf_dir):
     return connected_components(near_pairs(spark, sf_dir).select("a", "b"))
 
@@ -339,7 +359,7 @@ def query_engine(spark, sf_dir):
     return got.context.select("doc_id", "position", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (cosine_pairs, name_exact_score, resolve_pairs, same_as_components, bfs_expand_3, pagerank_k, conflicts, conflict_rollup, conflict_totals, traversable_links, household_groups, household_totals, household_edges, dual_compare, subgraph_nodes, incident_edges, known_end_edges, rejected_edges, graph_stats, neighbourhood_report, node_styles, edge_styles, first_mentions, edge_upsert, temporal_current, temporal_asof, most_recent_value, find_entities, source_documents, provenance_explode, verify_fact, facts_by_source, routed_facts, smart_query_rank, smart_query_matches, smart_query_type, semantic_chunks, entity_listing, public_attributes, person_lookup, person_exists, field_entities, remote_results, entity_union, disambiguation_options, open_ended_summary, best_person, reply_entities, query_engine)}
+QUERIES = {f.__name__: f for f in (cosine_pairs, name_exact_score, resolve_pairs, fuzzy_pairs, fuzzy_scores, same_as_components, bfs_expand_3, pagerank_k, conflicts, conflict_rollup, conflict_totals, traversable_links, household_groups, household_totals, household_edges, dual_compare, subgraph_nodes, incident_edges, known_end_edges, rejected_edges, graph_stats, neighbourhood_report, node_styles, edge_styles, first_mentions, edge_upsert, temporal_current, temporal_asof, most_recent_value, find_entities, source_documents, provenance_explode, verify_fact, facts_by_source, routed_facts, smart_query_rank, smart_query_matches, smart_query_type, semantic_chunks, entity_listing, public_attributes, person_lookup, person_exists, field_entities, remote_results, entity_union, disambiguation_options, open_ended_summary, best_person, reply_entities, query_engine)}
 
 _COS = "list_cosine_similarity(CAST({a}.embedding AS DOUBLE[]), CAST({b}.embedding AS DOUBLE[]))"
 PAIRS = f"np AS (SELECT a.vec_id AS a, b.vec_id AS b, {_COS.format(a='a', b='b')} AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {_COS.format(a='a', b='b')} >= 0.30)"
@@ -378,10 +398,41 @@ _PAIRS = [f"{a} {b}" for a, b in zip(_SINGLE, _SINGLE[1:], strict=False)]
 NAMES = "nm AS (SELECT DISTINCT lower(p_name) AS canon FROM part)"
 SCORES = f"sc AS (SELECT canon, {_scored(_PAIRS, 1.1)} AS pairs, {_scored(_SINGLE, 1.0)} AS single FROM nm)"
 
+
+
+def _misspelt_sql(name: str, number: str) -> str:
+    return f"CASE {number} % 4 WHEN 1 THEN left({name}, length({name}) - 2) || right({name}, 1) WHEN 2 THEN {name} || 's' WHEN 3 THEN upper({name}) ELSE {name} END"
+
+
+def _lcs_sql(a: str, b: str) -> str:
+    """Length of the longest common subsequence, a row of its table at a time."""
+    zeros = f"list_transform(range(length({a})), lambda z: 0::BIGINT)"
+    hits = f"list_transform(string_split({b}, ''), lambda c: list_transform(string_split({a}, ''), lambda d: CASE WHEN c = d THEN 1::BIGINT ELSE 0 END))"
+    row = "list_transform(range(1, len(r) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: greatest(r[i], coalesce(r[i - 1], 0) + h[i]))))"
+    return f"list_last(list_reduce(list_prepend({zeros}, {hits}), lambda r, h: {row}))"
+
+
+def _ratio_sql(a: str, b: str) -> str:
+    return f"(2.0::DOUBLE * {_lcs_sql(a, b)} / (length({a}) + length({b})))"
+
+
+#: ``tr``: the token ratio of the pairs x, y (lower-case) of ``pr``.
+_TOKENS = f"""tw AS (SELECT x, y, list_sort(string_split(x, ' ')) AS wx, list_sort(string_split(y, ' ')) AS wy, list_distinct(wx) AS dx, list_distinct(wy) AS dy FROM pr),
+  tp AS (SELECT x, y, array_to_string(wx, ' ') AS sx, array_to_string(wy, ' ') AS sy, list_filter(list_sort(dx), lambda w: list_contains(dy, w)) AS sh, list_filter(list_sort(dx), lambda w: NOT list_contains(dy, w)) AS rx, list_filter(list_sort(dy), lambda w: NOT list_contains(dx, w)) AS ry FROM tw),
+  tq AS (SELECT *, array_to_string(sh || rx, ' ') AS px, array_to_string(sh || ry, ' ') AS py, length(array_to_string(sh, ' ')) AS core FROM tp),
+  tr AS (SELECT x, y, CASE WHEN len(sh) > 0 AND (len(rx) = 0 OR len(ry) = 0) THEN 1.0 ELSE greatest({_ratio_sql('sx', 'sy')}, {_ratio_sql('px', 'py')}, CASE WHEN len(sh) > 0 THEN greatest(2.0::DOUBLE * core / (core + length(px)), 2.0::DOUBLE * core / (core + length(py))) ELSE 0 END) END AS score FROM tq)"""
+
 ORACLES = {
     "cosine_pairs": f"{_W} SELECT a, b, round(c, 6) AS cosine FROM np",
     "name_exact_score": "SELECT p.p_partkey, CASE WHEN p.p_name = q.p_name THEN 1.0 WHEN contains(p.p_name, q.p_name) OR contains(q.p_name, p.p_name) THEN 0.75 ELSE 0.0 END::DOUBLE AS score, round(CASE WHEN p.p_name = q.p_name THEN 1.0 WHEN contains(p.p_name, q.p_name) OR contains(q.p_name, p.p_name) THEN 0.8 ELSE len(list_intersect(string_split(p.p_name, ' '), string_split(q.p_name, ' '))) / 2.0::DOUBLE END, 6)::DOUBLE AS query_score FROM part p JOIN part q ON q.p_partkey = p.p_partkey + 8",
     "resolve_pairs": f"WITH {ENT}, x AS (SELECT a.entity_id AS id_a, b.entity_id AS id_b, 1.0::DOUBLE AS name_score, greatest(0, least(1, {_COS.format(a='a', b='b')})) AS c FROM en a JOIN en b ON a.entity_id < b.entity_id AND a.source_doc_id <> b.source_doc_id AND lower(a.name) = lower(b.name) AND abs(date_diff('day', a.dob, b.dob)) <= 3) SELECT id_a, id_b, name_score, round(c, 6)::DOUBLE AS semantic_score, round(0.4 + 0.6 * c, 6)::DOUBLE AS confidence FROM x WHERE 0.4 + 0.6 * c >= 0.5",
+    "fuzzy_pairs": f"""WITH {ENT}, ef AS (SELECT * EXCLUDE (name), lower({_misspelt_sql('name', 'entity_id')}) AS name, string_split(lower({_misspelt_sql('name', 'entity_id')}), ' ')[-1] AS surname FROM en),
+      sn AS (SELECT DISTINCT surname FROM ef), sp AS (SELECT a.surname AS sa, b.surname AS sb FROM sn a JOIN sn b ON {_ratio_sql('a.surname', 'b.surname')} >= 0.85),
+      nm AS (SELECT DISTINCT name, surname FROM ef), pr AS (SELECT a.name AS x, b.name AS y FROM nm a JOIN sp ON a.surname = sa JOIN nm b ON b.surname = sb), {_TOKENS},
+      x AS (SELECT a.entity_id AS id_a, b.entity_id AS id_b, score, greatest(0, least(1, {_COS.format(a='a', b='b')})) AS c FROM tr JOIN ef a ON a.name = x JOIN ef b ON b.name = y WHERE score >= 0.70 AND a.entity_id < b.entity_id AND a.source_doc_id <> b.source_doc_id AND abs(date_diff('day', a.dob, b.dob)) <= 3)
+      SELECT id_a, id_b, round(score, 6)::DOUBLE AS name_score, round(c, 6)::DOUBLE AS semantic_score, round(0.4::DOUBLE * score + 0.6::DOUBLE * c, 6)::DOUBLE AS confidence FROM x WHERE 0.4::DOUBLE * score + 0.6::DOUBLE * c >= 0.85 OR (0.4::DOUBLE * score + 0.6::DOUBLE * c >= 0.5 AND score >= 0.90)""",
+    "fuzzy_scores": f"""WITH q AS (SELECT p.p_partkey, p.p_name AS x, lower({_misspelt_sql('q.p_name', 'q.p_partkey')}) AS y FROM part p JOIN part q ON q.p_partkey = p.p_partkey + 8), pr AS (SELECT DISTINCT x, y FROM q), {_TOKENS}
+      SELECT p_partkey, round({_ratio_sql('q.x', 'q.y')}, 6)::DOUBLE AS ratio, round(score, 6)::DOUBLE AS name_score FROM q JOIN tr ON q.x = tr.x AND q.y = tr.y""",
     "same_as_components": f"WITH RECURSIVE {PAIRS}, {BOTH}, r(node, reach) AS (SELECT DISTINCT a, a FROM bw UNION SELECT r.node, bw.b FROM r JOIN bw ON r.reach = bw.a) SELECT node, min(reach) AS component FROM r GROUP BY node",
     "bfs_expand_3": f"WITH RECURSIVE {PAIRS}, {BOTH}, r(id, depth) AS (SELECT vec_id, 0 FROM embeddings WHERE vec_id % 50 = 0 UNION SELECT bw.b, depth + 1 FROM r JOIN bw ON r.id = bw.a WHERE depth < 3) SELECT id, CAST(min(depth) AS INT) AS depth FROM r GROUP BY id",
     "pagerank_k": f"""WITH RECURSIVE {PAIRS}, {BOTH}, dg AS (SELECT a, count(*) AS d FROM bw GROUP BY a), nn AS (SELECT count(*)::DOUBLE AS n FROM embeddings),
