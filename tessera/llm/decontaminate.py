@@ -11,9 +11,11 @@ Longest verbatim matches come from the array as well: of all benchmark suffixes
 those next to a training suffix in the sorted order share the longest beginning
 with it.
 
-The benchmark is read in blocks of bounded size, one broadcast at a time. Hits of
-one block are a column; those of any further blocks are written to the shared
-folder, only for the documents that have some, and joined to it at the end.
+The benchmark is read in blocks of bounded size; ``BLOCKS_A_PASS`` of them are broadcast
+for one pass over the texts, so a shard's array is built once and all these blocks are
+looked up in it while it is held. Hits of the first pass are a column; those of any
+further passes are written to the shared folder, only for the documents that have some,
+and joined to it at the end.
 
 Defined results: null and empty texts have no words and hit nothing; items
 without words have no window; repeated items count once by their id, a null id
@@ -24,6 +26,7 @@ leaves every document clean; other columns pass through, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -38,6 +41,8 @@ from .common import fresh, materialize, powers, release, short_batches
 WINDOW = 10
 #: Bytes of benchmark text in one block.
 BLOCK_BYTES = 4_000_000
+#: Blocks looked up in one pass; a worker holds about 30 MB for each.
+BLOCKS_A_PASS = 8
 #: Bytes of training text in one shard, about.
 SHARD_BYTES = 8_000_000
 
@@ -141,10 +146,8 @@ def _pairs(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
 class Search:
     """Looks a block's suffixes up in one shard."""
 
-    def __init__(self, shard: Words, block: Block):
-        self.shard, self.block = shard, block
-        self.array = suffix_array(shard.ids, block.depth)
-        self.sums = shard.sums()
+    def __init__(self, shard: Words, block: Block, array: np.ndarray, sums: np.ndarray):
+        self.shard, self.block, self.array, self.sums = shard, block, array, sums
         own = shard.vocabulary
         place = np.array([bisect_left(own, w) for w in block.words.vocabulary], np.int64)
         known = np.array([p < len(own) and own[p] == w for p, w in zip(place.tolist(), block.words.vocabulary, strict=True)], bool)
@@ -257,29 +260,35 @@ class Search:
             out[text].update(sets[k])
 
 
-def judged(texts: list[bytes | None], block: Block) -> list[tuple]:
-    """For each text the values of ``NAMES``; texts are taken shard by shard."""
+def judged(texts: list[bytes | None], blocks: list[Block]) -> list[tuple]:
+    """For each text the values of ``NAMES``; texts are taken shard by shard, and all blocks are looked up in a shard's one array."""
     out, held, size = [], [], 0
+    asked = [b for b in blocks if b.queries]
     for i, text in enumerate(texts):
         held.append(fold_words(text))
         size += len(text or b"")
         if size < SHARD_BYTES and i + 1 < len(texts):
             continue
         shard = Words(held)
-        if not block.queries:
-            out += [(int(n), 0, [], 0, 0, b"") for n in shard.lengths]
-        else:
-            hit, items, longest = Search(shard, block).hits()
-            for k, (start, n) in enumerate(zip(shard.starts.tolist(), shard.lengths.tolist(), strict=True)):
-                own = hit[start : start + n]
-                bits = np.packbits(own).tobytes() if items[k] else b""
-                out.append((n, int(own.sum()), sorted(block.items[x] for x in items[k]), *longest[k], bits))
+        hit, items, longest = np.zeros(len(shard.ids), bool), [set() for _ in held], [(0, 0)] * len(held)
+        if asked:
+            array, sums = suffix_array(shard.ids, max(b.depth for b in asked)), shard.sums()
+        for b in asked:
+            own_hit, own_items, own_longest = Search(shard, b, array, sums).hits()
+            hit |= own_hit
+            for k, numbers in enumerate(own_items):
+                if numbers:
+                    items[k].update(b.items[x] for x in numbers)
+                    longest[k] = max(longest[k], own_longest[k], key=lambda x: (x[0], -x[1]))
+        for k, (start, n) in enumerate(zip(shard.starts.tolist(), shard.lengths.tolist(), strict=True)):
+            own = hit[start : start + n]
+            out.append((n, int(own.sum()), sorted(items[k]), *longest[k], np.packbits(own).tobytes() if items[k] else b""))
         held, size = [], 0
     return out
 
 
 def joined(one: dict, others: list[dict]) -> tuple:
-    """One text's values for several blocks put together."""
+    """One text's values of several passes put together."""
     rows = [x for x in (one, *others) if x["n_hit"]]
     if not rows:
         return (one["n_words"], 0, [], 0, 0, b"")
@@ -317,22 +326,26 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit
     def hits(shared):
         @F.arrow_udf(KIND)
         def udf(texts: pa.Array) -> pa.Array:
-            found = _struct(judged(texts.cast(pa.large_binary()).to_pylist(), shared.value))
+            found = _struct(judged(texts.cast(pa.large_binary()).to_pylist(), [b.value for b in shared]))
             release()
             return found
 
         return udf.asNondeterministic()(F.col("text"))
 
     waiting = blocks(benchmark, limit)
+
+    def broadcast() -> list:
+        return [spark.sparkContext.broadcast(Block(items, window)) for items in itertools.islice(waiting, BLOCKS_A_PASS)]
+
     # An empty benchmark still has the words counted.
-    result = docs.withColumn(out, hits(spark.sparkContext.broadcast(Block(next(waiting, []), window))))
+    result = docs.withColumn(out, hits(broadcast()))
     key, more = ["doc_id", F.xxhash64("text").alias("hash")], None
-    for block in waiting:
-        shared = spark.sparkContext.broadcast(Block(block, window))
+    while shared := broadcast():
         own = docs.select("doc_id", "text").withColumn("c", hits(shared)).filter("c.n_hit > 0").select(*key, "c").dropDuplicates(["doc_id", "hash"])
         own = materialize(own, "hits")
         more = own if more is None else more.unionByName(own)
-        shared.destroy()
+        for b in shared:
+            b.destroy()
     if more is None:
         return result
 
@@ -341,7 +354,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit
         return _struct([joined(a, b or []) for a, b in zip(one.to_pylist(), others.to_pylist(), strict=True)])
 
     names = {c: fresh(result, c) for c in ("__id", "__hash", "__more")}
-    more = more.groupBy("doc_id", "hash").agg(F.collect_list("c").alias(names["__more"]))  # at most one for each block
+    more = more.groupBy("doc_id", "hash").agg(F.collect_list("c").alias(names["__more"]))  # at most one for each pass
     more = more.withColumnsRenamed({"doc_id": names["__id"], "hash": names["__hash"]})
     result = result.join(more, result["doc_id"].eqNullSafe(more[names["__id"]]) & (F.xxhash64(result["text"]) == more[names["__hash"]]), "left")
     return result.withColumn(out, together(F.col(out), F.col(names["__more"]))).drop(*names.values())

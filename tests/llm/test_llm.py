@@ -551,8 +551,8 @@ def test_suffix_search_is_as_brute_force(monkeypatch):
         monkeypatch.setattr(decontaminate, "SHARD_BYTES", rng.choice([50, 10**6]))
         texts = [None if t is None else t.encode() for _, t in given]
         block = lambda some: decontaminate.Block([(str(i), (t or "").encode()) for i, t in some], window)  # noqa: B023, E731
-        assert [r[:5] for r in decontaminate.judged(texts, block(items))] == [want[i] for i, _ in given]
-        one, two = (decontaminate.judged(texts, block(x)) for x in (items[:1], items[1:]))
+        assert [r[:5] for r in decontaminate.judged(texts, [block(items)])] == [want[i] for i, _ in given]
+        one, two = (decontaminate.judged(texts, [block(x)]) for x in (items[:1], items[1:]))
         named = lambda r: dict(zip(decontaminate.NAMES, r, strict=True))
         assert [decontaminate.joined(named(a), [named(b)])[:5] for a, b in zip(one, two, strict=True)] == [want[i] for i, _ in given]
 
@@ -572,7 +572,34 @@ def test_the_same_word_many_times_on_both_sides():
     """20000 places on each side; a product of places would be 400 million."""
     text = b"la " * 20_000
     tracemalloc.start()
-    got = decontaminate.judged([text, b"x " * 5 + text, b"la " * 9], decontaminate.Block([("1", text), ("2", b"la la")]))
+    got = decontaminate.judged([text, b"x " * 5 + text, b"la " * 9], [decontaminate.Block([("1", text), ("2", b"la la")])])
     assert tracemalloc.get_traced_memory()[1] < 100_000_000
     tracemalloc.stop()
     assert [r[:5] for r in got] == [(20000, 20000, ["1", "2"], 20000, 0), (20005, 20000, ["1", "2"], 20000, 5), (9, 9, ["2"], 2, 0)]
+
+
+def test_blocks_of_a_pass_share_one_array(monkeypatch):
+    """Five blocks are looked up in one array of the shard, and give what one block of all gives."""
+    rng = random.Random(17)
+    texts = [sentence(rng, rng.randint(0, 60)).encode() for _ in range(60)]
+    items = [(str(i), sentence(rng, rng.randint(0, 25)).encode()) for i in range(40)]
+    blocks = [decontaminate.Block(items[i::5], 3) for i in range(5)]
+    built, plain = [], decontaminate.suffix_array
+    monkeypatch.setattr(decontaminate, "suffix_array", lambda ids, depth: built.append(depth) or plain(ids, depth))
+    got = decontaminate.judged(texts, blocks)
+    assert len(built) == 1
+    assert got == decontaminate.judged(texts, [decontaminate.Block(items, 3)])
+    want = decontaminate.brute_force([(i, t.decode()) for i, t in enumerate(texts)], [(i, t.decode()) for i, t in items], 3)
+    assert [r[:3] for r in got] == [w[:3] for w in want.values()]
+
+
+def test_many_passes_over_the_benchmark(docs, spark, monkeypatch):
+    given = texts_of(docs)
+    rng = random.Random(6)
+    own = [(t or "").split() for _, t in given]
+    items = [(f"i{k}", " ".join(w[a : a + rng.randint(1, 14)])) for k in range(12) if (w := rng.choice([x for x in own if x])) and (a := rng.randrange(len(w))) >= 0]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = decontaminate.brute_force(given, items)
+    monkeypatch.setattr(decontaminate, "BLOCKS_A_PASS", 3)
+    got = {(r["doc_id"], r["__c"]["n_hit"], tuple(r["__c"]["items"]), r["__c"]["longest"]) for r in decontaminate.with_hits(docs, bench, limit=1).collect()}
+    assert got == {(d, want[d][1], tuple(want[d][2]), want[d][3]) for d, _ in given}
