@@ -1,5 +1,6 @@
 """The operators of the llm subpackage against brute force, round trips and held-out accuracy."""
 
+import bisect
 import collections
 import hashlib
 import os
@@ -199,19 +200,76 @@ def test_encoder_equals_the_tokenizer(tokenizer):
     assert all(encode(t) == encode.whole(t) for t in hard)
 
 
-@pytest.mark.parametrize("capacity", [7, 64, 2048])
-def test_best_fit_places_all_and_overfills_none(capacity):
+def plain_best_fit(lengths, capacity):
+    """Best fit, the longest first, one piece at a time: how many sequences it takes."""
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(gaps, n)
+        gap = gaps.pop(k) if k < len(gaps) else capacity
+        bisect.insort(gaps, gap - n)
+    return len(gaps)
+
+
+def plain_sweep(is_gap):
+    """(piece, slot) of those matched, pieces left, slots left, with a stack."""
+    stack, pairs, alone = [], [], []
+    for i, gap in enumerate(is_gap):
+        if gap:
+            stack.append(i)
+        elif stack:
+            pairs.append((i, stack.pop()))
+        else:
+            alone.append(i)
+    return sorted(pairs), alone, stack
+
+
+def test_sweeps_match_successors():
+    rng = random.Random(4)
+    for _ in range(300):
+        is_gap = np.array([rng.random() < 0.5 for _ in range(rng.randint(0, 30))], bool)
+        pieces, slots, alone, free = packing.sweep(is_gap)
+        assert (sorted(zip(pieces.tolist(), slots.tolist(), strict=True)), alone.tolist(), free.tolist()) == plain_sweep(is_gap)
+        # cut into ranges, swept apart and put together by ranks, the same pieces meet the same slots
+        cuts = sorted(rng.randint(0, len(is_gap)) for _ in range(3))
+        met, left, ranks = [], [], {}
+        for p, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(is_gap)], strict=True)):
+            x, y, u, v = packing.sweep(is_gap[a:b])
+            met += [(a + i, a + k) for i, k in zip(x.tolist(), y.tolist(), strict=True)]
+            left.append((p, len(u), len(v)))
+            ranks[p] = (a + u).tolist(), (a + v).tolist()
+        for p, first, many, q, last in packing.across(left):
+            met += [(ranks[p][0][first + i], ranks[q][1][last - i]) for i in range(many)]
+        assert sorted(met) == plain_sweep(is_gap)[0]
+
+
+@pytest.mark.parametrize(("capacity", "rows"), [(100, 50), (2048, 5000), (7, 10)])
+def test_best_fit_places_all_and_overfills_none(spark, monkeypatch, capacity, rows):
+    monkeypatch.setattr(packing, "ROWS_A_RANGE", rows)
     rng = random.Random(capacity)
-    lengths = collections.Counter(min(capacity, int(rng.expovariate(4 / capacity)) + 1) for _ in range(3000))
-    held, seen = collections.Counter(), collections.Counter()
-    for n, rank, many, first, offset in sorted(packing.best_fit(lengths, capacity), key=lambda x: x[4]):
-        for i in range(many):
-            assert held[first + i] == offset
-            held[first + i] += n
-            seen[n, rank + i] += 1
-    assert max(held.values()) <= capacity and set(seen) == {(n, i) for n, c in lengths.items() for i in range(c)} and max(seen.values()) == 1
-    assert len(held) <= 1.02 * -(-sum(n * c for n, c in lengths.items()) // capacity) + 1
-    assert packing.best_fit({}, capacity) == []
+    lengths = [min(capacity, int(rng.expovariate(4 / capacity)) + 1) for _ in range(3000)]
+    pieces = spark.createDataFrame(list(enumerate(lengths, 1)), "id long, size int")
+    got = packing.best_fit(pieces, capacity).collect()
+    assert sorted((r.id, r.size) for r in got) == list(enumerate(lengths, 1))
+    held = collections.Counter()
+    for r in got:
+        held[r.sequence] += r.size
+    assert max(held.values()) <= capacity
+    least = -(-sum(lengths) // capacity)
+    assert len(held) <= 1.01 * least + 1 and len(held) <= 1.01 * plain_best_fit(lengths, capacity) + 1
+    assert packing.best_fit(pieces.limit(0), capacity).count() == 0
+
+
+def test_best_fit_of_many_equal_pieces(spark, monkeypatch):
+    """One size may be most of all rows: it is dealt to many ranges."""
+    monkeypatch.setattr(packing, "ROWS_A_RANGE", 100)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        pieces = spark.range(1, 10_001).select("id", F.when(F.col("id") % 10 == 0, 1500).otherwise(60).cast("int").alias("size"))
+        got = packing.best_fit(pieces, 2048)
+        held = {r[0]: r[1] for r in got.groupBy("sequence").agg(F.sum("size")).collect()}
+        assert sum(held.values()) == 1000 * 1500 + 9000 * 60 and max(held.values()) <= 2048 and len(held) <= 1010
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_packing(spark, docs, empty, tokenizer):
