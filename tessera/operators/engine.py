@@ -1,16 +1,22 @@
-"""A question end to end: seeds, linked entities, the time filter, source documents, ranked context, provenance, conflicts.
+"""Questions end to end: seeds, linked entities, the time filter, source documents, ranked context, provenance, conflicts.
 
-Each stage is a lazy table of the bundle; nothing is looked at beyond what the stages need to know to go on.
+A table of questions is answered at once: the frontier of the links, the time filter, packing and conflicts all go
+by question. Each stage is a table of the bundle; only the frontier and what is asked again of a stage are written out.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import datetime
+import logging
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from . import graph, resolve, retrieve, temporal
+from tessera.storage import materialize
+
+from . import graph, resolve, retrieve, vectors
 from .components import connected_components
 
 
@@ -24,28 +30,86 @@ class Answer:
     depth: DataFrame
 
 
-def query(entities: DataFrame, documents: DataFrame, links: DataFrame, centrality: DataFrame, attributes: DataFrame, names: list[str], vector: list[float] | None, max_hops: int = 3, mode: str = "current", budget: float = retrieve.BUDGET) -> Answer:
-    """``entities``: entity_id, name, embedding, source_doc_id, attributes, date, ord. ``documents``: doc_id, filename, text.
-    ``links``: a, b, confidence. ``centrality``: id (of a document), centrality. ``attributes``: long, as for contradictions.
+def seeds_of(entities: DataFrame, questions: DataFrame, index: vectors.Index | None = None) -> DataFrame:
+    """(question_id, id): what the search finds; for a question without any what the vector alone finds at a lower threshold."""
+    index = index or vectors.fit(entities.select(F.col("entity_id").alias("id"), "embedding"))
+    found = materialize(retrieve.search_entities(entities, questions, retrieve.SEARCH_AT, index).select("question_id", F.col("entity_id").alias("id")), "seeds")
+    lost = questions.join(found.select("question_id").distinct(), "question_id", "left_anti")
+    # half of the cosine is the score
+    return found.unionByName(vectors.near(index, lost, 2 * retrieve.FALLBACK_AT - 1e-12).filter(0.5 * F.col("cosine") >= retrieve.FALLBACK_AT).select("question_id", "id"))
+
+
+def expand(seeds: DataFrame, links: DataFrame, max_hops: int, least: float = graph.LEAST_CONFIDENCE) -> DataFrame:
+    """(question_id, id, depth): ``graph.expand`` for each question; at each hop only the questions' frontiers are joined."""
+    if not 1 <= max_hops <= graph.MOST_HOPS:
+        raise ValueError(f"max_hops must be from 1 to {graph.MOST_HOPS}")
+    step = graph.both_ways(links.filter(F.col("confidence") >= least).select("a", "b"))
+    seen = materialize(seeds.select("question_id", "id").distinct().withColumn("depth", F.lit(0)), "frontier")
+    frontier = seen
+    for hop in range(1, max_hops + 1):
+        reached = frontier.join(step, frontier["id"] == step["a"]).select("question_id", F.col("b").alias("id")).distinct()
+        frontier = materialize(reached.join(seen, ["question_id", "id"], "left_anti").withColumn("depth", F.lit(hop)), "frontier")
+        if not frontier.limit(1).count():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
 
-    Without a seed at the usual threshold the vector alone is tried at a lower one. If the time filter leaves nothing, it does not count.
+
+def in_time(reached: DataFrame, entities: DataFrame, links: DataFrame, mode: str) -> DataFrame:
+    """(question_id, id) that the time filter leaves; of a question of which it leaves nothing, all.
+
+    ``current`` keeps the latest entity of each component that the links make among what a question has reached; a date
+    keeps entities up to it; any other mode keeps all.
     """
-    seeds = retrieve.find_entities(entities, names, vector)
-    if not seeds.limit(1).count():
-        seeds = retrieve.find_entities(entities, [], vector, retrieve.FALLBACK_AT)
-    reached = graph.expand(seeds.select(F.col("entity_id").alias("id")), links, max_hops)
-    found = entities.join(reached.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
+    dated = reached.join(entities.select(F.col("entity_id").alias("id"), "date", "ord"), "id")
     if mode == "current":
-        inside = graph.known_ends(links, reached)
-        filtered = temporal.current(found, connected_components(inside.select("a", "b")), key="entity_id")
+        ends = reached.select("question_id", "id")
+        inside = links.select("a", "b").join(ends.withColumnRenamed("id", "a"), "a").join(ends.withColumnRenamed("id", "b"), ["question_id", "b"])
+        at = lambda c: F.struct("question_id", F.col(c).alias("id"))
+        groups = connected_components(inside.select(at("a").alias("a"), at("b").alias("b"))).select("node.question_id", "node.id", F.col("component.id").alias("component"))
+        placed = dated.filter("date is not null").join(groups, ["question_id", "id"], "left")
+        group = [F.col("question_id"), F.col("component").isNotNull().alias("linked"), F.coalesce("component", "id").alias("group")]
+        kept = placed.groupBy(*group).agg(F.max_by("id", F.struct(F.col("date"), -F.col("ord"))).alias("id")).select("question_id", "id")
     else:
-        filtered = temporal.filter_entities(found, mode)
-    if filtered.limit(1).count():
-        found = filtered
-    sources = found.select(F.col("source_doc_id").alias("doc_id")).distinct()
-    own = documents.join(sources, "doc_id", "left_semi").join(centrality.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+        try:
+            kept = dated.filter(F.col("date") <= F.lit(datetime.date.fromisoformat(mode))).select("question_id", "id")
+        except ValueError:
+            if mode != "all":
+                logging.getLogger(__name__).warning("unknown temporal mode %r: all entities stay", mode)
+            return reached.select("question_id", "id")
+    kept = materialize(kept, "in-time")
+    bare = reached.join(kept.select("question_id").distinct(), "question_id", "left_anti").select("question_id", "id")
+    return kept.unionByName(bare)
+
+
+def query_all(entities: DataFrame, documents: DataFrame, links: DataFrame, centrality: DataFrame, attributes: DataFrame, questions: DataFrame, max_hops: int = 3, mode: str = "current", budget: float = retrieve.BUDGET, index: vectors.Index | None = None) -> Answer:
+    """``questions``: question_id, names (array), embedding. ``entities``: entity_id, name, embedding, source_doc_id, attributes,
+    date, ord. ``documents``: doc_id, filename, text. ``links``: a, b, confidence. ``centrality``: id (of a document), centrality.
+    ``attributes``: long, as for contradictions. Every table of the answer has ``question_id``.
+
+    Without a seed at the usual threshold the vector alone is tried at a lower one. If the time filter leaves nothing of a
+    question, it does not count there. What entities and conflicts are told of is worked out once, however many questions ask.
+    """
+    reached = expand(seeds_of(entities, questions, index), links, max_hops)
+    found = materialize(in_time(reached, entities, links, mode), "found")
+    whole = found.withColumnRenamed("id", "entity_id").join(entities, "entity_id")
+    sources = whole.select("question_id", F.col("source_doc_id").alias("doc_id")).distinct()
+    own = sources.join(documents, "doc_id").join(centrality.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     ranked = own.withColumn("score", retrieve.relevance(F.coalesce("centrality", F.lit(0.0))))
-    packed = retrieve.pack_context(ranked, "score", "doc_id", budget)
-    pairs = graph.incident(links.select("a", "b"), found.select(F.col("entity_id").alias("id")))
-    conflicts = resolve.contradictions(pairs.select(F.col("a").alias("id_a"), F.col("b").alias("id_b")), attributes)
-    return Answer(found, own, packed, retrieve.provenance(found), conflicts, reached.agg(F.max("depth").alias("depth")))
+    packed = retrieve.pack_context(ranked, "score", "doc_id", budget, ["question_id"])
+    facts = retrieve.provenance(entities.join(found.select(F.col("id").alias("entity_id")), "entity_id", "left_semi"))
+    told = found.withColumnRenamed("id", "entity_id").join(facts, "entity_id")
+    touched = [links.select("a", "b").join(found.withColumnRenamed("id", end), end).select("question_id", "a", "b") for end in "ab"]
+    pairs = touched[0].unionByName(touched[1]).distinct().withColumnsRenamed({"a": "id_a", "b": "id_b"})
+    conflicts = pairs.join(resolve.contradictions(pairs.select("id_a", "id_b").distinct(), attributes), ["id_a", "id_b"])
+    return Answer(whole, own, packed, told, conflicts, reached.groupBy("question_id").agg(F.max("depth").alias("depth")))
+
+
+def query(entities: DataFrame, documents: DataFrame, links: DataFrame, centrality: DataFrame, attributes: DataFrame, names: list[str], vector: list[float] | None, max_hops: int = 3, mode: str = "current", budget: float = retrieve.BUDGET) -> Answer:
+    """``query_all`` for one question; the tables have no ``question_id``."""
+    kind = T.StructType([T.StructField("question_id", T.IntegerType()), T.StructField("names", T.ArrayType(T.StringType())), T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+    asked = entities.sparkSession.createDataFrame([(0, names, None if vector is None else [float(x) for x in vector])], kind)
+    out = query_all(entities, documents, links, centrality, attributes, asked, max_hops, mode, budget)
+    out = replace(out, **{f.name: getattr(out, f.name).drop("question_id") for f in fields(out)})
+    # one row, also where nothing is found
+    return replace(out, depth=out.depth.agg(F.max("depth").alias("depth")))

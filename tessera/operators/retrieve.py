@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import bisect
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +11,10 @@ from pyspark.sql.window import Window
 from tessera.functions import rules
 from tessera.functions import similarity as sim
 from tessera.functions import text as tx
+from tessera.storage import materialize
+
+from . import vectors
+from .candidates import tiled
 
 # Search thresholds, weights, the context's budget, bands of person matches.
 SEARCH_AT, FALLBACK_AT, HELD_SCORE = 0.20, 0.10, 0.85
@@ -22,8 +23,6 @@ BUDGET = int(0.9 * 4096)
 CHUNK_AT = 0.75
 STRONG, WEAK, SPREAD, SUGGEST_ABOVE, PAIR_BONUS = 0.75, 0.50, 0.10, 0.25, 1.10
 SUGGESTIONS, FACTS, NAMES, PERSON_MATCH = 3, 5, 15, 0.60
-#: Ranges of scores whose tokens are summed before documents are ranked.
-SCORE_RANGES = 1024
 
 
 def find_entities(entities: DataFrame, names: list[str], vector: list[float] | None, threshold: float = SEARCH_AT) -> DataFrame:
@@ -42,96 +41,119 @@ def find_entities(entities: DataFrame, names: list[str], vector: list[float] | N
     return scored.filter(F.col("score") >= threshold)
 
 
-def search_entities(entities: DataFrame, questions: DataFrame, threshold: float = SEARCH_AT, rows_a_tile: int = 2048) -> DataFrame:
+def name_matches(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """Distinct (asked, name, named, held) of which one holds the other, both lower-case: found by a shared piece of three letters.
+
+    ``asked``: raw (lower-case as asked) and bare (stripped); ``names``: name (lower-case, stripped). A name that is held has its
+    rarest piece in the other, so it is looked up by that alone; names of one or two letters are pieces themselves.
+    """
+    pieces = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+    every = lambda c: F.array_distinct(F.concat(pieces(c, 1), pieces(c, 2), pieces(c, 3)))
+    own = lambda c: F.when(F.length(c) >= 3, pieces(c, 3)).when(F.length(c) == 2, pieces(c, 2)).otherwise(pieces(c, 1))
+    q = materialize(asked.filter("bare is not null").select("raw", "bare").distinct(), "asked-names")
+    e = materialize(names.filter("name is not null").select("name").distinct(), "known-names")
+    texts = q.select(F.col("bare").alias("t")).unionByName(e.select(F.col("name").alias("t"))).distinct()
+    rarity = texts.select("t", F.explode(every(F.col("t"))).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("many"))
+
+    def rarest(d: DataFrame, c: str) -> DataFrame:
+        spread = d.filter(F.length(c) > 0).select(*d.columns, F.explode(F.array_distinct(own(F.col(c)))).alias("piece"))
+        return spread.join(rarity, "piece").groupBy(*d.columns).agg(F.min_by("piece", F.struct("many", "piece")).alias("piece"))
+
+    def holders(d: DataFrame, c: str) -> DataFrame:
+        return d.select(*d.columns, F.explode(every(F.col(c))).alias("piece"))
+
+    pairs = []
+    for short, long in ((rarest(e, "name"), holders(q, "bare")), (rarest(q, "bare"), holders(e, "name"))):
+        x, y, keys = tiled(short, long, ["piece"])
+        pairs.append(x.join(y, keys).select("raw", "bare", "name"))
+    # an empty name is held by all
+    if e.filter("name = ''").limit(1).count():
+        pairs.append(q.withColumn("name", F.lit("")))
+    if q.filter("bare = ''").limit(1).count():
+        pairs.append(e.withColumn("bare", F.lit("")).join(q.filter("bare = ''"), "bare"))  # few rows: kinds of blanks
+    both = reduce(DataFrame.unionByName, [p.select("raw", "bare", "name") for p in pairs]).distinct()
+    x, y, raw = F.col("bare"), F.col("name"), F.col("raw")
+    named = F.when(x == y, 1.0).when(F.contains(x, y) | F.contains(y, x), 0.75).otherwise(0.0)
+    held = (y != "") & (F.contains(y, raw) | F.contains(raw, y))
+    return both.withColumn("named", named).withColumn("held", held).filter("held or named > 0")
+
+
+def search_entities(entities: DataFrame, questions: DataFrame, threshold: float = SEARCH_AT, index: vectors.Index | None = None, tile: int = vectors.TILE) -> DataFrame:
     """``find_entities`` for a table of questions against all entities: question_id, entity_id, score.
 
-    ``questions``: question_id, names (array of strings), embedding; ``entities``: entity_id, name, embedding. Both are dealt into blocks of
-    about ``rows_a_tile`` rows, and each pair of blocks is one tile that any task can take: its vectors are multiplied at once, its distinct
-    names compared once, and only pairs at the threshold become rows.
+    ``questions``: question_id, names (array of strings), embedding; ``entities``: entity_id, name, embedding. Pairs come from two
+    sides, and each is scored in full: names of which one holds the other, and vectors that reach the threshold alone. The
+    latter come through an index of the entities' vectors (``vectors.near``, which is exact), so nothing is lost. Where the
+    names reach the threshold by themselves no pair is looked at that isn't a result.
     """
-    counts = [max(1, -(-d.count() // rows_a_tile)) for d in (questions, entities)]
-    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    text_id = lambda key: F.col(key).cast("string").alias("id")
-    own = F.lower(tx.strip(F.col("name")))
-    q = questions.select(block("question_id", counts[0]).alias("t"), every(counts[1]).alias("u"), F.lit(True).alias("asks"), text_id("question_id"), F.transform("names", lambda n: F.struct(F.lower(n).alias("raw"), F.lower(tx.strip(n)).alias("bare"))).alias("names"), "embedding")
-    e = entities.select(every(counts[0]).alias("t"), block("entity_id", counts[1]).alias("u"), F.lit(False).alias("asks"), text_id("entity_id"), F.array(F.struct(own.alias("raw"), own.alias("bare"))).alias("names"), "embedding")
-
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = (pdf[pdf["asks"] == side].reset_index(drop=True) for side in (True, False))
-        score = 0.5 * _cosines(a["embedding"], b["embedding"])
-        named, held = _name_matches([[(n["raw"], n["bare"]) for n in ns] if ns is not None else [] for ns in a["names"]], [ns[0]["bare"] for ns in b["names"]])
-        score += 0.5 * named
-        score[held] = np.maximum(score[held], HELD_SCORE)
-        i, j = np.nonzero(score >= threshold)
-        return pd.DataFrame({"question_id": a["id"].to_numpy()[i], "entity_id": b["id"].to_numpy()[j], "score": score[i, j]})
-
-    found = q.unionByName(e).groupBy("t", "u").applyInPandas(tile, "question_id string, entity_id string, score double")
-    return found.select(F.col("question_id").cast(questions.schema["question_id"].dataType), F.col("entity_id").cast(entities.schema["entity_id"].dataType), "score")
-
-
-def _cosines(a: pd.Series, b: pd.Series) -> np.ndarray:
-    """As ``similarity.cosine``, for all pairs: 0 for nulls, unequal lengths and zero vectors."""
-    out = np.zeros((len(a), len(b)))
-    sizes_a, sizes_b = (np.array([-1 if v is None else len(v) for v in s], dtype=np.int64) for s in (a, b))
-    for n in set(sizes_a[sizes_a > 0]) & set(sizes_b[sizes_b > 0]):
-        i, j = np.flatnonzero(sizes_a == n), np.flatnonzero(sizes_b == n)
-        x, y = (np.stack(s.to_numpy()[k]).astype(np.float64) for s, k in ((a, i), (b, j)))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            x, y = (np.nan_to_num(m / np.linalg.norm(m, axis=1, keepdims=True)) for m in (x, y))
-        out[np.ix_(i, j)] = np.clip(x @ y.T, 0.0, 1.0)
-    return out
-
-
-def _name_matches(asked: list[list[tuple]], names: list) -> tuple[np.ndarray, np.ndarray]:
-    """For all pairs of a question and an entity: the best exact name score, and whether one name holds the other."""
-    different = sorted({n for n in names if n is not None})
-    place = np.array([len(different) if n is None else bisect.bisect_left(different, n) for n in names], dtype=np.int64)
-    seen: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-    named, held = np.zeros((len(asked), len(names))), np.zeros((len(asked), len(names)), dtype=bool)
-    for k, own in enumerate(asked):
-        for raw, bare in own:
-            if bare is None:
-                continue
-            if (raw, bare) not in seen:
-                score = [1.0 if bare == n else 0.75 if bare in n or n in bare else 0.0 for n in different]
-                seen[raw, bare] = np.array([*score, 0.0]), np.array([*[n != "" and (raw in n or n in raw) for n in different], False])
-            score, holds = seen[raw, bare]
-            named[k] = np.maximum(named[k], score[place])
-            held[k] |= holds[place]
-    return named, held
+    if threshold <= 0:
+        raise ValueError("every pair is a result at a threshold of 0")
+    vectors_of = entities.select(F.col("entity_id").alias("id"), "embedding")
+    index = index or vectors.fit(vectors_of)
+    alone = vectors.near(index, questions, min(1.0, 2 * threshold) - 1e-12, tile) if threshold <= 0.5 else None
+
+    asked = questions.select("question_id", F.explode(F.transform("names", lambda n: F.struct(F.lower(n).alias("raw"), F.lower(tx.strip(n)).alias("bare")))).alias("n")).select("question_id", "n.raw", "n.bare")
+    own = entities.select("entity_id", F.lower(tx.strip(F.col("name"))).alias("name"))
+    matches = materialize(name_matches(asked, own), "name-matches")
+    who = asked.join(matches, ["raw", "bare"]).groupBy("question_id", "name").agg(F.max("named").alias("named"), F.bool_or("held").alias("held"))
+    x, y, keys = tiled(who, own, ["name"], tile)
+    pairs = materialize(x.join(y, keys).select("question_id", "entity_id", "named", "held"), "named-pairs")
+    norm = lambda d, key, s: d.select(key, F.col("embedding").alias(f"embedding_{s}"), sim.norm(F.col("embedding")).alias(f"norm_{s}"))
+    met = pairs.join(norm(questions, "question_id", "q"), "question_id").join(norm(entities, "entity_id", "e"), "entity_id")
+    score = 0.5 * F.col("named") + 0.5 * sim.cosine(F.col("embedding_q"), F.col("embedding_e"), F.col("norm_q"), F.col("norm_e"))
+    by_name = met.withColumn("score", F.when(F.col("held"), F.greatest(score, F.lit(HELD_SCORE))).otherwise(score)).select("question_id", "entity_id", "score")
+    if alone is None:
+        return by_name.filter(F.col("score") >= threshold)
+    by_vector = alone.select("question_id", F.col("id").alias("entity_id"), (0.5 * F.col("cosine")).alias("score")).join(pairs.select("question_id", "entity_id"), ["question_id", "entity_id"], "left_anti")
+    return by_name.unionByName(by_vector).filter(F.col("score") >= threshold)
 
 
 def relevance(rank: Column, cosine: Column | None = None) -> Column:
     return RELEVANCE_RANK * rank + (RELEVANCE_VECTOR * cosine if cosine is not None else F.lit(0.0))
 
 
+def positions(rows: DataFrame, order: list[Column], by: list[str] | None = None, weight: str | None = None, most: float | None = None) -> DataFrame:
+    """``rows`` with ``position`` (from 1, among those with equal ``by``) and, of a ``weight``, ``used``: its sum up to the row.
+
+    Rows are range-partitioned by ``by`` and ``order``, which tells all rows of a group apart; each range's rows and weights
+    are added up, what lies before a range is carried to it, and each range is ranked apart. So neither a large group nor
+    many equal scores are one task. With ``most`` ranges that begin beyond that sum are left out. ``rows`` should be narrow.
+    """
+    by = by or []
+    ranged = rows.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("__part", F.spark_partition_id())
+    ranged = materialize(ranged, "ranges")
+    own = F.sum(F.col(weight).cast("double")) if weight else F.lit(0.0)
+    sums = ranged.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__rows"), own.alias("__weight"))
+    earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = sums.select(*by, "__part", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__rows"), F.coalesce(F.sum("__weight").over(earlier), F.lit(0.0)).alias("__weight"))
+    if most is not None:
+        sums = sums.filter(F.col("__weight") <= most)
+    same = reduce(lambda p, q: p & q, [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by], F.col("r.__part") == F.col("s.__part"))
+    joined = ranged.alias("r").join(sums.alias("s"), same).select(*[F.col(f"r.{c}") for c in rows.columns], "r.__part", "__rows", "__weight")
+    w = Window.partitionBy(*by, "__part").orderBy(*order)
+    out = joined.withColumn("position", (F.col("__rows") + F.row_number().over(w)).cast("int"))
+    if weight:
+        out = out.withColumn("used", F.col("__weight") + F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return out.drop("__part", "__rows", "__weight")
+
+
+def ranked_entities(found: DataFrame, score: str = "score", key: str = "entity_id", by: list[str] | None = None) -> DataFrame:
+    """Found entities with their ``position``, the best first, ties by ``key``."""
+    return positions(found, [F.desc(score), F.asc(key)], by)
+
+
 def pack_context(documents: DataFrame, score: str, key: str, budget: float = BUDGET, by: list[str] | None = None) -> DataFrame:
     """Documents by score until the budget of tokens is passed; the best one always stays.
 
-    ``by`` names the questions that are packed apart. Scores are cut into ``SCORE_RANGES`` ranges whose tokens are
-    summed first, so only documents down to the range in which the budget is passed are ever ranked.
+    ``by`` names the questions that are packed apart; ``key`` is unique in each. Only scores and numbers of tokens are ranked
+    (``positions``); the rest of the rows joins last.
     """
-    rows = documents.withColumn("tokens", tx.token_estimate(F.col("text")))
-    asked = [F.col(c) for c in by] if by else [F.lit(1)]
-    keyed = rows.withColumns({f"__by{i}": c for i, c in enumerate(asked)})
-    keys = [f"__by{i}" for i in range(len(asked))]
-    ends = documents.select(*[c.alias(k) for c, k in zip(asked, keys, strict=True)], F.col(score).cast("double").alias("__s"))
-    ends = ends.groupBy(*keys).agg(F.min("__s").alias("__low"), F.max("__s").alias("__high"))
-
-    def same(x: DataFrame, y: DataFrame):
-        return reduce(lambda p, q: p & q, [x[k].eqNullSafe(y[k]) for k in keys])
-
-    span = F.col("__high") - F.col("__low")
-    place = F.when(F.col(score).isNull(), SCORE_RANGES).otherwise(F.when(span > 0, F.floor((F.col("__high") - F.col(score).cast("double")) / span * (SCORE_RANGES - 1))).otherwise(0)).cast("int")
-    placed = keyed.join(ends, same(keyed, ends), "left").select(*[keyed[c] for c in keyed.columns], place.alias("__range"))
-    sums = placed.groupBy(*keys, "__range").agg(F.sum("tokens").alias("__sum"))
-    before = F.sum("__sum").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
-    last = sums.withColumn("__before", F.coalesce(before, F.lit(0.0))).filter(F.col("__before") <= budget).groupBy(*keys).agg(F.max("__range").alias("__last"))
-    near = placed.join(last, same(placed, last)).filter(F.col("__range") <= F.col("__last")).select(*[placed[c] for c in rows.columns])
-    w = Window.partitionBy(*(by or [])).orderBy(F.desc(score), key)
-    ranked = near.withColumn("position", F.row_number().over(w)).withColumn("used", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return ranked.filter((F.col("used") <= budget) | (F.col("position") == 1))
+    by = by or []
+    narrow = documents.select(*by, key, score, tx.token_estimate(F.col("text")).alias("tokens"))
+    ranked = positions(narrow, [F.desc(score), F.asc(key)], by, "tokens", budget)
+    kept = ranked.filter((F.col("used") <= budget) | (F.col("position") == 1)).select(*by, key, "tokens", "position", "used")
+    same = reduce(lambda p, q: p & q, [F.col(f"d.{c}").eqNullSafe(F.col(f"k.{c}")) for c in [*by, key]])
+    return documents.alias("d").join(kept.alias("k"), same).select("d.*", "k.tokens", "k.position", "k.used")
 
 
 def render_context(packed: DataFrame, by: list[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from tessera.operators import graph as G
 from tessera.operators import resolve as M
 from tessera.operators import retrieve as R
 from tessera.operators import temporal as T
+from tessera.operators import vectors as V
 from tessera.operators.components import connected_components
 from tessera.functions import similarity as sim
 from tessera.functions import text as tx
@@ -229,10 +230,22 @@ def most_recent_value(spark, sf_dir):
 
 
 def find_entities(spark, sf_dir):
-    """Every entity whose id is divisible by 50 asks for its own name and vector."""
-    e = entities(spark, sf_dir)
-    asked = e.filter("entity_id % 50 = 0").select(F.col("entity_id").alias("question_id"), F.array("name").alias("names"), "embedding")
-    return R.search_entities(e, asked, 0.3).select("question_id", "entity_id", F.round("score", 6).alias("score"))
+    return R.search_entities(entities(spark, sf_dir), _asked(spark, sf_dir), 0.3).select("question_id", "entity_id", F.round("score", 6).alias("score"))
+
+
+def vector_recall(spark, sf_dir):
+    """Whether the index finds nine in ten of the nearest ten of every vector whose id is divisible by 50."""
+    v = vectors(spark, sf_dir).select("id", "embedding")
+    asked = v.filter("id % 50 = 0").select(F.col("id").alias("question_id"), "embedding")
+    got = V.recall(V.fit(v), asked)
+    return got.select("questions", "wanted", (F.col("found") >= 0.9 * F.col("wanted")).alias("enough"))
+
+
+def nearest_vectors(spark, sf_dir):
+    """The nearest ten of every vector whose id is divisible by 50, through all cells."""
+    v = vectors(spark, sf_dir).select("id", "embedding")
+    found = V.nearest(V.fit(v), v.filter("id % 50 = 0").select(F.col("id").alias("question_id"), "embedding"), 10, V.CELLS)
+    return found.select("question_id", "id", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("int").alias("rank"))
 
 
 def source_documents(spark, sf_dir):
@@ -350,16 +363,32 @@ def reply_entities(spark, sf_dir):
     return X.entities_from_replies(c, {"name": "", "dob": "", "id_number": ""}).select("doc_id", "name", "confidence", "line_number", F.size("attributes").alias("n"))
 
 
-def query_engine(spark, sf_dir):
-    """A question about entity 0 end to end; the documents are the brands."""
+def _asked(spark, sf_dir):
+    """Every entity whose id is divisible by 50 asks for its own name and vector."""
+    return entities(spark, sf_dir).filter("entity_id % 50 = 0").select(F.col("entity_id").alias("question_id"), F.array("name").alias("names"), "embedding")
+
+
+def _answers(spark, sf_dir):
+    """Those questions end to end; the documents are the brands."""
     e = entities(spark, sf_dir).withColumn("attributes", F.create_map(F.lit("dob"), F.col("dob").cast("string"))).withColumn("date", F.col("dob")).withColumn("ord", F.col("entity_id"))
-    asked = e.filter("entity_id = 0").select("name", "embedding").first()  # one row: the question
     docs = e.groupBy(F.col("source_doc_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).select("doc_id", F.col("doc_id").alias("filename"), F.repeat(F.lit("word "), F.col("n").cast("int")).alias("text"), "n")
-    got = engine.query(e, docs.drop("n"), near_pairs(spark, sf_dir), docs.select(F.col("doc_id").alias("id"), (F.col("n") / 100.0).alias("centrality")), attributes(spark, sf_dir), [asked["name"]], asked["embedding"], 3, "1990-01-03", 1000.0)
-    return got.context.select("doc_id", "position", F.round("score", 6).alias("score"))
+    return engine.query_all(e, docs.drop("n"), near_pairs(spark, sf_dir), docs.select(F.col("doc_id").alias("id"), (F.col("n") / 100.0).alias("centrality")), attributes(spark, sf_dir), _asked(spark, sf_dir), 3, "1990-01-03", 200.0)
+
+
+def query_engine(spark, sf_dir):
+    return _answers(spark, sf_dir).context.select("question_id", "doc_id", "position", F.round("score", 6).alias("score"))
+
 
+def query_conflicts(spark, sf_dir):
+    """What the entities that each question finds are told to contradict."""
+    return _answers(spark, sf_dir).conflicts.groupBy("question_id", "attribute_key").agg(F.count(F.lit(1)).alias("conflicts"), F.count_distinct("id_a", "id_b").alias("pairs"))
 
-QUERIES = {f.__name__: f for f in (cosine_pairs, name_exact_score, resolve_pairs, fuzzy_pairs, fuzzy_scores, same_as_components, bfs_expand_3, pagerank_k, conflicts, conflict_rollup, conflict_totals, traversable_links, household_groups, household_totals, household_edges, dual_compare, subgraph_nodes, incident_edges, known_end_edges, rejected_edges, graph_stats, neighbourhood_report, node_styles, edge_styles, first_mentions, edge_upsert, temporal_current, temporal_asof, most_recent_value, find_entities, source_documents, provenance_explode, verify_fact, facts_by_source, routed_facts, smart_query_rank, smart_query_matches, smart_query_type, semantic_chunks, entity_listing, public_attributes, person_lookup, person_exists, field_entities, remote_results, entity_union, disambiguation_options, open_ended_summary, best_person, reply_entities, query_engine)}
+
+def ranked_entities(spark, sf_dir):
+    return R.ranked_entities(R.search_entities(entities(spark, sf_dir), _asked(spark, sf_dir), 0.3), by=["question_id"]).select("question_id", "entity_id", "position")
+
+
+QUERIES = {f.__name__: f for f in (cosine_pairs, name_exact_score, resolve_pairs, fuzzy_pairs, fuzzy_scores, same_as_components, bfs_expand_3, pagerank_k, conflicts, conflict_rollup, conflict_totals, traversable_links, household_groups, household_totals, household_edges, dual_compare, subgraph_nodes, incident_edges, known_end_edges, rejected_edges, graph_stats, neighbourhood_report, node_styles, edge_styles, first_mentions, edge_upsert, temporal_current, temporal_asof, most_recent_value, find_entities, vector_recall, nearest_vectors, source_documents, provenance_explode, verify_fact, facts_by_source, routed_facts, smart_query_rank, smart_query_matches, smart_query_type, semantic_chunks, entity_listing, public_attributes, person_lookup, person_exists, field_entities, remote_results, entity_union, disambiguation_options, open_ended_summary, best_person, reply_entities, query_engine, query_conflicts, ranked_entities)}
 
 _COS = "list_cosine_similarity(CAST({a}.embedding AS DOUBLE[]), CAST({b}.embedding AS DOUBLE[]))"
 PAIRS = f"np AS (SELECT a.vec_id AS a, b.vec_id AS b, {_COS.format(a='a', b='b')} AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {_COS.format(a='a', b='b')} >= 0.30)"
@@ -382,11 +411,16 @@ EV = "ev AS (SELECT event_id AS id, user_id, event_type, value, CASE WHEN event_
 FACTS = f"""fa AS (SELECT entity_id, 'dob' AS key, CAST(dob AS VARCHAR) AS value, name || ' dob: ' || CAST(dob AS VARCHAR) AS fact, source_doc_id FROM en
   UNION ALL SELECT entity_id, 'policy_number', {_POLICY}, name || ' policy_number: ' || {_POLICY}, source_doc_id FROM en WHERE p_size % 4 <> 0
   UNION ALL SELECT entity_id, 'diagnosis', doc_type, name || ' diagnosis: ' || doc_type, source_doc_id FROM en)"""
-FOUND = "fo AS (SELECT e.entity_id, e.source_doc_id, CASE WHEN lower(e.name) = lower(q.name) THEN greatest(0.85, 0.5 + 0.5 * greatest(0, least(1, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))))) ELSE 0.5 * greatest(0, least(1, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))) END AS score FROM en e, (SELECT name, embedding FROM en WHERE entity_id = 0) q)"
 ASKED = """sc AS (SELECT q.entity_id AS question_id, e.entity_id, e.source_doc_id, lower(e.name) AS x, lower(q.name) AS y, contains(x, y) OR contains(y, x) AS held,
   0.5::DOUBLE * greatest(0, least(1, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))) + CASE WHEN x = y THEN 0.5 WHEN held THEN 0.375 ELSE 0 END AS plain FROM en e, en q WHERE q.entity_id % 50 = 0),
   fo AS (SELECT question_id, entity_id, source_doc_id, CASE WHEN held THEN greatest(0.85, plain) ELSE plain END AS score FROM sc)"""
 
+#: ``fd``: what each question finds, up to three hops from what it asks for, until the third of January 1990.
+REACHED = """cb AS (SELECT a, b FROM np WHERE c >= 0.60 UNION ALL SELECT b, a FROM np WHERE c >= 0.60),
+      r(question_id, id, depth) AS (SELECT question_id, entity_id, 0 FROM fo WHERE score >= 0.2 UNION SELECT question_id, cb.b, depth + 1 FROM r JOIN cb ON r.id = cb.a WHERE depth < 3),
+      fe AS (SELECT DISTINCT question_id, id FROM r), fi AS (SELECT question_id, id FROM fe JOIN en ON id = entity_id WHERE dob <= DATE '1990-01-03'),
+      fd AS (SELECT * FROM fi UNION ALL SELECT * FROM fe WHERE question_id NOT IN (SELECT question_id FROM fi))"""
+
 
 def _scored(phrases: list[str], bonus: float) -> str:
     one = "CASE WHEN canon = '{p}' THEN 1.0 WHEN contains(canon, '{p}') OR contains('{p}', canon) THEN 0.8 ELSE len(list_intersect(string_split(canon, ' '), string_split('{p}', ' '))) / greatest(len(list_distinct(string_split(canon, ' '))), {n})::DOUBLE END"
@@ -462,6 +496,8 @@ ORACLES = {
     "temporal_asof": f"WITH {EV} SELECT id, date FROM ev WHERE date <= DATE '2024-01-15'",
     "most_recent_value": f"WITH {EV} SELECT user_id, event_type AS value, date FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date DESC, id) AS rn FROM ev WHERE date IS NOT NULL AND id % 4 <> 0) WHERE rn = 1",
     "find_entities": f"WITH {ENT}, {ASKED} SELECT question_id, entity_id, round(score, 6)::DOUBLE AS score FROM fo WHERE score >= 0.3",
+    "vector_recall": "SELECT count(*) AS questions, count(*) * (SELECT least(10, count(*)) FROM embeddings) AS wanted, true AS enough FROM embeddings WHERE vec_id % 50 = 0",
+    "nearest_vectors": f"SELECT question_id, id, round(c, 6)::DOUBLE AS cosine, CAST(rank AS INT) AS rank FROM (SELECT q.vec_id AS question_id, e.vec_id AS id, greatest(0, least(1, {_COS.format(a='q', b='e')})) AS c, row_number() OVER (PARTITION BY q.vec_id ORDER BY greatest(0, least(1, {_COS.format(a='q', b='e')})) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0) WHERE rank <= 10",
     "source_documents": f"WITH {ENT}, {ASKED} SELECT question_id, source_doc_id, count(*) AS entities, min(entity_id) AS first_entity FROM fo WHERE score >= 0.3 GROUP BY question_id, source_doc_id",
     "provenance_explode": f"WITH {ENT}, {FACTS} SELECT entity_id, key, value, fact FROM fa",
     "verify_fact": f"WITH {ENT}, {FACTS} SELECT entity_id, key, value FROM fa WHERE contains(lower(fact), 'policy_number: p-3')",
@@ -490,10 +526,12 @@ ORACLES = {
     "reply_entities": """WITH r AS (SELECT c_custkey AS doc_id, ['first', c_name] AS ls, '{"name": "' || c_name || '", "dob": null, "id_number": " 7 ", "other": "x"}' AS j FROM customer WHERE c_custkey % 3 <> 0),
       f AS (SELECT doc_id, ls, j, len(list_filter(['name', 'dob', 'id_number'], lambda k: trim(coalesce(json_extract_string(j, '$.' || k), '')) <> '')) AS n FROM r)
       SELECT doc_id, json_extract_string(j, '$.name') AS name, round(n / 3.0::DOUBLE, 2) AS confidence, CAST(list_position(list_transform(ls, lambda l: contains(lower(l), lower(json_extract_string(j, '$.name')))), true) AS INT) AS line_number, CAST(n AS INT) AS n FROM f""",
-    "query_engine": f"""WITH RECURSIVE {PAIRS}, {BOTH}, {ENT}, {FOUND}, cb AS (SELECT bw.a, bw.b FROM bw JOIN np ON (np.a = bw.a AND np.b = bw.b) OR (np.a = bw.b AND np.b = bw.a) WHERE np.c >= 0.60),
-      r(id, depth) AS (SELECT entity_id, 0 FROM fo WHERE score >= 0.2 UNION SELECT cb.b, depth + 1 FROM r JOIN cb ON r.id = cb.a WHERE depth < 3),
-      f AS (SELECT DISTINCT source_doc_id FROM en WHERE entity_id IN (SELECT id FROM r) AND dob <= DATE '1990-01-03'),
+    "query_engine": f"""WITH RECURSIVE {PAIRS}, {BOTH}, {ENT}, {ASKED}, {REACHED},
       d AS (SELECT source_doc_id AS doc_id, count(*) AS n FROM en GROUP BY source_doc_id),
-      k AS (SELECT doc_id, 0.4 * (n / 100.0::DOUBLE) AS score, row_number() OVER (ORDER BY 0.4 * (n / 100.0::DOUBLE) DESC, doc_id) AS position, sum(n / 0.75::DOUBLE) OVER (ORDER BY 0.4 * (n / 100.0::DOUBLE) DESC, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM d WHERE doc_id IN (SELECT source_doc_id FROM f))
-      SELECT doc_id, CAST(position AS INT) AS position, round(score, 6)::DOUBLE AS score FROM k WHERE used <= 1000 OR position = 1""",
+      s AS (SELECT DISTINCT question_id, source_doc_id AS doc_id FROM fd JOIN en ON fd.id = en.entity_id),
+      k AS (SELECT question_id, doc_id, 0.4 * (n / 100.0::DOUBLE) AS score, row_number() OVER (PARTITION BY question_id ORDER BY 0.4 * (n / 100.0::DOUBLE) DESC, doc_id) AS position, sum(n / 0.75::DOUBLE) OVER (PARTITION BY question_id ORDER BY 0.4 * (n / 100.0::DOUBLE) DESC, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM s JOIN d USING (doc_id))
+      SELECT question_id, doc_id, CAST(position AS INT) AS position, round(score, 6)::DOUBLE AS score FROM k WHERE used <= 200 OR position = 1""",
+    "query_conflicts": f"""WITH RECURSIVE {PAIRS}, {BOTH}, {ENT}, {ASKED}, {REACHED}, {ATT}, {CONF}, t AS (SELECT question_id, a, b FROM fd JOIN np ON id = a UNION SELECT question_id, a, b FROM fd JOIN np ON id = b)
+      SELECT question_id, attribute_key, count(*) AS conflicts, count(DISTINCT (id_a, id_b)) AS pairs FROM t JOIN cf ON id_a = a AND id_b = b GROUP BY question_id, attribute_key""",
+    "ranked_entities": f"WITH {ENT}, {ASKED} SELECT question_id, entity_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, entity_id) AS INT) AS position FROM fo WHERE score >= 0.3",
 }

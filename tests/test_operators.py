@@ -274,8 +274,8 @@ def test_search_for_many_questions_is_the_search_for_each(spark):
     asked = [(big + 1, ["Ann Lee"], [1.0, 0.0]), (2, ["bob", "ZOE"], [0.0, 1.0]), (3, [], [0.6, 0.8]), (4, None, [1.0, 0.0]), (5, ["Nobody"], None)]
     q = spark.createDataFrame(asked, "question_id long, names array<string>, embedding array<double>")
     want = sorted((k, r["entity_id"], round(r["score"], 9)) for k, names, v in asked for r in R.find_entities(e, names or [], v).collect())
-    for rows_a_tile in (2, 100):
-        got = R.search_entities(e, q, rows_a_tile=rows_a_tile).collect()
+    for tile in (2, 100):
+        got = R.search_entities(e, q, tile=tile).collect()
         assert sorted((r["question_id"], r["entity_id"], round(r["score"], 9)) for r in got) == want
     assert R.search_entities(e, q.limit(0)).count() == R.search_entities(e.limit(0), q).count() == 0
 
