@@ -6,6 +6,8 @@ the source document, its type, and a date of birth derived from its size.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.operators import engine
@@ -18,6 +20,8 @@ from tessera.operators import vectors as V
 from tessera.operators.components import connected_components
 from tessera.functions import similarity as sim
 from tessera.functions import text as tx
+from tessera.storage import shared_dir
+from tessera.streaming import resolution
 
 from .claims import read
 
@@ -388,7 +392,16 @@ def ranked_entities(spark, sf_dir):
     return R.ranked_entities(R.search_entities(entities(spark, sf_dir), _asked(spark, sf_dir), 0.3), by=["question_id"]).select("question_id", "entity_id", "position")
 
 
-QUERIES = {f.__name__: f for f in (cosine_pairs, name_exact_score, resolve_pairs, fuzzy_pairs, fuzzy_scores, same_as_components, bfs_expand_3, pagerank_k, conflicts, conflict_rollup, conflict_totals, traversable_links, household_groups, household_totals, household_edges, dual_compare, subgraph_nodes, incident_edges, known_end_edges, rejected_edges, graph_stats, neighbourhood_report, node_styles, edge_styles, first_mentions, edge_upsert, temporal_current, temporal_asof, most_recent_value, find_entities, vector_recall, nearest_vectors, source_documents, provenance_explode, verify_fact, facts_by_source, routed_facts, smart_query_rank, smart_query_matches, smart_query_type, semantic_chunks, entity_listing, public_attributes, person_lookup, person_exists, field_entities, remote_results, entity_union, disambiguation_options, open_ended_summary, best_person, reply_entities, query_engine, query_conflicts, ranked_entities)}
+def incremental_components(spark, sf_dir):
+    """Components of the exact links when the entities come in three batches."""
+    root = f"{shared_dir(spark).rstrip('/')}/tessera/resolution-{uuid.uuid4().hex}"
+    e = entities(spark, sf_dir).withColumn("address", F.lit(None).cast("string")).withColumn("attributes", F.create_map(F.lit("dob"), F.col("dob").cast("string")))
+    for batch, part in enumerate((2, 0, 1)):
+        resolution.apply(spark, root, e.filter(F.col("entity_id") % 3 == part), batch, resolution.Thresholds(border_at=0.5))
+    return resolution.State(spark, root).table("components").select("node", "component")
+
+
+QUERIES = {f.__name__: f for f in (cosine_pairs, name_exact_score, resolve_pairs, fuzzy_pairs, fuzzy_scores, same_as_components, bfs_expand_3, pagerank_k, conflicts, conflict_rollup, conflict_totals, traversable_links, household_groups, household_totals, household_edges, dual_compare, subgraph_nodes, incident_edges, known_end_edges, rejected_edges, graph_stats, neighbourhood_report, node_styles, edge_styles, first_mentions, edge_upsert, temporal_current, temporal_asof, most_recent_value, find_entities, vector_recall, nearest_vectors, source_documents, provenance_explode, verify_fact, facts_by_source, routed_facts, smart_query_rank, smart_query_matches, smart_query_type, semantic_chunks, entity_listing, public_attributes, person_lookup, person_exists, field_entities, remote_results, entity_union, disambiguation_options, open_ended_summary, best_person, reply_entities, query_engine, query_conflicts, ranked_entities, incremental_components)}
 
 _COS = "list_cosine_similarity(CAST({a}.embedding AS DOUBLE[]), CAST({b}.embedding AS DOUBLE[]))"
 PAIRS = f"np AS (SELECT a.vec_id AS a, b.vec_id AS b, {_COS.format(a='a', b='b')} AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {_COS.format(a='a', b='b')} >= 0.30)"
@@ -533,5 +546,7 @@ ORACLES = {
       SELECT question_id, doc_id, CAST(position AS INT) AS position, round(score, 6)::DOUBLE AS score FROM k WHERE used <= 200 OR position = 1""",
     "query_conflicts": f"""WITH RECURSIVE {PAIRS}, {BOTH}, {ENT}, {ASKED}, {REACHED}, {ATT}, {CONF}, t AS (SELECT question_id, a, b FROM fd JOIN np ON id = a UNION SELECT question_id, a, b FROM fd JOIN np ON id = b)
       SELECT question_id, attribute_key, count(*) AS conflicts, count(DISTINCT (id_a, id_b)) AS pairs FROM t JOIN cf ON id_a = a AND id_b = b GROUP BY question_id, attribute_key""",
+    "incremental_components": f"""WITH RECURSIVE {ENT}, x AS (SELECT a.entity_id AS a, b.entity_id AS b FROM en a JOIN en b ON a.entity_id < b.entity_id AND a.source_doc_id <> b.source_doc_id AND lower(a.name) = lower(b.name) AND abs(date_diff('day', a.dob, b.dob)) <= 3 WHERE 0.4 + 0.6 * greatest(0, least(1, {_COS.format(a='a', b='b')})) >= 0.5),
+      w AS (SELECT a, b FROM x UNION ALL SELECT b, a FROM x), r(node, reach) AS (SELECT DISTINCT a, a FROM w UNION SELECT r.node, w.b FROM r JOIN w ON r.reach = w.a) SELECT node, min(reach) AS component FROM r GROUP BY node""",
     "ranked_entities": f"WITH {ENT}, {ASKED} SELECT question_id, entity_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, entity_id) AS INT) AS position FROM fo WHERE score >= 0.3",
 }

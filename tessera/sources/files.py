@@ -100,7 +100,7 @@ def listing(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("txt",
 
 def landing_stream(spark: SparkSession, path: str, suffix: str = "txt") -> DataFrame:
     """A stream of the text files that arrive in a folder, as documents."""
-    stream = spark.readStream.option("wholetext", True).option("pathGlobFilter", f"*.{suffix}").text(path)
+    stream = spark.readStream.option("pathGlobFilter", f"*.{suffix}").text(path, wholetext=True)
     return as_documents(stream.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
 
