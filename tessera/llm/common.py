@@ -117,14 +117,17 @@ def spread(df: DataFrame, columns: list[str], parts: int) -> Column:
 def ranked(df: DataFrame, key: list[str], order: list[str], out: str, rows: int | None = None) -> DataFrame:
     """Add ``out``: a gapless rank from 0 of each row among those with equal ``key``.
 
-    A key may hold any share of the rows: each is split by a hash of ``order``
-    into as many groups as ``RUN`` goes into all ``rows`` (counted if not given),
-    which are ranked apart and then shifted by the sizes of the groups before
-    them. ``order`` must tell unequal rows apart.
+    A key may hold any share of the rows: each is split by a hash of ``order`` and
+    of the input partition, so that many equal rows are split as well, into as many
+    groups as ``RUN`` goes into all ``rows`` (counted if not given), which are ranked
+    apart and then shifted by the sizes of the groups before them. ``order`` must
+    tell unequal rows apart.
     """
     rows = df.count() if rows is None else rows
     sub, n, before = (fresh(df, c) for c in ("__sub", "__n", "__before"))
-    salted = df.withColumn(sub, spread(df, order, max(1, -(-rows // RUN))))
+    many = F.lit(max(1, -(-rows // RUN)))
+    # written, so that each row's group is the same wherever it is read
+    salted = materialize(df.withColumn(sub, F.pmod(F.xxhash64(*[F.col(c) for c in order], F.spark_partition_id()), many).cast("int")), "ranked")
     counts = salted.groupBy(*key, sub).agg(F.count(F.lit(1)).alias(n))
     w = Window.partitionBy(*key).orderBy(sub).rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.withColumn(before, F.coalesce(F.sum(n).over(w), F.lit(0))).drop(n)
