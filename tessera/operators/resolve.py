@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions import similarity as sim
 from tessera.functions import text as tx
@@ -229,10 +228,20 @@ def problem_text() -> Column:
 
 
 def resident_rows(entities: DataFrame) -> DataFrame:
-    """entity_id, name, address, norm, ord: the first row of each name at each address that is long enough."""
+    """entity_id, name, address, norm: the first row of each name at each address that is long enough. Reduced before its shuffle."""
     rows = entities.withColumn("norm", tx.normalize_address(F.col("address"))).filter(F.length("norm") >= LEAST_ADDRESS)
-    w = Window.partitionBy("norm", F.lower("name")).orderBy("entity_id")
-    return rows.withColumn("n", F.row_number().over(w)).filter("n = 1").select("entity_id", "name", "address", "norm")
+    first = rows.groupBy("norm", F.lower("name").alias("__name")).agg(F.min(F.struct("entity_id", "name", "address")).alias("r"))
+    return first.select("r.entity_id", "r.name", "r.address", "norm")
+
+
+def household_members(entities: DataFrame) -> DataFrame:
+    """norm, entity_id, representative (the household's smallest entity), links: how many ``lives_with`` pairs a member has.
+
+    One row a member: what the pairs say, without as many rows as pairs. Those who live alone are in no household.
+    """
+    rows = resident_rows(entities).select("norm", "entity_id")
+    groups = rows.groupBy("norm").agg(F.min("entity_id").alias("representative"), (F.count(F.lit(1)) - 1).alias("links")).filter("links > 0")
+    return rows.join(groups, "norm").select("norm", "entity_id", "representative", "links")
 
 
 def households(entities: DataFrame, min_members: int = 2) -> DataFrame:
@@ -241,10 +250,14 @@ def households(entities: DataFrame, min_members: int = 2) -> DataFrame:
     return groups.filter(F.col("member_count") >= min_members)
 
 
-def lives_with(entities: DataFrame, existing: DataFrame) -> DataFrame:
-    """Pairs a < b that share a household and have no edge (a, b) yet."""
+def lives_with(entities: DataFrame, existing: DataFrame, tile: int = candidates.TILE) -> DataFrame:
+    """Pairs a < b that share a household and have no edge (a, b) yet. An address with many rows is cut into tiles.
+
+    All pairs are the result here; ``household_members`` tells the same by member.
+    """
     rows = resident_rows(entities).select("norm", "entity_id")
-    pairs = rows.select("norm", F.col("entity_id").alias("a")).join(rows.select("norm", F.col("entity_id").alias("b")), "norm").filter("a < b")
+    x, y, keys = candidates.tiled(rows.withColumnRenamed("entity_id", "a"), rows.withColumnRenamed("entity_id", "b"), ["norm"], tile)
+    pairs = x.join(y, keys).filter("a < b").select("norm", "a", "b")
     known = existing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs.join(known, ["a", "b"], "left_anti").select("a", "b", F.col("norm").alias("address_normalized"), F.lit(LIVES_WITH_CONFIDENCE).alias("confidence"))
 

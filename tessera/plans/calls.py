@@ -42,6 +42,16 @@ def call_routing(spark, sf_dir):
     return V.routed(turns, reports).select("call_id", "turn", "intent", "answer")
 
 
+def call_enrichment(spark, sf_dir):
+    """Turns with the claims, payers and conflicts of their callers, some of whom each table doesn't know."""
+    turns = _turns(spark, sf_dir).withColumn("person", F.col("call_id") % 12)
+    o, c, n = (read(spark, sf_dir, t) for t in ("orders", "customer", "supplier"))
+    claims = o.select((F.col("o_custkey") % 12).alias("person"), F.concat_ws(" ", "o_orderstatus", "o_orderpriority").alias("claim")).filter("person < 10")
+    payers = c.select((F.col("c_custkey") % 12).alias("person"), F.col("c_mktsegment").alias("payer")).filter("person > 3")
+    conflicts = n.select((F.col("s_nationkey") % 12).alias("person"), F.lit("name").alias("attribute_key")).filter("person % 2 = 0")
+    return V.enriched(turns, claims, payers, conflicts).select("call_id", "turn", "claim", "payer", "n_conflicts", "known")
+
+
 def menu_responses(spark, sf_dir):
     c = _turns(spark, sf_dir)
     return c.select("call_id", "turn", rules.menu_response((F.col("turn") % 5).cast("string")).alias("response"))
@@ -63,7 +73,7 @@ def event_sessions(spark, sf_dir):
     return T.sessions(e, "ts", "user_id", 3600).select("user_id", F.col("session").cast("long").alias("session"), "first", "last", "n")
 
 
-QUERIES = {f.__name__: f for f in (intent_classify, call_state_machine, call_phases, call_routing, menu_responses, answer_status, event_windows, event_sessions)}
+QUERIES = {f.__name__: f for f in (intent_classify, call_state_machine, call_phases, call_routing, call_enrichment, menu_responses, answer_status, event_windows, event_sessions)}
 
 TURNS = "t AS (SELECT conv_id AS call_id, turn, text FROM conversations WHERE role = 'user')"
 CLAIMS = "t AS (SELECT conv_id AS call_id, turn, text || CASE WHEN conv_id % 3 = 0 AND turn >= 2 THEN ' Why was my claim denied?' ELSE '' END AS text FROM conversations WHERE role = 'user')"
@@ -79,6 +89,10 @@ ORACLES = {
     "call_state_machine": f"WITH {TURNS}, {FOLD} SELECT call_id, turn, CASE WHEN turn >= e THEN 'end_call' WHEN turn >= v THEN 'answering' ELSE 'verify_identity' END AS state, coalesce(turn >= e, false) AS end_call, {_EVENT} AS event FROM m",
     "call_phases": f"WITH {CLAIMS}, {FOLD}, p AS (SELECT unnest(range(0, 6)) AS second) SELECT call_id, CAST(second AS INT) AS second, 'phase_' || (second // 2 + 1) || CASE WHEN second % 2 = 0 THEN '_start' ELSE '_done' END AS event, intent FROM m, p WHERE turn = e AND NOT bye",
     "call_routing": f"WITH {TURNS}, x AS (SELECT *, {_INTENT} AS intent FROM t) SELECT call_id, turn, intent, CASE WHEN intent = 'pre_procedure' AND call_id % 10 < 5 THEN 'report ' || (call_id % 10) WHEN intent = 'pre_procedure' THEN 'I couldn''t find preparation instructions.' WHEN intent = 'bill_explain' THEN 'I couldn''t retrieve your billing details.' ELSE 'I don''t have that information.' END AS answer FROM x",
+    "call_enrichment": f"""WITH {TURNS}, a AS (SELECT o_custkey % 12 AS person, min(o_orderstatus || ' ' || o_orderpriority) AS claim FROM orders WHERE o_custkey % 12 < 10 GROUP BY 1), b AS (SELECT c_custkey % 12 AS person, min(c_mktsegment) AS payer FROM customer WHERE c_custkey % 12 > 3 GROUP BY 1),
+      c AS (SELECT s_nationkey % 12 AS person, count(*) AS n FROM supplier WHERE s_nationkey % 12 % 2 = 0 GROUP BY 1)
+      SELECT call_id, turn, coalesce(claim, 'no claims on file') AS claim, coalesce(payer, 'no insurance on file') AS payer, coalesce(n, 0) AS n_conflicts, CAST((claim IS NOT NULL)::INT + (payer IS NOT NULL)::INT + (n IS NOT NULL)::INT AS INT) AS known
+      FROM t LEFT JOIN a ON a.person = call_id % 12 LEFT JOIN b ON b.person = call_id % 12 LEFT JOIN c ON c.person = call_id % 12""",
     "menu_responses": f"WITH {TURNS} SELECT call_id, turn, CASE turn % 5 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in rules.MENU.items()) + f" ELSE '{rules.MENU_DEFAULT}' END AS response FROM t",
     "answer_status": f"WITH {TURNS} SELECT call_id, turn, CASE turn % 3 WHEN 0 THEN 'PENDING_P2P' WHEN 1 THEN 'PAID' ELSE 'default' END AS status, CASE WHEN turn % 2 = 0 THEN 'PASSPORT' ELSE 'INSURANCE' END AS label FROM t",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, CAST(sum(floor(value * 100)) AS BIGINT) AS total FROM events GROUP BY 1, 2",

@@ -65,7 +65,7 @@ def regex_fields(spark, sf_dir):
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     day = F.lpad((F.col("c_custkey") % 28 + 1).cast("string"), 2, "0")
     text = F.concat(
-        F.lit("ARIZONA DRIVER LICENSE\nCLASS "), F.substring(F.lit("ABCD"), (F.col("c_custkey") % 4 + 1).cast("int"), F.lit(1)), F.lit("\nDL U"), F.lpad(F.col("c_custkey").cast("string"), 8, "1"), F.lit("\n: KANAGARA\\\n2 LEE\nDOB 03/"), day, F.lit("/1992\nISS 04/"), day,
+        F.lit("ARIZONA DRIVER LICENSE\nCLASS "), F.substring(F.lit("ABCD"), (F.col("c_custkey") % 4 + 1).cast("int"), F.lit(1)), F.lit("\nDL U"), F.lpad(F.col("c_custkey").cast("string"), 8, "1"), F.lit("\n: MORVANTA\\\n2 LEE\nDOB 03/"), day, F.lit("/1992\nISS 04/"), day,
         F.lit("/2019 EXP 05/"), day, F.lit("/2027\nSEX M HGT 509 WGT 160 BRN\nMain Street, AZ 85281\n"),
     )
     fields = rules.extract_fields(F.col("text"))
@@ -159,7 +159,7 @@ ORACLES = {
     "context_render": f"WITH {_PACK} SELECT source, string_agg('Document ' || position || ' (' || doc_id || '.txt):' || chr(10) || text, chr(10) || chr(10) ORDER BY position) AS context FROM r WHERE used <= 3686 OR position = 1 GROUP BY source",
     "doc_type_detect": f"SELECT doc_id, {_case(rules.DOC_TYPE_KEYWORDS, 'lower(text)', _HINTED)} AS doc_type FROM documents",
     "doc_type_histogram": f"WITH x AS (SELECT p_type, string_split(lower(p_name), ' ') AS x FROM part) SELECT p_type, count(*) AS documents, count(DISTINCT {_CANON}) AS people FROM x GROUP BY p_type",
-    "regex_fields": f"""SELECT c_custkey, 'U' || lpad(CAST(c_custkey AS VARCHAR), 8, '1') AS license_number, '03/' || {_DAY} || '/1992' AS dob, '04/' || {_DAY} || '/2019' AS issue_date, '05/' || {_DAY} || '/2027' AS expiry_date, 'Lee Kanagaraj' AS name,
+    "regex_fields": f"""SELECT c_custkey, 'U' || lpad(CAST(c_custkey AS VARCHAR), 8, '1') AS license_number, '03/' || {_DAY} || '/1992' AS dob, '04/' || {_DAY} || '/2019' AS issue_date, '05/' || {_DAY} || '/2027' AS expiry_date, 'Lee Morvantaj' AS name,
       substr('ABCD', CAST(c_custkey % 4 + 1 AS INT), 1) AS class, 'AZ' AS state, '5''09"' AS height, '160 lbs' AS weight, 'Brown' AS eye_color, 'Male' AS sex, 'BRN Main Street, AZ 85281' AS address FROM customer""",
     "canonical_names": f"WITH x AS (SELECT p_partkey, string_split(lower(p_name || ' ' || p_brand), ' ') AS x, string_split(lower(p_name), ' ') AS y FROM part) SELECT p_partkey, {_CANON} AS canonical, {_CANON.replace('x', 'y')} AS short FROM x",
     "address_normalize": f"SELECT c_custkey, {_address_sql()} AS address FROM customer",

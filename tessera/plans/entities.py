@@ -148,6 +148,10 @@ def household_edges(spark, sf_dir):
     return M.lives_with(residents(spark, sf_dir), known)
 
 
+def household_members(spark, sf_dir):
+    return M.household_members(residents(spark, sf_dir))
+
+
 def dual_compare(spark, sf_dir):
     """Two sources about each part: its name in another case, and its brand of another part."""
     p = read(spark, sf_dir, "part").withColumn("src", F.lit("x"))
@@ -401,7 +405,7 @@ def incremental_components(spark, sf_dir):
     return resolution.State(spark, root).table("components").select("node", "component")
 
 
-QUERIES = {f.__name__: f for f in (cosine_pairs, name_exact_score, resolve_pairs, fuzzy_pairs, fuzzy_scores, same_as_components, bfs_expand_3, pagerank_k, conflicts, conflict_rollup, conflict_totals, traversable_links, household_groups, household_totals, household_edges, dual_compare, subgraph_nodes, incident_edges, known_end_edges, rejected_edges, graph_stats, neighbourhood_report, node_styles, edge_styles, first_mentions, edge_upsert, temporal_current, temporal_asof, most_recent_value, find_entities, vector_recall, nearest_vectors, source_documents, provenance_explode, verify_fact, facts_by_source, routed_facts, smart_query_rank, smart_query_matches, smart_query_type, semantic_chunks, entity_listing, public_attributes, person_lookup, person_exists, field_entities, remote_results, entity_union, disambiguation_options, open_ended_summary, best_person, reply_entities, query_engine, query_conflicts, ranked_entities, incremental_components)}
+QUERIES = {f.__name__: f for f in (cosine_pairs, name_exact_score, resolve_pairs, fuzzy_pairs, fuzzy_scores, same_as_components, bfs_expand_3, pagerank_k, conflicts, conflict_rollup, conflict_totals, traversable_links, household_groups, household_totals, household_edges, household_members, dual_compare, subgraph_nodes, incident_edges, known_end_edges, rejected_edges, graph_stats, neighbourhood_report, node_styles, edge_styles, first_mentions, edge_upsert, temporal_current, temporal_asof, most_recent_value, find_entities, vector_recall, nearest_vectors, source_documents, provenance_explode, verify_fact, facts_by_source, routed_facts, smart_query_rank, smart_query_matches, smart_query_type, semantic_chunks, entity_listing, public_attributes, person_lookup, person_exists, field_entities, remote_results, entity_union, disambiguation_options, open_ended_summary, best_person, reply_entities, query_engine, query_conflicts, ranked_entities, incremental_components)}
 
 _COS = "list_cosine_similarity(CAST({a}.embedding AS DOUBLE[]), CAST({b}.embedding AS DOUBLE[]))"
 PAIRS = f"np AS (SELECT a.vec_id AS a, b.vec_id AS b, {_COS.format(a='a', b='b')} AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {_COS.format(a='a', b='b')} >= 0.30)"
@@ -494,6 +498,7 @@ ORACLES = {
     "household_groups": f"WITH {RES} SELECT norm, min_by(address, entity_id) AS address, count(*) AS member_count FROM rd WHERE length(norm) >= 10 GROUP BY norm HAVING count(*) >= 2",
     "household_totals": f"WITH {RES}, h AS (SELECT norm, count(*) AS m FROM rd GROUP BY norm HAVING count(*) >= 2) SELECT count(*) AS households, CAST(sum(m) AS BIGINT) AS members FROM h",
     "household_edges": f"WITH {RES} SELECT x.entity_id AS a, y.entity_id AS b, x.norm AS address_normalized, 0.95::DOUBLE AS confidence FROM rd x JOIN rd y ON x.norm = y.norm AND x.entity_id < y.entity_id WHERE NOT (x.entity_id % 5 = 0 AND y.entity_id = x.entity_id + 1)",
+    "household_members": f"WITH {RES}, h AS (SELECT norm, min(entity_id) AS representative, count(*) - 1 AS links FROM rd WHERE length(norm) >= 10 GROUP BY norm HAVING count(*) > 1) SELECT norm, entity_id, representative, links FROM rd JOIN h USING (norm)",
     "dual_compare": "SELECT p_partkey AS entity_id, CAST(1 + CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS agreements, CAST(CASE WHEN p_size % 2 = 0 THEN 0 ELSE 1 END AS BIGINT) AS conflicts FROM part",
     "subgraph_nodes": f"{_W}, {BOTH} SELECT vec_id AS id FROM embeddings WHERE vec_id % 25 = 0 UNION SELECT b FROM bw WHERE a % 25 = 0",
     "incident_edges": f"{_W} SELECT a, b FROM np WHERE a % 25 = 0 OR b % 25 = 0",

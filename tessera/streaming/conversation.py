@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -166,6 +166,43 @@ def routed(turns: DataFrame, reports: DataFrame) -> DataFrame:
     return own.join(reports.select("person", "intent", F.col("answer").alias("known")), ["person", "intent"], "left").withColumn("answer", F.coalesce("known", fallback)).drop("known")
 
 
+#: What a turn is told of a side that doesn't know its person.
+NO_CLAIM, NO_PAYER = "no claims on file", "no insurance on file"
+
+
+def enriched(turns: DataFrame, claims: DataFrame, payers: DataFrame, conflicts: DataFrame, watermark: str | None = None, time: str = "ts") -> DataFrame:
+    """Turns, of a stream or a table, with what three tables know of their person: claim, payer, n_conflicts, known (how many sides).
+
+    ``claims``: person, claim; ``payers``: person, payer; ``conflicts``: person, attribute_key. All are reduced to a row a person
+    first, so a turn stays one row: of several claims or payers the smallest. A side without the person, and a turn
+    without a person, gives the fallback and 0. In a stream with a watermark turns that come again within it are dropped, and
+    later ones than that are as well; a table keeps all but repeated ones.
+    """
+    if watermark and turns.isStreaming:
+        turns = turns.withWatermark(time, watermark).dropDuplicatesWithinWatermark(["call_id", "turn"])
+    elif watermark:
+        turns = turns.dropDuplicates(["call_id", "turn"])
+    claim = claims.groupBy("person").agg(F.min("claim").alias("__claim"))
+    payer = payers.groupBy("person").agg(F.min("payer").alias("__payer"))
+    told = conflicts.groupBy("person").agg(F.count(F.lit(1)).alias("__n"))
+    out = turns.join(claim, "person", "left").join(payer, "person", "left").join(told, "person", "left")
+    known = sum(F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in ("__claim", "__payer", "__n"))
+    out = out.withColumns({"claim": F.coalesce("__claim", F.lit(NO_CLAIM)), "payer": F.coalesce("__payer", F.lit(NO_PAYER)), "n_conflicts": F.coalesce("__n", F.lit(0)), "known": known})
+    return out.drop("__claim", "__payer", "__n")
+
+
+def follow_enriched(turns: DataFrame, tables: Callable[[], tuple[DataFrame, DataFrame, DataFrame]], path: str, checkpoint: str):
+    """A query that writes enriched turns to ``path``, one part a batch, and ends when all turns are taken.
+
+    ``tables`` is asked again for each batch, so a side that is late is known from the next batch on. A batch that comes
+    again is written over.
+    """
+    def step(df: DataFrame, batch: int) -> None:
+        enriched(df, *tables()).write.mode("overwrite").parquet(f"{path}/batch-{batch}")
+
+    return turns.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def reply_xml(reply: str = "reply") -> Column:
     """What a telephone would be told to say."""
     return F.concat(F.lit("<Response><Say>"), tx.xml_escape(F.col(reply)), F.lit("</Say></Response>"))

@@ -91,7 +91,7 @@ def test_open_ended_by_whole_words(spark):
 
 
 def test_fields_of_a_passport(spark):
-    text = "REPUBLIC\n} ss KANAGARA\\\n»  LEEWARD om\nP<INDKANAGARAJ<<LEEWARD<<<<\nWO462878<71ND0301039M3207110\n"
+    text = "REPUBLIC\n} ss MORVANTA\\\n»  TESSAMO om\nP<INDMORVANTAJ<<TESSAMO<<<<\nWO462878<71ND0301039M3207110\n"
     fields = rules.extract_fields(F.col("a"))
     row = spark.createDataFrame([(text,)], "a string").select(*[c.alias(k) for k, c in fields.items()]).first()
     assert (row["nationality"], row["passport_number"], row["dob"], row["expiry_date"]) == ("Indian", "WO462878", "01/03/2003", "07/11/2032")
