@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import rules
 from tessera.functions import text as tx
+from tessera.operators import align as A
 from tessera.operators import retrieve as R
 
 from .claims import _case, read
@@ -125,7 +126,26 @@ def group_texts(spark, sf_dir):
     return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.length("text")).alias("chars"), F.count_distinct("text").alias("distinct_texts"))
 
 
-QUERIES = {f.__name__: f for f in (lines_offsets, line_invariant, numbered_lines, word_tokens, token_budget_pack, token_budget_pack_all, context_render, doc_type_detect, doc_type_histogram, regex_fields, canonical_names, address_normalize, value_normalize, date_functions, string_functions, json_extract, line_search, new_files_antijoin, group_texts)}
+def aligned_values(spark, sf_dir):
+    """Some of each document's own words in another case, its end, and a value that it lacks, with their places in the text."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    words = tx.words(F.col("text"))
+    told = F.create_map(F.lit("twentieth"), F.lower(F.try_element_at(words, F.lit(20))), F.lit("last"), F.try_element_at(words, F.lit(-1)), F.lit("lacks"), F.lit("no such value"))
+    values = d.select("doc_id", F.explode(told).alias("key", "value"))
+    return A.align(values, d).select("doc_id", "key", "line", "paragraph", "start", "end", "source_line")
+
+
+def aligned_facts(spark, sf_dir):
+    """Facts of entities whose documents are rendered from parts: a line for each brand's sizes and types."""
+    p = read(spark, sf_dir, "part")
+    line = F.concat_ws(" ", "p_name", F.lit("of size"), F.concat(F.lit("No."), F.col("p_size").cast("string"), F.lit(",")), "p_type")
+    docs = p.select((F.col("p_partkey") % 50).alias("doc_id"), "p_partkey", line.alias("line")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "line"))), lambda s: s["line"]), "\n\n").alias("text"))
+    made = F.create_map(F.lit("size"), F.concat(F.lit("no."), F.col("p_size").cast("string"), F.lit(",")), F.lit("type"), F.upper("p_type"), F.lit("_private"), F.lit("x"), F.lit("blank"), F.lit(" "))
+    e = p.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), (F.col("p_partkey") % 50).alias("source_doc_id"), made.alias("attributes"))
+    return A.aligned_facts(e, docs).select("entity_id", "key", "fact", "line", "paragraph", "start", "end", "source_line")
+
+
+QUERIES = {f.__name__: f for f in (lines_offsets, line_invariant, numbered_lines, word_tokens, token_budget_pack, token_budget_pack_all, context_render, doc_type_detect, doc_type_histogram, regex_fields, canonical_names, address_normalize, value_normalize, date_functions, string_functions, json_extract, line_search, new_files_antijoin, group_texts, aligned_values, aligned_facts)}
 
 # In DuckDB, white space as Java's \s has it.
 _WS = "[ \\t\\n\\x0B\\f\\r]+"
@@ -149,6 +169,11 @@ def _address_sql() -> str:
 
 _HINTED = r"CASE WHEN regexp_matches(text, '\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b') AND (regexp_matches(text, '\b(AZ|CA|NY|TX|FL|BC|ON|AB|QC)\b') OR regexp_matches(lower(text), 'dob|birth|born|poe|poc')) THEN 'DRIVERS_LICENSE' ELSE 'GENERIC' END"
 
+#: Of rows v (.., value, text) the first place of the value and what follows from it.
+_PLACED = r"""x AS (SELECT *, CAST(nullif(strpos(lower(text), lower(value)), 0) - 1 AS INT) AS start FROM v),
+  y AS (SELECT *, left(text, start + 1) AS head, CAST(start + length(value) AS INT) AS "end" FROM x),
+  z AS (SELECT *, CAST(len(string_split(head, chr(10))) AS INT) AS line, CAST(len(list_filter(string_split(head, chr(10) || chr(10)), lambda q: regexp_matches(q, '\S'))) AS INT) AS paragraph FROM y)"""
+
 ORACLES = {
     "lines_offsets": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) SELECT doc_id, CAST(n AS INT) AS line_number, line, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS line_offset FROM l",
     "line_invariant": "WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM l) SELECT count(DISTINCT doc_id) FILTER (substr(text, CAST(begins + 1 AS BIGINT), length(line)) <> line) AS violations, count(DISTINCT doc_id) AS documents FROM o",
@@ -172,4 +197,10 @@ ORACLES = {
     "line_search": "WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), y AS (SELECT doc_id, ls, list_position(list_transform(ls, lambda l: contains(lower(l), 'the')), true) AS n FROM x) SELECT doc_id, CASE WHEN n > 0 THEN CAST(n AS INT) END AS line_number, CASE WHEN n > 0 THEN CAST(len(regexp_extract_all(array_to_string(ls[1:n-1], chr(10)) || chr(10), '\\n\\n+')) + 1 AS INT) END AS paragraph FROM y",
     "new_files_antijoin": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "group_texts": f"SELECT lang, count(*) AS texts, CAST(sum(length(text)) AS BIGINT) AS chars, count(DISTINCT text) AS distinct_texts FROM documents WHERE len({_WORDS}) > 0 GROUP BY lang",
+    "aligned_values": f"""WITH w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[ \\n\\t\\r\\x0B\\x0C]+'), lambda q: q <> '') AS ws FROM documents),
+      v AS (SELECT doc_id, text, 'twentieth' AS key, lower(ws[20]) AS value FROM w WHERE len(ws) >= 20 UNION ALL SELECT doc_id, text, 'last', ws[-1] FROM w WHERE len(ws) > 0 UNION ALL SELECT doc_id, text, 'lacks', 'no such value' FROM w), {_PLACED}
+      SELECT doc_id, key, line, CASE WHEN start IS NOT NULL THEN paragraph END AS paragraph, start, "end", string_split(text, chr(10))[line] AS source_line FROM z""",
+    "aligned_facts": f"""WITH d AS (SELECT p_partkey % 50 AS doc_id, string_agg(p_name || ' of size No.' || p_size || ', ' || p_type, chr(10) || chr(10) ORDER BY p_partkey) AS text FROM part GROUP BY 1),
+      v AS (SELECT p_partkey AS entity_id, key, value, p_name || ' ' || key || ': ' || value AS fact, text FROM (SELECT p_partkey, p_name, 'size' AS key, 'no.' || p_size || ',' AS value FROM part UNION ALL SELECT p_partkey, p_name, 'type', upper(p_type) FROM part) JOIN d ON doc_id = p_partkey % 50), {_PLACED}
+      SELECT entity_id, key, fact, line, paragraph, start, "end", string_split(text, chr(10))[line] AS source_line FROM z""",
 }
