@@ -120,6 +120,7 @@ def positions(rows: DataFrame, order: list[Column], by: list[str] | None = None,
     many equal scores are one task. With ``most`` ranges that begin beyond that sum are left out. ``rows`` should be narrow.
     """
     by = by or []
+    rows = materialize(rows, "to-rank")  # ranges are found on a sample, which reads them once more
     ranged = rows.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("__part", F.spark_partition_id())
     ranged = materialize(ranged, "ranges")
     own = F.sum(F.col(weight).cast("double")) if weight else F.lit(0.0)
