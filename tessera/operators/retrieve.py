@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from tessera.functions import rules
 from tessera.functions import similarity as sim
 from tessera.functions import text as tx
-from tessera.storage import materialize
+from tessera.storage import materialize, shuffled
 
 from . import vectors
 from .candidates import tiled
@@ -97,7 +97,7 @@ def search_entities(entities: DataFrame, questions: DataFrame, threshold: float
     matches = materialize(name_matches(asked, own), "name-matches")
     who = asked.join(matches, ["raw", "bare"]).groupBy("question_id", "name").agg(F.max("named").alias("named"), F.bool_or("held").alias("held"))
     x, y, keys = tiled(who, own, ["name"], tile)
-    pairs = materialize(x.join(y, keys).select("question_id", "entity_id", "named", "held"), "named-pairs")
+    pairs = shuffled(materialize(x.join(y, keys).select("question_id", "entity_id", "named", "held"), "named-pairs"))
     norm = lambda d, key, s: d.select(key, F.col("embedding").alias(f"embedding_{s}"), sim.norm(F.col("embedding")).alias(f"norm_{s}"))
     met = pairs.join(norm(questions, "question_id", "q"), "question_id").join(norm(entities, "entity_id", "e"), "entity_id")
     score = 0.5 * F.col("named") + 0.5 * sim.cosine(F.col("embedding_q"), F.col("embedding_e"), F.col("norm_q"), F.col("norm_e"))
