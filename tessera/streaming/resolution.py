@@ -45,6 +45,7 @@ class Thresholds:
     fuzzy: bool = False
     heavy: int = resolve.HEAVY
     tile: int = candidates.TILE
+    least_name: float = resolve.LEAST_NAME
 
 
 class State:
@@ -83,7 +84,7 @@ def _new_links(known: DataFrame, new: DataFrame, t: Thresholds) -> DataFrame:
     if not t.fuzzy:  # names pair with those of their own surname
         names = names.join(fresh.select("type", "surname").distinct(), ["type", "surname"], "left_semi").select("type", "name", "surname")
     score = sim.fuzzy_name_score if t.fuzzy else sim.name_score
-    scored = candidates.name_pairs(names, score, resolve.LEAST_NAME, resolve.LEAST_SURNAME, t.fuzzy, t.tile)
+    scored = candidates.name_pairs(names, score, t.least_name, resolve.LEAST_SURNAME, t.fuzzy, t.tile)
     for s in "ab":
         scored = scored.join(fresh.select("type", F.col("name").alias(f"name_{s}"), F.lit(True).alias(f"new_{s}")), ["type", f"name_{s}"], "left")
     scored = scored.filter("new_a or new_b").select("type", "name_a", "name_b", "name_score")
