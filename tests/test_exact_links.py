@@ -31,3 +31,17 @@ def same_as_sql(spark, folder, name):
 
 def test_resolve_pairs(spark, folder):
     assert same_as_sql(spark, folder, "resolve_pairs") == 2
+
+
+def test_incremental_components(spark, folder):
+    assert same_as_sql(spark, folder, "incremental_components") == 4
+
+
+def test_after_ingest(spark, folder):
+    assert same_as_sql(spark, folder, "after_ingest") == 1
+
+
+def test_household_edges_are_not_shuffled(spark, folder):
+    assert same_as_sql(spark, folder, "household_edges") > 0
+    plan = catalogue.queries()["household_edges"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan
