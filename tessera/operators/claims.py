@@ -56,10 +56,15 @@ def worst_claims(claims: DataFrame, order: list[str], patient: str = "patient",
 
     An aggregate of the smallest row, so that rows are reduced before the shuffle.
     """
+    row = [c for c in claims.columns if c != patient]
+    return claims.groupBy(patient).agg(worst_claim(row, order, newest).alias("top")).select(patient, "top.*")
+
+
+def worst_claim(columns: list[str], order: list[str], newest: bool = False) -> Column:
+    """``worst_claims`` as an aggregate: a struct of the worst claim's ``columns``."""
     date = -F.unix_date(F.col("date")) if newest else F.unix_date(F.col("date"))
     key = F.struct(priority(F.col("status")).alias("p"), date.alias("d"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
-    row = F.struct(*[F.col(c) for c in claims.columns if c != patient])
-    return claims.groupBy(patient).agg(F.min_by(row, key).alias("top")).select(patient, "top.*")
+    return F.min_by(F.struct(*[F.col(c) for c in columns]), key)
 
 
 def latest(rows: DataFrame, key: str, order: list[Column], n: int = 1, rank: str = "rank") -> DataFrame:
