@@ -83,8 +83,8 @@ def expand(seeds: DataFrame, links: DataFrame, max_hops: int, least: float = LEA
 def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, every: int = 5, tolerance: float | None = 1e-6) -> DataFrame:
     """(id, rank) over undirected edges; ranks sum to 1. Nodes without edges share their rank with all.
 
-    The links are dealt by source once and kept that way, from a written table, so a round shuffles only what is
-    sent along them. Nodes without edges all have one rank, a number that is carried along. Every few rounds the
+    The links are written once, each one way, dealt by source and kept that way, so a round shuffles only what is
+    sent along them; degrees go with the ranks, so the links are never joined for them. Nodes without edges all have one rank, a number that is carried along. Every few rounds the
     ranks are written out, which is also when convergence is looked at.
     """
     spark = nodes.sparkSession
@@ -92,15 +92,14 @@ def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
     n = ids.count()
     if not n:
         return ids.withColumn("rank", F.lit(0.0))
-    links = both_ways(edges.select("a", "b"))
-    degree = links.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
-    links = materialize(links.join(degree, "a"), "rank-links")
+    links = both_ways(materialize(edges.select("a", "b"), "rank-links"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = links.repartition(parts, "a").persist()
-    linked = materialize(ids.join(links.select(F.col("a").alias("id")), "id", "left_semi"), "rank-linked")
+    degree = links.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    linked = materialize(ids.join(degree, "id"), "rank-linked")
     lonely = n - linked.count()
     alone = 1.0 / n  # the rank of each node without edges
-    rank = linked.withColumn("rank", F.lit(alone))
+    rank = linked.select("id", "degree", F.lit(alone).alias("rank"))
     last = rank
     for i in range(1, rounds + 1):
         base = (1 - damping + damping * lonely * alone) / n
@@ -108,16 +107,16 @@ def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
         sent = dealt.join(rank, dealt["a"] == rank["id"]).select(F.col("b").alias("id"), (F.col("rank") / F.col("degree")).alias("part"))
         got = sent.groupBy("id").agg(F.sum("part").alias("got"))
         # A node that has an edge to another is sent something in each round.
-        rank = linked.join(got, "id", "left").select("id", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        rank = linked.join(got, "id", "left").select("id", "degree", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
         if i % every == 0 or i == rounds:
             rank = materialize(rank, "rank")
             if tolerance is not None:
-                moved = rank.join(last.withColumnRenamed("rank", "old"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+                moved = rank.join(last.select("id", F.col("rank").alias("old")), "id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
                 if (moved or 0.0) < n * tolerance:
                     break
             last = rank
     dealt.unpersist()
-    return rank.unionByName(ids.join(linked, "id", "left_anti").withColumn("rank", F.lit(alone)))
+    return rank.select("id", "rank").unionByName(ids.join(linked, "id", "left_anti").withColumn("rank", F.lit(alone)))
 
 
 def normalized_rank(rank: DataFrame) -> DataFrame:
