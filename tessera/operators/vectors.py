@@ -36,6 +36,8 @@ SAMPLE, CELLS = 10_000, 1024
 ROUNDS, TOP, RECALL = 8, 10, 0.95
 #: Rows of a cell, and questions to it, in one tile.
 TILE = 2048
+#: Questions that are sent to cells at a time, and rows of one batch of what is sent.
+PIECE = 1024
 _SLACK = 1e-9
 
 
@@ -130,7 +132,7 @@ def _asked(index: Index, questions: DataFrame, least: float | None, probes: int
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         centroids, widest, usual = shared.value
-        for pdf in batches:
+        for pdf in (batch.iloc[i : i + PIECE] for batch in batches for i in range(0, len(batch), PIECE)):
             pdf = pdf.reset_index(drop=True)
             for n, at, units in _by_length(pdf["embedding"]):
                 if n not in widest:
@@ -147,7 +149,10 @@ def _asked(index: Index, questions: DataFrame, least: float | None, probes: int
                     np.put_along_axis(sent, order, True, 1)
                     sent &= known
                 i, cell = np.nonzero(sent)
-                yield pd.DataFrame({"question_id": pdf["question_id"].to_numpy()[at[i]], "length": n, "cell": cell, "embedding": pdf["embedding"].to_numpy()[at[i]]})
+                who, vectors = pdf["question_id"].to_numpy()[at], pdf["embedding"].to_numpy()[at]
+                for k in range(0, len(i), PIECE):  # a question is as many rows as it is sent to cells
+                    own = i[k : k + PIECE]
+                    yield pd.DataFrame({"question_id": who[own], "length": n, "cell": cell[k : k + PIECE], "embedding": vectors[own]})
 
     return questions.select(F.col("question_id").cast("string").alias("question_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInPandas(send, "question_id string, length long, cell long, embedding array<double>")
 
