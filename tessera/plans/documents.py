@@ -63,7 +63,8 @@ def doc_type_histogram(spark, sf_dir):
 
 def regex_fields(spark, sf_dir):
     """Fields of rendered identity cards, one for each customer."""
-    c = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    c = read(spark, sf_dir, "customer").select("c_custkey")
+    c = c.repartition(spark.sparkContext.defaultParallelism * 4, "c_custkey")  # a small file is one task, its patterns are much work
     day = F.lpad((F.col("c_custkey") % 28 + 1).cast("string"), 2, "0")
     text = F.concat(
         F.lit("ARIZONA DRIVER LICENSE\nCLASS "), F.substring(F.lit("ABCD"), (F.col("c_custkey") % 4 + 1).cast("int"), F.lit(1)), F.lit("\nDL U"), F.lpad(F.col("c_custkey").cast("string"), 8, "1"), F.lit("\n: MORVANTA\\\n2 LEE\nDOB 03/"), day, F.lit("/1992\nISS 04/"), day,
