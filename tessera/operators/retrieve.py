@@ -201,7 +201,8 @@ def person_scores(people: DataFrame, question: str, fuzzy: bool = False) -> Data
     each name has a row for each phrase, scored by ``similarity.fuzzy_query_score``, which finds misspelt names.
     """
     phrases = tx.phrase_candidates(F.lit(question))
-    names = people.select(tx.canonical_name(F.col("name")).alias("canon")).filter("canon <> ''").distinct()
+    own = people.select("name").distinct()  # a name that many bear is made canonical once
+    names = own.select(tx.canonical_name(F.col("name")).alias("canon")).filter("canon <> ''").distinct()
     pair = lambda p: F.contains(p, F.lit(" "))
     if fuzzy:
         rows = names.select("canon", F.explode_outer(phrases).alias("p"))
