@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.storage import materialize
+from tessera.storage import materialize, shuffled
 
 from . import graph, resolve, retrieve, vectors
 from .components import connected_components
@@ -47,8 +47,8 @@ def expand(seeds: DataFrame, links: DataFrame, max_hops: int, least: float = gra
     seen = materialize(seeds.select("question_id", "id").distinct().withColumn("depth", F.lit(0)), "frontier")
     frontier = seen
     for hop in range(1, max_hops + 1):
-        reached = frontier.join(step, frontier["id"] == step["a"]).select("question_id", F.col("b").alias("id")).distinct()
-        frontier = materialize(reached.join(seen, ["question_id", "id"], "left_anti").withColumn("depth", F.lit(hop)), "frontier")
+        reached = shuffled(frontier).join(step, frontier["id"] == step["a"]).select("question_id", F.col("b").alias("id")).distinct()
+        frontier = materialize(reached.join(shuffled(seen), ["question_id", "id"], "left_anti").withColumn("depth", F.lit(hop)), "frontier")
         if not frontier.limit(1).count():
             break
         seen = seen.unionByName(frontier)
@@ -61,7 +61,7 @@ def in_time(reached: DataFrame, entities: DataFrame, links: DataFrame, mode: str
     ``current`` keeps the latest entity of each component that the links make among what a question has reached; a date
     keeps entities up to it; any other mode keeps all.
     """
-    dated = reached.join(entities.select(F.col("entity_id").alias("id"), "date", "ord"), "id")
+    dated = shuffled(reached).join(entities.select(F.col("entity_id").alias("id"), "date", "ord"), "id")
     if mode == "current":
         ends = reached.select("question_id", "id")
         inside = links.select("a", "b").join(ends.withColumnRenamed("id", "a"), "a").join(ends.withColumnRenamed("id", "b"), ["question_id", "b"])
@@ -91,7 +91,7 @@ def query_all(entities: DataFrame, documents: DataFrame, links: DataFrame, centr
     question, it does not count there. What entities and conflicts are told of is worked out once, however many questions ask.
     """
     reached = expand(seeds_of(entities, questions, index), links, max_hops)
-    found = materialize(in_time(reached, entities, links, mode), "found")
+    found = shuffled(materialize(in_time(reached, entities, links, mode), "found"))
     whole = found.withColumnRenamed("id", "entity_id").join(entities, "entity_id")
     sources = whole.select("question_id", F.col("source_doc_id").alias("doc_id")).distinct()
     own = sources.join(documents, "doc_id").join(centrality.withColumnRenamed("id", "doc_id"), "doc_id", "left")
