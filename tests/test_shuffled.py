@@ -1,6 +1,9 @@
 """What grows with the input is joined by a shuffle, however small its files are."""
 
 from tessera.operators import candidates, retrieve
+from tessera.plans import entities
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def joins(df):
@@ -28,3 +31,11 @@ def test_search_does_not_broadcast_its_pairs(spark):
     found = retrieve.search_entities(e, asked, 0.3)
     assert all("SortMergeJoin" in j for j in joins(found) if "LeftAnti" in j)
     assert found.select("question_id", "entity_id").distinct().count() == found.count() > 0
+
+
+def test_ranked_entities_does_not_broadcast_what_is_found(spark, monkeypatch):
+    seen, write = {}, retrieve.materialize
+    monkeypatch.setattr(retrieve, "materialize", lambda df, name: write(seen.setdefault(name, df), name))
+    assert entities.ranked_entities(spark, SMALL).limit(1).count() == 1
+    left_out = [j for j in joins(seen["to-rank"]) if "LeftAnti" in j]
+    assert left_out and all("SortMergeJoin" in j for j in left_out)
