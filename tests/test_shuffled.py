@@ -39,3 +39,13 @@ def test_ranked_entities_does_not_broadcast_what_is_found(spark, monkeypatch):
     assert entities.ranked_entities(spark, SMALL).limit(1).count() == 1
     left_out = [j for j in joins(seen["to-rank"]) if "LeftAnti" in j]
     assert left_out and all("SortMergeJoin" in j for j in left_out)
+
+
+def final_joins(df):
+    df.collect()
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines() if "Join" in line]
+
+
+def test_source_documents_does_not_broadcast_the_entities(spark):
+    """The last join, which is first in the plan, is of what is found with all entities; adaptive execution may not make it a broadcast."""
+    assert "SortMergeJoin" in final_joins(entities.source_documents(spark, SMALL))[0]
