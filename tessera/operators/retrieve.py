@@ -57,7 +57,7 @@ def name_matches(asked: DataFrame, names: DataFrame) -> DataFrame:
 
     def rarest(d: DataFrame, c: str) -> DataFrame:
         spread = d.filter(F.length(c) > 0).select(*d.columns, F.explode(F.array_distinct(own(F.col(c)))).alias("piece"))
-        return spread.join(rarity, "piece").groupBy(*d.columns).agg(F.min_by("piece", F.struct("many", "piece")).alias("piece"))
+        return shuffled(spread).join(shuffled(rarity), "piece").groupBy(*d.columns).agg(F.min_by("piece", F.struct("many", "piece")).alias("piece"))
 
     def holders(d: DataFrame, c: str) -> DataFrame:
         return d.select(*d.columns, F.explode(every(F.col(c))).alias("piece"))
@@ -84,22 +84,25 @@ def search_entities(entities: DataFrame, questions: DataFrame, threshold: float
     ``questions``: question_id, names (array of strings), embedding; ``entities``: entity_id, name, embedding. Pairs come from two
     sides, and each is scored in full: names of which one holds the other, and vectors that reach the threshold alone. The
     latter come through an index of the entities' vectors (``vectors.near``, which is exact), so nothing is lost. Where the
-    names reach the threshold by themselves no pair is looked at that isn't a result.
+    names reach the threshold by themselves no pair is looked at that isn't a result. Both tables are written first: each is
+    read half a dozen times, and with what they come from in every plan the plans alone take much of the driver's memory.
     """
     if threshold <= 0:
         raise ValueError("every pair is a result at a threshold of 0")
+    entities = materialize(entities.select("entity_id", "name", "embedding"), "searched")
+    questions = materialize(questions.select("question_id", "names", "embedding"), "questions")
     vectors_of = entities.select(F.col("entity_id").alias("id"), "embedding")
     index = index or vectors.fit(vectors_of)
     alone = vectors.near(index, questions, min(1.0, 2 * threshold) - 1e-12, tile) if threshold <= 0.5 else None
 
     asked = questions.select("question_id", F.explode(F.transform("names", lambda n: F.struct(F.lower(n).alias("raw"), F.lower(tx.strip(n)).alias("bare")))).alias("n")).select("question_id", "n.raw", "n.bare")
     own = entities.select("entity_id", F.lower(tx.strip(F.col("name"))).alias("name"))
-    matches = materialize(name_matches(asked, own), "name-matches")
+    matches = shuffled(materialize(name_matches(asked, own), "name-matches"))
     who = asked.join(matches, ["raw", "bare"]).groupBy("question_id", "name").agg(F.max("named").alias("named"), F.bool_or("held").alias("held"))
     x, y, keys = tiled(who, own, ["name"], tile)
     pairs = shuffled(materialize(x.join(y, keys).select("question_id", "entity_id", "named", "held"), "named-pairs"))
     norm = lambda d, key, s: d.select(key, F.col("embedding").alias(f"embedding_{s}"), sim.norm(F.col("embedding")).alias(f"norm_{s}"))
-    met = pairs.join(norm(questions, "question_id", "q"), "question_id").join(norm(entities, "entity_id", "e"), "entity_id")
+    met = pairs.join(norm(questions, "question_id", "q"), "question_id").join(shuffled(norm(entities, "entity_id", "e")), "entity_id")
     score = 0.5 * F.col("named") + 0.5 * sim.cosine(F.col("embedding_q"), F.col("embedding_e"), F.col("norm_q"), F.col("norm_e"))
     by_name = met.withColumn("score", F.when(F.col("held"), F.greatest(score, F.lit(HELD_SCORE))).otherwise(score)).select("question_id", "entity_id", "score")
     if alone is None:
@@ -129,12 +132,15 @@ def positions(rows: DataFrame, order: list[Column], by: list[str] | None = None,
     sums = sums.select(*by, "__part", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__rows"), F.coalesce(F.sum("__weight").over(earlier), F.lit(0.0)).alias("__weight"))
     if most is not None:
         sums = sums.filter(F.col("__weight") <= most)
-    same = reduce(lambda p, q: p & q, [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by], F.col("r.__part") == F.col("s.__part"))
-    joined = ranged.alias("r").join(sums.alias("s"), same).select(*[F.col(f"r.{c}") for c in rows.columns], "r.__part", "__rows", "__weight")
-    w = Window.partitionBy(*by, "__part").orderBy(*order)
-    out = joined.withColumn("position", (F.col("__rows") + F.row_number().over(w)).cast("int"))
+    # what lies before a range goes ahead of its rows: a join would shuffle them once more, or broadcast a row for each range of ``by``
+    both = ranged.withColumn("__row", F.lit(True)).unionByName(sums.withColumn("__row", F.lit(False)), allowMissingColumns=True)
+    w = Window.partitionBy(*by, "__part").orderBy("__row", *order)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = lambda c: F.first(c).over(upto)
+    out = both.withColumn("position", (ahead("__rows") + F.row_number().over(w) - 1).cast("int"))
     if weight:
-        out = out.withColumn("used", F.col("__weight") + F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        out = out.withColumn("used", ahead("__weight") + F.sum(weight).over(upto))
+    out = out.filter("__row and position is not null").drop("__row")
     return out.drop("__part", "__rows", "__weight")
 
 

@@ -84,7 +84,7 @@ def _centroids(units: np.ndarray, many: int) -> np.ndarray:
 def _probes(units: np.ndarray, c: np.ndarray) -> int:
     """The fewest nearest cells in which ``RECALL`` of the sample's own nearest ``TOP`` lie."""
     asked = units[:500]
-    top = np.argsort(-(asked @ units.T), axis=1)[:, :TOP]
+    top = np.concatenate([np.argsort(-(asked[i : i + 50] @ units.T), axis=1)[:, :TOP] for i in range(0, len(asked), 50)])  # in pieces, as this runs on the driver
     rank = np.empty((len(asked), len(c)), np.int64)
     np.put_along_axis(rank, np.argsort(-(asked @ c.T), axis=1), np.arange(len(c))[None, :], 1)
     own = np.argmax(units @ c.T, axis=1)
@@ -92,12 +92,27 @@ def _probes(units: np.ndarray, c: np.ndarray) -> int:
     return int(needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))) - 1)])
 
 
+def sampled(vectors: DataFrame, sample: int) -> tuple[pd.DataFrame, int]:
+    """The ``sample`` vectors with the smallest hashes of their ids (column embedding), and the number of all rows.
+
+    Each partition sends its own smallest ``sample`` to the driver, which is most of a table in many partitions. So hashes are
+    held under a bound first, which a fifth more than ``sample`` of the rows are under; the same vectors are taken.
+    """
+    some, at = vectors.filter(F.size("embedding") > 0), F.xxhash64("id")
+    n = vectors.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.size("embedding") > 0).alias("some")).first()
+    first = lambda d: d.orderBy(at, "id").limit(sample).select("embedding").toPandas()
+    if n.some <= 1.2 * sample:
+        return first(some), n.total
+    bound = -(2**63) + int(2**64 * 1.2 * sample / n.some)
+    low = first(some.filter(at < F.lit(bound)))
+    return low if len(low) == sample else first(some), n.total
+
+
 def fit(vectors: DataFrame, sample: int = SAMPLE, cells: int | None = None) -> Index:
     """An index of ``vectors`` (id, embedding). Every row is in it; the sample only shapes the cells."""
     spark = vectors.sparkSession
-    some = vectors.filter(F.size("embedding") > 0).orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").toPandas()
+    some, total = sampled(vectors, sample)
     centroids, probes = {}, {}
-    total = vectors.count()
     for n, _, units in _by_length(some["embedding"]):
         many = min(cells or CELLS, max(1, round(total**0.5)), max(1, len(units) // 8))
         centroids[n] = _centroids(units, many)

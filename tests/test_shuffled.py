@@ -1,6 +1,8 @@
 """What grows with the input is joined by a shuffle, however small its files are."""
 
-from tessera.operators import candidates, retrieve
+from pyspark.sql import functions as F
+
+from tessera.operators import candidates, retrieve, vectors
 from tessera.plans import entities
 
 SMALL = "/root/testdata/sf0.001"
@@ -49,3 +51,43 @@ def final_joins(df):
 def test_source_documents_does_not_broadcast_the_entities(spark):
     """The last join, which is first in the plan, is of what is found with all entities; adaptive execution may not make it a broadcast."""
     assert "SortMergeJoin" in final_joins(entities.source_documents(spark, SMALL))[0]
+
+
+def test_ranked_entities_broadcasts_neither_entities_nor_names(spark, monkeypatch):
+    seen, write = {}, retrieve.materialize
+    monkeypatch.setattr(retrieve, "materialize", lambda df, name: write(seen.setdefault(name, df), name))
+    entities.ranked_entities(spark, SMALL)
+    whole = [j for j in joins(seen["to-rank"]) if "[entity_id#" in j or "[question_id#" in j]
+    assert len(whole) == 3 and all("SortMergeJoin" in j for j in whole)
+    pieces = [j for j in joins(seen["name-matches"]) if "[piece" in j and "Inner" in j]
+    assert pieces and all("SortMergeJoin" in j for j in pieces)
+    scans = seen["to-rank"]._jdf.queryExecution().sparkPlan().toString()
+    assert "part.parquet" not in scans  # what is searched was joined once and written
+
+
+def test_positions_joins_nothing(spark):
+    rows = [(q, i, float(i % 3)) for q in (None, 1, 2) for i in range(40)]
+    found = spark.createDataFrame(rows, "question_id long, entity_id long, score double").repartition(5)
+    ranked = retrieve.ranked_entities(found, by=["question_id"])
+    assert joins(ranked) == []
+    assert ranked.columns == ["question_id", "entity_id", "score", "position"]
+    for q in (None, 1, 2):
+        got = [r.entity_id for r in sorted((r for r in ranked.collect() if r.question_id == q), key=lambda r: r.position)]
+        assert got == sorted(range(40), key=lambda i: (-(i % 3), i))
+        assert {r.position for r in ranked.collect() if r.question_id == q} == set(range(1, 41))
+
+
+def test_index_is_fitted_on_few_rows_of_each_partition(spark, monkeypatch):
+    v = spark.range(3000).select("id", F.array(F.lit(1.0), F.rand(7)).alias("embedding")).repartition(20).localCheckpoint()
+    taken, to_pandas = [], type(v).toPandas
+    monkeypatch.setattr(type(v), "toPandas", lambda self: taken.append(self) or to_pandas(self))
+    vectors.fit(v, sample=100)
+    plan = taken[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Filter" in line and "xxhash64" in line for line in plan.splitlines())
+    monkeypatch.undo()
+    got, total = vectors.sampled(v, 100)
+    wanted = v.orderBy(F.xxhash64("id"), "id").limit(100).toPandas()
+    assert total == 3000 and got["embedding"].tolist() == wanted["embedding"].tolist()
+    # ids that all have one hash leave nothing under the bound, or everything
+    same = v.withColumn("id", F.lit(5))
+    assert len(vectors.sampled(same, 100)[0]) == 100
