@@ -55,6 +55,16 @@ def expand(seeds: DataFrame, links: DataFrame, max_hops: int, least: float = gra
     return seen
 
 
+def _until(mode: str) -> datetime.date | None:
+    """The date that ``mode`` names; None for any other, which keeps all."""
+    try:
+        return datetime.date.fromisoformat(mode)
+    except ValueError:
+        if mode != "all":
+            logging.getLogger(__name__).warning("unknown temporal mode %r: all entities stay", mode)
+        return None
+
+
 def in_time(reached: DataFrame, entities: DataFrame, links: DataFrame, mode: str) -> DataFrame:
     """(question_id, id) that the time filter leaves; of a question of which it leaves nothing, all.
 
@@ -71,12 +81,10 @@ def in_time(reached: DataFrame, entities: DataFrame, links: DataFrame, mode: str
         group = [F.col("question_id"), F.col("component").isNotNull().alias("linked"), F.coalesce("component", "id").alias("group")]
         kept = placed.groupBy(*group).agg(F.max_by("id", F.struct(F.col("date"), -F.col("ord"))).alias("id")).select("question_id", "id")
     else:
-        try:
-            kept = dated.filter(F.col("date") <= F.lit(datetime.date.fromisoformat(mode))).select("question_id", "id")
-        except ValueError:
-            if mode != "all":
-                logging.getLogger(__name__).warning("unknown temporal mode %r: all entities stay", mode)
+        until = _until(mode)
+        if until is None:
             return reached.select("question_id", "id")
+        kept = dated.filter(F.col("date") <= F.lit(until)).select("question_id", "id")
     kept = materialize(kept, "in-time")
     bare = reached.join(kept.select("question_id").distinct(), "question_id", "left_anti").select("question_id", "id")
     return kept.unionByName(bare)
@@ -90,6 +98,7 @@ def query_all(entities: DataFrame, documents: DataFrame, links: DataFrame, centr
     Without a seed at the usual threshold the vector alone is tried at a lower one. If the time filter leaves nothing of a
     question, it does not count there. What entities and conflicts are told of is worked out once, however many questions ask.
     """
+    links = materialize(links.select("a", "b", "confidence"), "links")
     reached = expand(seeds_of(entities, questions, index), links, max_hops)
     found = shuffled(materialize(in_time(reached, entities, links, mode), "found"))
     whole = found.withColumnRenamed("id", "entity_id").join(entities, "entity_id")
@@ -105,6 +114,74 @@ def query_all(entities: DataFrame, documents: DataFrame, links: DataFrame, centr
     return Answer(whole, own, packed, told, conflicts, reached.groupBy("question_id").agg(F.max("depth").alias("depth")))
 
 
+def kinds(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, kind) of the nodes that ``links`` (a, b) names, and the links (a < b) between kinds.
+
+    Nodes that are linked and have the same neighbours but for each other, as the members of a clique do, are one kind, which
+    its smallest node names. Whoever is linked to one is linked to all, so hops between kinds are hops between nodes.
+    """
+    step = graph.both_ways(links.filter("a <> b").select("a", "b"))
+    around = step.unionByName(step.select("a", F.col("a").alias("b"))).groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("around"))
+    around = shuffled(materialize(around, "neighbours"))
+    alike = materialize(around.groupBy("around").agg(F.min("a").alias("kind")), "kinds")
+    of = materialize(around.join(alike, "around").select(F.col("a").alias("id"), "kind"), "kind-of")
+    met = shuffled(alike.select(F.col("kind").alias("a"), F.explode("around").alias("id"))).join(of.withColumnRenamed("kind", "b"), "id")
+    return of, met.filter("a < b").select("a", "b").distinct()
+
+
+def count_conflicts(entities: DataFrame, links: DataFrame, attributes: DataFrame, questions: DataFrame, max_hops: int = 3, mode: str = "current", index: vectors.Index | None = None) -> DataFrame:
+    """question_id (not null), attribute_key, conflicts, pairs: how many rows the conflicts of ``query_all`` have, and of how many links.
+
+    Unless the time filter looks at each question's components, what a question reaches are kinds of entities, and those of a
+    kind that the filter keeps, or doesn't, are one unit: a question finds all of a unit or nothing of it.
+    """
+    links = materialize(links.select("a", "b", "confidence"), "links")
+    seeds = seeds_of(entities, questions, index)
+    if mode == "current":
+        found = in_time(expand(seeds, links, max_hops), entities, links, mode).distinct().withColumnRenamed("id", "unit")
+        return count_touched(found, found.select(F.col("unit").alias("id"), "unit").distinct(), links, attributes)
+    of, between = kinds(links.filter(F.col("confidence") >= graph.LEAST_CONFIDENCE))
+    kind = F.coalesce("kind", "id").alias("kind")
+    start = shuffled(seeds).join(of, "id", "left").select("question_id", kind.alias("id"))
+    reached = expand(start, between.withColumn("confidence", F.lit(1.0)), max_hops).select("question_id", F.col("id").alias("kind"))
+    until = _until(mode)
+    dated = entities.select(F.col("entity_id").alias("id"), (F.lit(True) if until is None else F.coalesce(F.col("date") <= F.lit(until), F.lit(False))).alias("kept"))
+    rows = materialize(shuffled(dated.groupBy("id").agg(F.bool_or("kept").alias("kept"))).join(of, "id", "full").select("id", kind, F.coalesce("kept", F.lit(until is None)).alias("kept")), "kept")
+    units = rows.groupBy("kind", "kept").agg(F.min("id").alias("unit"))
+    found = materialize(shuffled(reached).join(units, "kind").select("question_id", "unit", "kept"), "found")
+    kept = found.filter("kept")
+    bare = found.join(kept.select("question_id").distinct(), "question_id", "left_anti")
+    found = kept.unionByName(bare).select("question_id", "unit")
+    return count_touched(found, shuffled(rows).join(units, ["kind", "kept"]).select("id", "unit"), links, attributes)
+
+
+def count_touched(found: DataFrame, units: DataFrame, links: DataFrame, attributes: DataFrame) -> DataFrame:
+    """question_id, attribute_key, conflicts, pairs of the links that have an end in a unit (id, unit) that a question has found (question_id, unit).
+
+    A link's conflicts are counted once, whatever the number of questions, and added up by the units of its ends. What touches
+    a question's units is what these have at one end less what has both ends among them, which is told by the questions that
+    have found both. So no row is made for a question and a link.
+    """
+    units = materialize(units, "units")
+    told = resolve.count_contradictions(links.select(F.col("a").alias("id_a"), F.col("b").alias("id_b")).distinct(), attributes)
+    for s in "ab":
+        told = shuffled(told).join(units.select(F.col("id").alias(f"id_{s}"), F.col("unit").alias(f"unit_{s}")), f"id_{s}", "left")
+    told = told.select("unit_a", "unit_b", F.explode("told").alias("c")).select("unit_a", "unit_b", "c.attribute_key", "c.conflicts", F.lit(1).cast("long").alias("pairs"))
+    sums = lambda d, *by: d.groupBy(*by, "attribute_key").agg(F.sum("conflicts").alias("conflicts"), F.sum("pairs").alias("pairs"))
+    told = materialize(sums(told, "unit_a", "unit_b"), "unit-conflicts")
+    own = [told.select(F.col(f"unit_{s}").alias("unit"), "attribute_key", "conflicts", "pairs") for s in "ab"]
+    ends = sums(shuffled(found).join(sums(own[0].unionByName(own[1]), "unit"), "unit"), "question_id")
+
+    who = found.groupBy("unit").agg(F.collect_set("question_id").alias("who"))
+    both = told.groupBy("unit_a", "unit_b").agg(F.collect_list(F.struct("attribute_key", "conflicts", "pairs")).alias("told"))
+    for s in "ab":
+        both = shuffled(both).join(who.select(F.col("unit").alias(f"unit_{s}"), F.col("who").alias(f"who_{s}")), f"unit_{s}")
+    both = both.select("told", F.explode(F.array_intersect("who_a", "who_b")).alias("question_id")).select("question_id", F.explode("told").alias("c"))
+    inside = sums(both.select("question_id", "c.*"), "question_id")
+    less = inside.select("question_id", "attribute_key", (-F.col("conflicts")).alias("conflicts"), (-F.col("pairs")).alias("pairs"))
+    return sums(ends.unionByName(less), "question_id")
+
+
 def query(entities: DataFrame, documents: DataFrame, links: DataFrame, centrality: DataFrame, attributes: DataFrame, names: list[str], vector: list[float] | None, max_hops: int = 3, mode: str = "current", budget: float = retrieve.BUDGET) -> Answer:
     """``query_all`` for one question; the tables have no ``question_id``."""
     kind = T.StructType([T.StructField("question_id", T.IntegerType()), T.StructField("names", T.ArrayType(T.StringType())), T.StructField("embedding", T.ArrayType(T.DoubleType()))])
