@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from tessera.operators import resolve as M
 from tessera.plans import catalogue
 
 
@@ -45,3 +46,13 @@ def test_household_edges_are_not_shuffled(spark, folder):
     assert same_as_sql(spark, folder, "household_edges") > 0
     plan = catalogue.queries()["household_edges"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan
+
+
+def test_household_tiles_meet_once_and_stay_many_tasks(spark):
+    rows = [(i, f"n{i}", "1 Maple Street, X") for i in range(60)]
+    people = spark.createDataFrame(rows, "entity_id long, name string, address string")
+    known = spark.createDataFrame([(i + 1, i) for i in range(0, 60, 5)] + [(3, 3), (0, 99)], "a int, b int")
+    got = M.lives_with(people, known, 7)
+    pairs = sorted((r.a, r.b) for r in got.collect())
+    assert pairs == [(a, b) for a in range(60) for b in range(a + 1, 60) if not (a % 5 == 0 and b == a + 1)]
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
